@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataspark.llm import quality, toxicity
 from strataspark.llm.near_dedup import near_duplicates
 
 
@@ -35,5 +36,29 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS componen
 FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN least_of ON node = d.doc_id
 """
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+
+def op2_quality(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit_quality(docs, quality.labelled_sample(docs, quality.training_labels(labels)))
+    return quality.score_quality(docs, model).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op8_toxicity(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit_toxicity(toxicity.labelled_sample(docs, toxicity.training_labels(labels)))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.transform("offending", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op8_toxicity)}
 ORACLES = {"op1_minhash_near_dedup": OP1_SQL}

@@ -55,20 +55,25 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: For models: words are runs of ASCII letters, digits and bytes of other characters.
+LETTERS_ONLY = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
+
+
 class Words:
     """Hashes of the words of some texts: text i has ``hashes[first[i]:first[i + 1]]``.
 
     ``start`` and ``end`` are byte offsets of each word in ``data``, ``text_at`` those of the texts.
+    ``space`` says which bytes separate words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE):
         self.data, self.text_at, n = data, offsets, len(data)
         if not n:
             self.hashes = np.zeros(0, np.uint64)
             self.start = self.end = np.zeros(0, np.int64)
             self.first = np.zeros(len(offsets), np.int64)
             return
-        space = _SPACE[data]
+        space = space[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         begins = ~space
@@ -85,13 +90,21 @@ class Words:
         within[: self.start[0]] = 0
         longest = int(within.max()) + 1
         value = (_BYTE_LOWER if lower else _BYTE)[data] * powers(longest)[within]
+        value[space] = 0
+        self._value, self._within = value, within
         self.hashes = mix(np.add.reduceat(value, self.start) + (self.end - self.start).astype(np.uint64))
 
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of each word; of shorter words, of the whole."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        return mix(np.add.reduceat(np.where(self._within < size, self._value, np.uint64(0)), self.start) ^ np.uint64(size))
+
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def chunks(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, Words]]:
+def chunks(column: pa.Array, lower: bool = True, space: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
     """(from, to, Words) for consecutive texts of about CHUNK_BYTES together, so that the arrays
     beside a batch stay small; a longer text is a chunk of its own, whole."""
     data, offsets = string_buffers(column)
@@ -99,7 +112,7 @@ def chunks(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, Wor
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1
         j = min(n, max(j, i + 1))
-        yield i, j, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
+        yield i, j, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower, space)
         i = j
 
 
