@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataspark.llm import quality, toxicity
+from strataspark.llm import decontaminate, quality, toxicity
 from strataspark.llm.near_dedup import near_duplicates
 
 
@@ -48,6 +48,10 @@ def op2_quality(spark, sf_dir):
     )
 
 
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark, sf_dir):
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(toxicity.labelled_sample(docs, toxicity.training_labels(labels)))
@@ -60,5 +64,5 @@ def op8_toxicity(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op7_decontaminate, op8_toxicity)}
 ORACLES = {"op1_minhash_near_dedup": OP1_SQL}
