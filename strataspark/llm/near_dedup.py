@@ -3,10 +3,10 @@
 Plan. One pass over the texts makes, per document, the count of its distinct word shingles, a 128-bit
 fingerprint of the set, ``BANDS * ROWS`` band values and a packed signature of the low bits of all minima.
 Documents of equal sets form a class, and only its smallest id goes on. Classes that share a band meet in a
-bucket. Within buckets nothing is compared pair by pair: each round gives a bucket one pivot and compares the
-members outside the pivot's component with it. A candidate pair first needs an estimate near the threshold (from
+bucket. Within buckets nothing is compared pair by pair: each round gives a bucket a few pivots and compares
+the members outside a pivot's component with it. A candidate pair first needs an estimate near the threshold (from
 counted equal bits, corrected for chance collisions), then the exact similarity on full sets. Buckets whose
-members are all one component are closed. What is still open after ``pivot_rounds`` is compared in full across
+members are all one component are closed. What is still open after the last round is compared in full across
 components, so that no link is lost to the pivots.
 """
 
@@ -25,6 +25,8 @@ from strataspark.scratch import materialise
 BANDS, ROWS, MINIMA, LOW_BITS = 42, 6, 256, 2
 #: A pair at the threshold t is estimated below t - 0.16 (five standard deviations) with probability under 1e-6.
 SLACK = 0.16
+#: Pivots of a bucket in each round after the first, which has one.
+PIVOTS = (8, 16)
 _RNG = np.random.Generator(np.random.PCG64(7))
 _FACTOR = _RNG.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _PER_LONG = 64 // LOW_BITS
@@ -98,7 +100,7 @@ def _estimate():
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, pivot_rounds: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8
 ) -> DataFrame:
     """One row per document: ``(id_col, n_shingles, component_id, kept)``.
 
@@ -118,21 +120,23 @@ def near_duplicates(
     buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
     # only the rows of buckets with two members or more are of use
     rows = materialise(rows.join(buckets, "key").select("key", "id", "pivot"), "buckets")
-    packed = full.select("id", "packed", "n")
-    links = tested = None
+    packed = materialise(full.join(rows.select("id").distinct(), "id", "left_semi").select("id", "packed", "n"), "packed")
     fresh = rows.where("pivot < id").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    labels = None
-    for turn in range(pivot_rounds + 1):
+    links = tested = labels = None
+    for turn, pivots in enumerate([1, *PIVOTS, None]):
         if turn:
-            left = rows.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-            ends = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "c")).alias("p"), F.count("*").alias("m"))
-            ends = ends.where("lo < hi and m > 2")
-            if turn < pivot_rounds:
-                fresh = left.join(ends, "key").where("c <> p.c").select("id", F.col("p.id").alias("other"))
+            left = rows.select("key", "id")
+            left = left.withColumn("c", F.col("id")) if labels is None else left.join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
+            ends = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
+            left = materialise(left.join(ends.select("key"), "key"), "open")
+            if pivots:
+                slot = left.withColumn("h", F.xxhash64("id", F.lit(turn))).withColumn("slot", F.pmod("h", F.lit(pivots)))
+                there = slot.groupBy("key", "slot").agg(F.min(F.struct("h", "id", "c")).alias("p"))
+                there = there.select("key", F.col("p.id").alias("other"), F.col("p.c").alias("oc"))
+                fresh = left.join(there, "key").where("c <> oc").select("id", "other")
             else:
-                open_ = materialise(left.join(ends.select("key"), "key"), "open")
-                there = open_.select("key", F.col("id").alias("other"), F.col("c").alias("oc"))
-                fresh = open_.join(there, "key").where("c < oc").select("id", "other")
+                there = left.select("key", F.col("id").alias("other"), F.col("c").alias("oc"))
+                fresh = left.join(there, "key").where("c < oc").select("id", "other")
             fresh = fresh.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
         fresh = materialise(fresh, "pairs")
@@ -149,11 +153,11 @@ def near_duplicates(
         wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
         sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>")
         sets = materialise(sets, "sets")
-        both = F.size(F.array_intersect("ia", "ib"))
+        shared = F.size(F.array_intersect("ia", "ib"))
         sure = (
             near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
-            .where(both * 100 >= (F.size("ia") + F.size("ib") - both) * percent)
+            .where(shared * 100 >= (F.size("ia") + F.size("ib") - shared) * percent)
             .select("a", "b")
         )
         sure = materialise(sure, "links")
