@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from strataspark.llm import decontaminate, quality, toxicity
+from strataspark.llm import decontaminate, line_dedup, quality, sentencepiece_viterbi, toxicity
 from strataspark.llm.near_dedup import near_duplicates
 
+#: Where the vocabulary of op4 lies; a parameter of the operator.
+VOCABULARY = os.environ.get("STRATASPARK_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,6 +53,33 @@ def op2_quality(spark, sf_dir):
     )
 
 
+def op4_sentencepiece(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_viterbi.with_tokens(docs, VOCABULARY).select("doc_id", "n_tokens", "round_trip", "token_ids")
+
+
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL
+), firsts AS (
+  SELECT line, min({'id': doc_id, 'pos': pos}) AS f, length(line) AS n FROM lines WHERE length(line) >= 10 GROUP BY line
+), near AS (
+  SELECT DISTINCT x.line FROM firsts x JOIN firsts y ON y.n IN (x.n - 1, x.n, x.n + 1) AND y.f < x.f
+  WHERE x.n >= 20 AND y.n >= 20 AND levenshtein(x.line, y.line) = 1
+), marked AS (
+  SELECT l.*, coalesce(f <> {'id': doc_id, 'pos': pos}, false) OR near.line IS NOT NULL AS gone
+  FROM lines l LEFT JOIN firsts USING (line) LEFT JOIN near ON near.line = l.line
+)
+SELECT d.doc_id, coalesce(count(pos), 0) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') END AS text
+FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text
+"""
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -64,5 +96,5 @@ def op8_toxicity(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op7_decontaminate, op8_toxicity)}
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op4_sentencepiece, op5_line_dedup, op7_decontaminate, op8_toxicity)}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL}

@@ -19,13 +19,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from strataspark.llm.words import _BYTE_ALL as _BYTE
+from strataspark.llm.words import CHUNK_BYTES, STEP, mix, powers, string_buffers
 
 #: Fixed values of the file format: kinds of pieces, kinds of models, the mark that stands for a space.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
 #: Stretches remembered per Python worker, and the longest of them.
-REMEMBERED, SHORT = 300_000, 64
+REMEMBERED, SHORT = 500_000, 64
+_POWER = powers(SHORT + 1)
+_INVERSE = powers(SHORT + 1, np.uint64(pow(int(STEP), -1, 2**64)))
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -218,6 +224,213 @@ class Encoder:
         return b"".join([known.get(p) or ids(p) for p in self.stretch.findall(marked)])
 
 
+class BatchEncoder:
+    """The same search for many short stretches at once: all of them advance one byte together.
+
+    Stretches are the parts between sure cuts (before the first space of a run, around line ends); equal ones are sought once, by hash. Works on UTF-8 bytes with a
+    space for the mark. Stretches of over SHORT bytes go through :meth:`Encoder.stream`, whose window is bounded.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v, self.scalar = vocabulary, Encoder(vocabulary)
+        raw = [(p.replace(MARK, " ").encode(), i) for p, i in vocabulary.ids.items()]
+        self.longest = max((len(b) for b, _ in raw), default=1)
+        by_hash = sorted((int(_hash_of(b)), i, len(b)) for b, i in raw)
+        self.hashes = np.array([h for h, _, _ in by_hash], np.uint64)
+        self.piece = np.array([i for _, i, _ in by_hash], np.int32)
+        self.quick = np.zeros(1 << 20, bool)
+        self.quick[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.scores = np.array(vocabulary.scores, np.float64)
+        # what is known of pairs, by a hash of 22 bits; a pair may push out another, which is then worked out again
+        self.pairs, self.verdict = np.full(1 << 22, -1, np.int64), np.zeros(1 << 22, bool)
+        self._forget()
+
+    def _forget(self):
+        self.seen, self.at, self.len, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _compatible(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """:meth:`Encoder._compatible` of many pairs."""
+        key = before.astype(np.int64) << 32 | piece
+        slot = (mix(key.astype(np.uint64)) >> np.uint64(42)).astype(np.int64)
+        out = self.verdict[slot]
+        other = np.flatnonzero(self.pairs[slot] != key)
+        if len(other):
+            more, which = np.unique(key[other], return_inverse=True)
+            fits = np.array([self.scalar._halves(k & 0xFFFFFFFF) is not None and self.scalar._compatible(k >> 32, k & 0xFFFFFFFF) for k in more.tolist()], bool)
+            self.scalar.pair.clear()
+            out[other] = fits[which]
+            slot = (mix(more.astype(np.uint64)) >> np.uint64(42)).astype(np.int64)
+            self.pairs[slot], self.verdict[slot] = more, fits
+            clash = self.pairs[slot] != more  # another pair took the slot
+            self.pairs[slot[clash]] = -1
+        return out
+
+    def _search(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them for each stretch) for stretches of at most SHORT bytes."""
+        n, width = len(start), int(size.max())
+        cell = np.arange(width)
+        inside = cell < size[:, None]
+        text = np.where(inside, data[np.minimum(start[:, None] + cell, len(data) - 1)], 0)
+        lead = inside & ((text & 0xC0) != 0x80)
+        lead = np.concatenate([lead, np.zeros((n, 1), bool)], 1)
+        lead[np.arange(n), size] = True  # a character ends where the next begins
+        value = _BYTE[text] * _POWER[:width]
+        total = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(value, axis=1, dtype=np.uint64)], 1)
+        bpe = self.v.model == BPE
+        # all pieces that occur anywhere: their length, row, end and id
+        found = []
+        for long in range(1, min(self.longest, width) + 1):
+            h = mix((total[:, long:] - total[:, :-long]) * _INVERSE[: width + 1 - long] + np.uint64(long))
+            row, begin = np.nonzero(self.quick[(h >> np.uint64(44)).astype(np.int64)])
+            h = h[row, begin]
+            at = np.searchsorted(self.hashes, h)
+            at[at == len(self.hashes)] = 0
+            sure = (self.hashes[at] == h) & (begin + long <= size[row]) & lead[row, begin] & lead[row, begin + long]
+            row = row[sure]
+            found.append((np.full(len(row), long, np.int32), row, begin[sure] + long, self.piece[at[sure]]))
+        longs, rows, ends, pieces = (np.concatenate(x) for x in zip(*found, strict=True))
+        by_end = np.argsort(ends, kind="stable")
+        longs, rows, ends, pieces = longs[by_end], rows[by_end], ends[by_end], pieces[by_end]
+        cut = np.searchsorted(ends, np.arange(width + 2))
+        # where the character before each position begins
+        before_it = np.maximum.accumulate(np.where(lead[:, :-1], cell, -1), axis=1)
+        last = np.full((n, width + 1), -2, np.int32)  # -2: not reached, -1: a character without a piece
+        back = np.zeros((n, width + 1), np.int32)
+        score = np.full((n, width + 1), -np.inf)
+        score[:, 0] = 0
+        last[:, 0] = -1
+        if bpe:
+            makes = np.unique(pieces)
+            makes = makes[[self.scalar._halves(i) is not None for i in makes.tolist()]]
+        for end in range(1, width + 1):
+            row, long, piece = (x[cut[end] : cut[end + 1]] for x in (rows, longs, pieces))
+            begin = end - long
+            bare = lead[:, end] & (size >= end)
+            bare[row[begin == before_it[row, end - 1]]] = False
+            bare = np.flatnonzero(bare)
+            if len(bare):
+                long_one = end - before_it[bare, end - 1]
+                ok = last[bare, end - long_one] != -2
+                bare, long_one = bare[ok], long_one[ok]
+                last[bare, end], back[bare, end], score[bare, end] = -1, long_one, score[bare, end - long_one] + self.v.worst
+            before = last[row, begin]
+            if bpe:
+                fits = before != -2
+                check = np.flatnonzero(before >= 0)
+                fits[check] = self._compatible(before[check], piece[check])
+                check = np.flatnonzero(before == -1)
+                fits[check] = np.isin(piece[check], makes)
+                worth = np.zeros(len(row))
+            else:
+                worth = score[row, begin] + self.scores[piece]
+                fits = worth > score[row, end]
+            put = np.flatnonzero(fits)
+            put = put[np.argsort(worth[put], kind="stable")]  # of several for a row the best is written last
+            last[row[put], end], back[row[put], end], score[row[put], end] = piece[put], long[put], worth[put]
+        out, owner, place = [], [], []
+        row, end = np.arange(n), size.copy()
+        while len(row):
+            piece, long = last[row, end], back[row, end]
+            whole = piece >= 0
+            out.append(piece[whole])
+            owner.append(row[whole])
+            place.append(end[whole] - long[whole])
+            for k in range(4):
+                bare = np.flatnonzero(~whole & (long > k))
+                if len(bare):
+                    byte = text[row[bare], end[bare] - long[bare] + k]
+                    if self.v.bytes or k == 0:
+                        out.append(self._byte_ids()[byte])
+                        owner.append(row[bare])
+                        place.append(end[bare] - long[bare] + k)
+            end = end - long
+            row, end = row[end > 0], end[end > 0]
+        out, owner, place = np.concatenate(out), np.concatenate(owner), np.concatenate(place)
+        return out[np.lexsort((place, owner))], np.bincount(owner, minlength=n)
+
+    def _byte_ids(self) -> np.ndarray:
+        return np.array([self.v.bytes.get(b, self.v.unknown) for b in range(256)], np.int32)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each text has."""
+        texts = len(offsets) - 1
+        full = np.diff(offsets) > 0
+        if self.v.dummy_prefix:
+            at = offsets[:-1][full]
+            data = np.insert(data, at, 32)
+            offsets = offsets + np.concatenate(([0], np.cumsum(full)))
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(texts, np.int64)
+        begins = data == 32
+        begins[1:] &= data[:-1] != 32
+        line = data == 10
+        begins |= line
+        begins[1:] |= line[:-1]
+        begins[offsets[:-1][full]] = True
+        start = np.flatnonzero(begins)
+        size = np.diff(np.append(start, n))
+        within = np.arange(n) - np.repeat(start, size)
+        short = size <= SHORT
+        key = np.zeros(len(start), np.uint64)
+        value = _BYTE[data] * _POWER[np.minimum(within, SHORT)]
+        key = mix(np.add.reduceat(value, start) + size.astype(np.uint64))
+        kinds, one, which = np.unique(key[short], return_index=True, return_inverse=True)
+        picked = np.flatnonzero(short)[one]
+        fresh = np.flatnonzero(~np.isin(kinds, self.seen, assume_unique=True))
+        if len(fresh):
+            if len(self.seen) + len(fresh) > REMEMBERED:
+                self._forget()
+                fresh = np.arange(len(kinds))
+            ids, counts = [], []
+            order = fresh[np.argsort(size[picked[fresh]], kind="stable")]  # alike lengths together: little padding
+            for k in range(0, len(order), 20_000):
+                some = picked[order[k : k + 20_000]]
+                got, count = self._search(data, start[some], size[some])
+                ids.append(got)
+                counts.append(count)
+            counts = np.concatenate(counts)
+            into = np.searchsorted(self.seen, kinds[order])
+            place = len(self.pool) + np.cumsum(counts) - counts
+            self.pool = np.concatenate([self.pool, *ids])
+            by = np.argsort(kinds[order])
+            self.seen = np.insert(self.seen, into[by], kinds[order][by])
+            self.at, self.len = np.insert(self.at, into[by], place[by]), np.insert(self.len, into[by], counts[by])
+        slot = np.searchsorted(self.seen, kinds)[which]
+        at, length = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        at[short], length[short] = self.at[slot], self.len[slot]
+        pool = self.pool
+        extra = []
+        for k in np.flatnonzero(~short):
+            part = data[start[k] : start[k] + size[k]].tobytes().decode().replace(" ", MARK)
+            got = np.concatenate([np.array(i, np.int32) for i in self.scalar.stream(part)])
+            at[k], length[k] = len(pool) + sum(map(len, extra)), len(got)
+            extra.append(got)
+        if extra:
+            pool = np.concatenate([pool, *extra])
+        ends = np.cumsum(length)
+        out = pool[np.repeat(at - ends + length, length) + np.arange(ends[-1])]
+        total = np.concatenate(([0], ends))
+        return out, np.diff(total[np.searchsorted(start, offsets)])
+
+
+_ENCODERS: dict[int, BatchEncoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary) -> BatchEncoder:
+    """One for each vocabulary and Python worker, so that later tasks find what earlier ones have worked out."""
+    key = hash((vocabulary.model, tuple(vocabulary.pieces), tuple(vocabulary.scores)))
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = BatchEncoder(vocabulary)
+    return _ENCODERS[key]
+
+
+def _hash_of(b: bytes) -> np.uint64:
+    x = np.frombuffer(b, np.uint8)
+    return mix(np.array([(_BYTE[x] * powers(len(b))).sum(dtype=np.uint64) + np.uint64(len(b))], np.uint64))[0]
+
+
 def encode(docs: DataFrame, model: str | Vocabulary, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """``docs`` with a column ``ids_col array<int>`` of piece ids; an existing column of that name is replaced.
 
@@ -225,23 +438,34 @@ def encode(docs: DataFrame, model: str | Vocabulary, text_col: str = "text", ids
     """
     vocabulary = model if isinstance(model, Vocabulary) else Vocabulary(model)
     rest = docs.drop(ids_col)
+    batched = vocabulary.spaced and vocabulary.lines and vocabulary.dummy_prefix
 
     def run(batches):
-        encoder = Encoder(vocabulary)
+        many = _encoder(vocabulary)
+        one = many.scalar
         for batch in batches:
-            # pieces of a text are many times its size in Python objects, so results are buffers from the start
-            parts, sizes, nulls = [], [], []
-            for text in batch.column(batch.schema.get_field_index(text_col)):
-                got = b"" if not text.is_valid else encoder.encode(text.as_py())
-                parts.append(got)
-                sizes.append(len(got) // 4)
-                nulls.append(not text.is_valid)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([*nulls, False], bool)), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
-
-    schema = rest.schema.add(ids_col, "array<int>")
+            column = batch.column(batch.schema.get_field_index(text_col))
+            ids, sizes = [], []
+            data, offsets = string_buffers(column)
+            i = 0
+            while i < len(column):
+                j = min(len(column), max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1))
+                part = data[offsets[i] : offsets[j]]
+                if batched and b"\xe2\x96\x81" not in part.tobytes():
+                    got, count = many.encode(part, offsets[i : j + 1] - offsets[i])
+                else:  # a text that holds the mark itself, or a vocabulary without sure cuts
+                    each = [np.frombuffer(one.encode(data[offsets[t] : offsets[t + 1]].tobytes().decode()), np.int32) for t in range(i, j)]
+                    got, count = np.concatenate(each), np.array([len(x) for x in each])
+                ids.append(got)
+                sizes.append(count)
+                i = j
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32) if sizes else np.zeros(1, np.int32)
+            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+            null = np.append(column.is_null().to_numpy(zero_copy_only=False), False)
+            made = pa.ListArray.from_arrays(pa.array(offsets, mask=null), values)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, ids_col])
+
+    schema = StructType([*rest.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
     return rest.mapInArrow(run, schema)
 
 
@@ -254,18 +478,23 @@ def decode(docs: DataFrame, model: str | Vocabulary, ids_col: str = "token_ids",
     rest = docs.drop(text_col)
 
     def run(batches):
-        table = vocabulary.text
+        size = np.array([len(b) for b in vocabulary.text], np.int64)
+        at = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(vocabulary.text), np.uint8)
         for batch in batches:
             out = []
             for ids in batch.column(batch.schema.get_field_index(ids_col)):
                 if not ids.is_valid:
                     out.append(None)
                     continue
-                text = b"".join(map(table.__getitem__, ids.values.to_numpy(zero_copy_only=False).tolist())).decode("utf-8", "replace")
+                own = ids.values.to_numpy(zero_copy_only=False)
+                n = size[own]
+                ends = np.cumsum(n)
+                text = pool[np.repeat(at[own] - ends + n, n) + np.arange(ends[-1])].tobytes().decode("utf-8", "replace") if len(own) else ""
                 out.append(text[1:] if vocabulary.dummy_prefix and text.startswith(" ") else text)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, text_col])
 
-    return rest.mapInArrow(run, rest.schema.add(text_col, "string"))
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(text_col, StringType())]))
 
 
 def with_tokens(docs: DataFrame, model: str | Vocabulary) -> DataFrame:

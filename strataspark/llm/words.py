@@ -15,9 +15,10 @@ import pyarrow as pa
 CHUNK_BYTES = 4 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
+STEP = _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE_ALL = _BYTE.copy()  # also for spaces
 _BYTE[_SPACE] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
