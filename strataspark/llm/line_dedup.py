@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.llm.sizes import small
 from strataspark.scratch import materialise
 
 #: Lines shorter than this are never dropped: they repeat by chance.
@@ -21,13 +22,6 @@ MIN_CHARS = 10
 #: Lines shorter than this are dropped for equal lines only.
 MIN_CHARS_EDIT = 20
 BLOCKS = 16
-#: A side of a join is broadcast up to so many rows of a few numbers each (about 100 bytes in memory); beyond, both are shuffled.
-BROADCAST_ROWS = 500_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` (a written table, so counting is cheap), to be broadcast if its size is within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _block_keys(blocks: int, line: str = "line", size: str = "size"):
@@ -62,7 +56,7 @@ def _near(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     some = halves.join(_open(halves), "key").select("h1").distinct()
     some = materialise(distinct.join(some, "h1", "left_semi").select("h1", "first"), "line-candidates")
     first = some.select(F.col("h1").alias("g"), F.col("first.id").alias("fi"), F.col("first.pos").alias("fp"), F.col("first.th").alias("ft"))
-    texts = lines.join(_small(first), (F.col("h1") == F.col("g")) & (F.col("id") == F.col("fi")) & (F.col("pos") == F.col("fp")) & (F.col("th") == F.col("ft")))
+    texts = lines.join(small(first), (F.col("h1") == F.col("g")) & (F.col("id") == F.col("fi")) & (F.col("pos") == F.col("fp")) & (F.col("th") == F.col("ft")))
     texts = materialise(texts.select("h1", F.struct("id", "pos", "th").alias("first"), "line", "size").dropDuplicates(["h1"]), "line-texts")
     parts = texts.select("h1", F.explode(_block_keys(BLOCKS)).alias("k")).select("h1", "k.*")
     parts = parts.join(_open(parts), "key").select("h1", "m", "j").distinct()
@@ -110,10 +104,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     decided = distinct.where("first <> last").select("h1", "h2", "first", F.lit(False).alias("near"))
     if edits:
         near = materialise(_near(distinct, lines), "near-lines")
-        marked = distinct.join(_small(near.withColumn("near", F.lit(True))), "h1", "left").where("first <> last or near")
+        marked = distinct.join(small(near.withColumn("near", F.lit(True))), "h1", "left").where("first <> last or near")
         decided = marked.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     decided = materialise(decided, "line-decisions")
-    at = lines.select("id", "pos", "th", "h1", "h2").join(_small(decided), ["h1", "h2"]).where(F.col("near") | (occurrence != F.col("first")))
+    at = lines.select("id", "pos", "th", "h1", "h2").join(small(decided), ["h1", "h2"]).where(F.col("near") | (occurrence != F.col("first")))
     gone = at.groupBy("id", "th").agg(F.collect_set("pos").alias("_ld_gone"))
     gone = gone.withColumnsRenamed({"id": "_ld_id", "th": "_ld_th"})
     kept = docs.drop("n_lines", "n_dropped")

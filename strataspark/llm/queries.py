@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from strataspark.llm import decontaminate, line_dedup, quality, sentencepiece_viterbi, toxicity
+from strataspark.llm import chat, decontaminate, line_dedup, quality, sentencepiece_viterbi, toxicity
 from strataspark.llm.near_dedup import near_duplicates
 
 #: Where the vocabulary of op4 lies; a parameter of the operator.
@@ -96,5 +96,31 @@ def op8_toxicity(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op4_sentencepiece, op5_line_dedup, op7_decontaminate, op8_toxicity)}
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL}
+def op10_chat_format(spark, sf_dir):
+    return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
+OP10_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, role AS speaker, text,
+    replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS body,
+    CASE WHEN role = 'system' THEN 'system' ELSE 'user' || coalesce(' name=' || regexp_replace(role, '[\s<|>]+', '_', 'g'), '') END AS named
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), views AS (SELECT DISTINCT conv_id, speaker AS perspective FROM rows WHERE speaker IS NOT NULL AND speaker <> 'system'
+), made AS (
+  SELECT conv_id, perspective, turn, speaker, text, body, coalesce(speaker = perspective, false) AS trained,
+    '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' ELSE named END || chr(10) AS head
+  FROM rows JOIN views USING (conv_id)
+), placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker NULLS FIRST, text NULLS FIRST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM made
+)
+SELECT conv_id, perspective, turn, speaker, head || body || chr(10) AS segment, CAST(start AS BIGINT) AS start, CAST(start + length(head) + length(body) + 1 AS BIGINT) AS "end", trained,
+  CASE WHEN trained THEN CAST(start + length(head) AS BIGINT) END AS train_start, CASE WHEN trained THEN CAST(start + length(head) + length(body) AS BIGINT) END AS train_end
+FROM placed
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op4_sentencepiece, op5_line_dedup, op7_decontaminate, op8_toxicity, op10_chat_format)}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op10_chat_format": OP10_SQL}

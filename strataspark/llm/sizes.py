@@ -1,0 +1,14 @@
+"""Broadcasts behind a check of size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast up to so many rows of a few numbers each (about 100 bytes in memory); beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table, so counting is cheap), to be broadcast if its size is within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
