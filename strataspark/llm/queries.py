@@ -6,8 +6,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from strataspark.llm import chat, decontaminate, line_dedup, quality, sentencepiece_viterbi, toxicity
+from strataspark.llm import chat, decontaminate, line_dedup, quality, sentencepiece_viterbi, toxicity, warc
 from strataspark.llm.near_dedup import near_duplicates
+from strataspark.scratch import materialise, new_path
 
 #: Where the vocabulary of op4 lies; a parameter of the operator.
 VOCABULARY = os.environ.get("STRATASPARK_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
@@ -96,6 +97,30 @@ def op8_toxicity(spark, sf_dir):
     )
 
 
+def op9_warc(spark, sf_dir):
+    folder = new_path(spark, "archives")
+    files = materialise(warc.write_monolithic(warc.plan_records(_table(spark, sf_dir, "pages")), f"{folder}/crawl"), "crawl-files")
+    index = materialise(warc.normalise(files, f"{folder}/records"), "offset-index")
+    read, revisit = warc.read_records(index), F.col("warc_type") == "revisit"
+    number = r"<urn:page:(-?\d+)>"
+    return read.select(
+        F.regexp_extract("record_id", number, 1).cast("long").alias("page_id"),
+        F.when(revisit, F.col("stated_bytes")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.substring_index("stated_digest", ":", -1)).otherwise(F.sha1("payload")).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        F.expr(r"try_cast(regexp_extract(refers_to, '<urn:page:(-?[0-9]+)>', 1) as long)").alias("refers_to"),
+    )
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages WHERE page_id IS NOT NULL),
+t AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to
+FROM p LEFT JOIN t USING (d)
+"""
+
+
 def op10_chat_format(spark, sf_dir):
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
@@ -122,5 +147,5 @@ FROM placed
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op4_sentencepiece, op5_line_dedup, op7_decontaminate, op8_toxicity, op10_chat_format)}
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op10_chat_format": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op4_sentencepiece, op5_line_dedup, op7_decontaminate, op8_toxicity, op9_warc, op10_chat_format)}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op10_chat_format": OP10_SQL}
