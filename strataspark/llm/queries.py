@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from strataspark.llm import chat, decontaminate, line_dedup, quality, sentencepiece_viterbi, toxicity, warc
+from strataspark.llm import ann, chat, decontaminate, line_dedup, quality, sentencepiece_viterbi, toxicity, warc
 from strataspark.llm.near_dedup import near_duplicates
 from strataspark.scratch import materialise, new_path
 
@@ -54,6 +54,11 @@ def op2_quality(spark, sf_dir):
     )
 
 
+def op3_ann(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(ann.build_index(vectors), vectors.where("vec_id % 20 = 0"))
+
+
 def op4_sentencepiece(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_viterbi.with_tokens(docs, VOCABULARY).select("doc_id", "n_tokens", "round_trip", "token_ids")
@@ -147,5 +152,5 @@ FROM placed
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op4_sentencepiece, op5_line_dedup, op7_decontaminate, op8_toxicity, op9_warc, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op3_ann, op4_sentencepiece, op5_line_dedup, op7_decontaminate, op8_toxicity, op9_warc, op10_chat_format)}
 ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op10_chat_format": OP10_SQL}
