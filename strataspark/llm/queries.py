@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from strataspark.llm import ann, chat, decontaminate, line_dedup, quality, sentencepiece_viterbi, toxicity, warc
+from strataspark.llm import ann, chat, decontaminate, license_scan, line_dedup, quality, sentencepiece_viterbi, toxicity, warc
 from strataspark.llm.near_dedup import near_duplicates
 from strataspark.scratch import materialise, new_path
 
@@ -86,6 +86,10 @@ FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
 
+def op6_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -152,5 +156,5 @@ FROM placed
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op3_ann, op4_sentencepiece, op5_line_dedup, op7_decontaminate, op8_toxicity, op9_warc, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op3_ann, op4_sentencepiece, op5_line_dedup, op6_license_scan, op7_decontaminate, op8_toxicity, op9_warc, op10_chat_format)}
 ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op10_chat_format": OP10_SQL}
