@@ -17,19 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from strataspark.llm.words import _BYTE_ALL as _BYTE
-from strataspark.llm.words import CHUNK_BYTES, STEP, mix, powers, string_buffers
+from strataspark.llm.words import STEP, mix, powers, string_buffers
 
 #: Fixed values of the file format: kinds of pieces, kinds of models, the mark that stands for a space.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
 #: Stretches remembered per Python worker, and the longest of them.
-REMEMBERED, SHORT = 500_000, 64
+REMEMBERED, SHORT = 300_000, 64
 _POWER = powers(SHORT + 1)
 _INVERSE = powers(SHORT + 1, np.uint64(pow(int(STEP), -1, 2**64)))
 
@@ -384,8 +384,8 @@ class BatchEncoder:
                 fresh = np.arange(len(kinds))
             ids, counts = [], []
             order = fresh[np.argsort(size[picked[fresh]], kind="stable")]  # alike lengths together: little padding
-            for k in range(0, len(order), 20_000):
-                some = picked[order[k : k + 20_000]]
+            for k in range(0, len(order), 8_000):
+                some = picked[order[k : k + 8_000]]
                 got, count = self._search(data, start[some], size[some])
                 ids.append(got)
                 counts.append(count)
@@ -431,27 +431,26 @@ def _hash_of(b: bytes) -> np.uint64:
     return mix(np.array([(_BYTE[x] * powers(len(b))).sum(dtype=np.uint64) + np.uint64(len(b))], np.uint64))[0]
 
 
-def encode(docs: DataFrame, model: str | Vocabulary, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` with a column ``ids_col array<int>`` of piece ids; an existing column of that name is replaced.
+#: Bytes of text that are encoded together, and rows that leave a task together.
+TEXT_BYTES, ROWS = 1 << 20, 1000
 
-    ``model`` is the path of a vocabulary file, read on the driver, or a Vocabulary. Null texts have null ids, empty texts an empty list. Texts are encoded whole.
-    """
-    vocabulary = model if isinstance(model, Vocabulary) else Vocabulary(model)
-    rest = docs.drop(ids_col)
-    batched = vocabulary.spaced and vocabulary.lines and vocabulary.dummy_prefix
 
-    def run(batches):
-        many = _encoder(vocabulary)
-        one = many.scalar
-        for batch in batches:
+def _encoded(batches, vocabulary: Vocabulary, text_col: str):
+    """(batch of at most ROWS rows, its ids as a list column)."""
+    many = _encoder(vocabulary)
+    one = many.scalar
+    batched = vocabulary.spaced and vocabulary.lines and vocabulary.dummy_prefix
+    for whole in batches:
+        for k in range(0, len(whole), ROWS):
+            batch = whole.slice(k, ROWS)
             column = batch.column(batch.schema.get_field_index(text_col))
             ids, sizes = [], []
             data, offsets = string_buffers(column)
             i = 0
             while i < len(column):
-                j = min(len(column), max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1))
+                j = min(len(column), max(i + 1, int(np.searchsorted(offsets, offsets[i] + TEXT_BYTES, "right")) - 1))
                 part = data[offsets[i] : offsets[j]]
-                if batched and b"\xe2\x96\x81" not in part.tobytes():
+                if batched and MARK.encode() not in part.tobytes():
                     got, count = many.encode(part, offsets[i : j + 1] - offsets[i])
                 else:  # a text that holds the mark itself, or a vocabulary without sure cuts
                     each = [np.frombuffer(one.encode(data[offsets[t] : offsets[t + 1]].tobytes().decode()), np.int32) for t in range(i, j)]
@@ -459,14 +458,43 @@ def encode(docs: DataFrame, model: str | Vocabulary, text_col: str = "text", ids
                 ids.append(got)
                 sizes.append(count)
                 i = j
-            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32) if sizes else np.zeros(1, np.int32)
+            ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32) if sizes else np.zeros(1, np.int32)
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             null = np.append(column.is_null().to_numpy(zero_copy_only=False), False)
-            made = pa.ListArray.from_arrays(pa.array(offsets, mask=null), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, ids_col])
+            yield batch, pa.ListArray.from_arrays(pa.array(ends, mask=null), values)
+
+
+def _decoded(column, vocabulary: Vocabulary) -> pa.Array:
+    """The texts of a list column of ids."""
+    size = np.array([len(b) for b in vocabulary.text], np.int64)
+    at = np.cumsum(size) - size
+    pool = np.frombuffer(b"".join(vocabulary.text), np.uint8)
+    out = []
+    for ids in column:
+        if not ids.is_valid:
+            out.append(None)
+            continue
+        own = ids.values.to_numpy(zero_copy_only=False)
+        n = size[own]
+        ends = np.cumsum(n)
+        text = pool[np.repeat(at[own] - ends + n, n) + np.arange(ends[-1])].tobytes().decode("utf-8", "replace") if len(own) else ""
+        out.append(text[1:] if vocabulary.dummy_prefix and text.startswith(" ") else text)
+    return pa.array(out, pa.string())
+
+
+def encode(docs: DataFrame, model: str | Vocabulary, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+    """``docs`` with a column ``ids_col array<int>`` of piece ids; an existing column of that name is replaced.
 
-    schema = StructType([*rest.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
-    return rest.mapInArrow(run, schema)
+    ``model`` is the path of a vocabulary file, read on the driver, or a Vocabulary. Null texts have null ids, empty texts an empty list. Texts are encoded whole.
+    """
+    vocabulary = model if isinstance(model, Vocabulary) else Vocabulary(model)
+    rest = docs.drop(ids_col)
+
+    def run(batches):
+        for batch, ids in _encoded(batches, vocabulary, text_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
+
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
 def decode(docs: DataFrame, model: str | Vocabulary, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -478,27 +506,27 @@ def decode(docs: DataFrame, model: str | Vocabulary, ids_col: str = "token_ids",
     rest = docs.drop(text_col)
 
     def run(batches):
-        size = np.array([len(b) for b in vocabulary.text], np.int64)
-        at = np.cumsum(size) - size
-        pool = np.frombuffer(b"".join(vocabulary.text), np.uint8)
-        for batch in batches:
-            out = []
-            for ids in batch.column(batch.schema.get_field_index(ids_col)):
-                if not ids.is_valid:
-                    out.append(None)
-                    continue
-                own = ids.values.to_numpy(zero_copy_only=False)
-                n = size[own]
-                ends = np.cumsum(n)
-                text = pool[np.repeat(at[own] - ends + n, n) + np.arange(ends[-1])].tobytes().decode("utf-8", "replace") if len(own) else ""
-                out.append(text[1:] if vocabulary.dummy_prefix and text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, text_col])
+        for whole in batches:
+            for k in range(0, len(whole), ROWS):
+                batch = whole.slice(k, ROWS)
+                text = _decoded(batch.column(batch.schema.get_field_index(ids_col)), vocabulary)
+                yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, text_col])
 
     return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(text_col, StringType())]))
 
 
-def with_tokens(docs: DataFrame, model: str | Vocabulary) -> DataFrame:
-    """``docs`` with ``token_ids``, ``n_tokens`` and ``round_trip`` (whether decoding gives the text again; null for null texts)."""
+def with_tokens(docs: DataFrame, model: str | Vocabulary, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``token_ids``, ``n_tokens`` and ``round_trip`` (whether decoding gives the text again); all null for null texts. Columns of these names are replaced.
+
+    Encoding and decoding are done in one pass, with one Python worker a task.
+    """
     vocabulary = model if isinstance(model, Vocabulary) else Vocabulary(model)
-    both = decode(encode(docs, vocabulary), vocabulary)
-    return both.withColumns({"n_tokens": F.size("token_ids"), "round_trip": F.col("decoded") == F.col("text")}).drop("decoded")
+    rest = docs.drop("token_ids", "n_tokens", "round_trip")
+
+    def run(batches):
+        for batch, ids in _encoded(batches, vocabulary, text_col):
+            same = pa.compute.equal(_decoded(ids, vocabulary), batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.compute.list_value_length(ids), same], [*batch.schema.names, "token_ids", "n_tokens", "round_trip"])
+
+    more = [StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", IntegerType()), StructField("round_trip", BooleanType())]
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, *more]))
