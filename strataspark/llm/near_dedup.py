@@ -1,13 +1,9 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Plan. One pass over the texts makes, per document, the count of its distinct word shingles, a 128-bit
-fingerprint of the set, ``BANDS * ROWS`` band values and a packed signature of the low bits of all minima.
-Documents of equal sets form a class, and only its smallest id goes on. Classes that share a band meet in a
-bucket. Within buckets nothing is compared pair by pair: each round gives a bucket a few pivots and compares
-the members outside a pivot's component with it. A candidate pair first needs an estimate near the threshold (from
-counted equal bits, corrected for chance collisions), then the exact similarity on full sets. Buckets whose
-members are all one component are closed. What is still open after the last round is compared in full across
-components, so that no link is lost to the pivots.
+Plan. One pass over the texts makes, per document, the count of its distinct word shingles, a 128-bit fingerprint of the set, ``BANDS * ROWS`` band values and a packed signature of the low bits of all minima. Documents of equal
+sets form a class, and only its smallest id goes on. Classes that share a band meet in a bucket. Within buckets nothing is compared pair by pair: members are compared with a pivot, then those outside the largest component with
+a few of its members. A candidate pair first needs an estimate near the threshold (from counted equal bits, corrected for chance collisions), then the exact similarity on full sets. Buckets whose members are all one
+component are closed. Documents in buckets that are still open are joined on the rare ends of their sets, which every similar pair shares, so that no link is lost to the choice of pivots.
 """
 
 from __future__ import annotations
@@ -25,8 +21,8 @@ from strataspark.scratch import materialise
 BANDS, ROWS, MINIMA, LOW_BITS = 42, 6, 256, 2
 #: A pair at the threshold t is estimated below t - 0.16 (five standard deviations) with probability under 1e-6.
 SLACK = 0.16
-#: Pivots of a bucket in each round after the first, which has one.
-PIVOTS = (8, 16)
+#: Pivots of a bucket in the second round, taken from its largest component; the first round has one.
+PIVOTS = 8
 _RNG = np.random.Generator(np.random.PCG64(7))
 _FACTOR = _RNG.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _PER_LONG = 64 // LOW_BITS
@@ -99,6 +95,50 @@ def _estimate():
     return (equal / MINIMA - chance) / (1 - chance)
 
 
+class _Confirm:
+    """Links among candidate pairs: first by the estimate, then by the exact similarity on full sets."""
+
+    def __init__(self, texts: DataFrame, packed: DataFrame, words: int, threshold: float):
+        self.texts, self.packed, self.words, self.threshold, self.percent = texts, packed, words, threshold, round(threshold * 100)
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+        one, other = (self.packed.select(F.col("id").alias(c), F.col("packed").alias(f"p{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+        near = pairs.join(one, "a").join(other, "b")
+        near = near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (_estimate() >= self.threshold - SLACK)).select("a", "b")
+        near = materialise(near, "near")
+        wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+        sets = materialise(self.texts.join(wanted, "id", "left_semi").mapInArrow(_sets(self.words), "id long, items array<long>"), "sets")
+        shared = F.size(F.array_intersect("ia", "ib"))
+        sure = near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
+        return materialise(sure.where(shared * 100 >= (F.size("ia") + F.size("ib") - shared) * self.percent).select("a", "b"), "links")
+
+
+def _open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, id, c)`` of the buckets whose members are of several components; buckets of two were compared in full with their pivot."""
+    named = rows.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
+    ends = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
+    return materialise(named.join(ends.select("key"), "key"), "open")
+
+
+def _all_pairs(left: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(id, other)`` for all pairs of documents in open buckets that can be similar enough and aren't one component.
+
+    Sets are ordered from rare to frequent items. Of two similar sets of size n, the first ``n - ceil(t * n) + 1`` items of either must meet (else too few items are left to be shared), so only those prefixes are joined.
+    Documents that share a frequent passage and little else don't meet, however many they are.
+    """
+    ids = materialise(left.select("id", "c").distinct(), "open-ids")
+    sets = texts.join(ids.select("id"), "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>").dropDuplicates(["id"])
+    items = materialise(sets.select("id", F.explode("items").alias("item")), "items")
+    often = items.groupBy("item").agg(F.count("*").alias("often"))
+    ranked = items.join(often, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("s"))
+    size = F.size("s")
+    prefix = ranked.join(ids, "id").select("id", "c", size.alias("n"), F.explode(F.slice("s", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)).alias("x")).where("x.often > 1")
+    prefix = materialise(prefix.select("id", "c", "n", F.col("x.item").alias("item")), "prefixes")
+    there = prefix.select("item", F.col("id").alias("other"), F.col("c").alias("oc"), F.col("n").alias("on"))
+    return prefix.join(there, "item").where((F.col("c") < F.col("oc")) & (F.least("n", "on") * 100 >= F.greatest("n", "on") * percent)).select("id", "other")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8
 ) -> DataFrame:
@@ -121,50 +161,20 @@ def near_duplicates(
     # only the rows of buckets with two members or more are of use
     rows = materialise(rows.join(buckets, "key").select("key", "id", "pivot"), "buckets")
     packed = materialise(full.join(rows.select("id").distinct(), "id", "left_semi").select("id", "packed", "n"), "packed")
-    fresh = rows.where("pivot < id").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = tested = labels = None
-    for turn, pivots in enumerate([1, *PIVOTS, None]):
-        if turn:
-            left = rows.select("key", "id")
-            left = left.withColumn("c", F.col("id")) if labels is None else left.join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-            ends = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
-            left = materialise(left.join(ends.select("key"), "key"), "open")
-            if pivots:
-                slot = left.withColumn("h", F.xxhash64("id", F.lit(turn))).withColumn("slot", F.pmod("h", F.lit(pivots)))
-                there = slot.groupBy("key", "slot").agg(F.min(F.struct("h", "id", "c")).alias("p"))
-                there = there.select("key", F.col("p.id").alias("other"), F.col("p.c").alias("oc"))
-                fresh = left.join(there, "key").where("c <> oc").select("id", "other")
-            else:
-                there = left.select("key", F.col("id").alias("other"), F.col("c").alias("oc"))
-                fresh = left.join(there, "key").where("c < oc").select("id", "other")
-            fresh = fresh.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
-            fresh = fresh.join(tested, ["a", "b"], "left_anti")
-        fresh = materialise(fresh, "pairs")
-        if turn and fresh.isEmpty():
-            break
-        tested = fresh if tested is None else tested.union(fresh)
-        near = (
-            fresh.join(packed.select(F.col("id").alias("a"), F.col("packed").alias("pa"), F.col("n").alias("na")), "a")
-            .join(packed.select(F.col("id").alias("b"), F.col("packed").alias("pb"), F.col("n").alias("nb")), "b")
-            .where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_estimate() >= threshold - SLACK))
-            .select("a", "b")
-        )
-        near = materialise(near, "near")
-        wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-        sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>")
-        sets = materialise(sets, "sets")
-        shared = F.size(F.array_intersect("ia", "ib"))
-        sure = (
-            near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
-            .where(shared * 100 >= (F.size("ia") + F.size("ib") - shared) * percent)
-            .select("a", "b")
-        )
-        sure = materialise(sure, "links")
-        if turn and sure.isEmpty():
-            continue
-        links = sure if links is None else links.union(sure)
-        labels = materialise(connected_components(links), "labels")
+    confirm = _Confirm(texts, packed, words, threshold)
+    links = confirm(rows.where("pivot < id").select("id", F.col("pivot").alias("other")))
+    labels = materialise(connected_components(links), "labels")
+
+    left = _open_rows(rows, labels)
+    sizes = left.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
+    left = left.join(sizes, "key")
+    slot = left.where("c = main").withColumn("h", F.xxhash64("id")).groupBy("key", F.pmod("h", F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("h", "id")).alias("p"))
+    fresh = left.where("c <> main").join(slot.select("key", F.col("p.id").alias("other")), "key").select("id", "other")
+    links = links.union(confirm(fresh))
+    labels = materialise(connected_components(links), "labels")
+
+    links = links.union(confirm(_all_pairs(_open_rows(rows, labels), texts, words, percent)))
+    labels = materialise(connected_components(links), "labels")
     named = made.select("id", "n", "k1", "k2").join(classes.drop("n"), ["k1", "k2"], "left")
     named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     # an id met twice: its rows are one document with the smallest component of them
