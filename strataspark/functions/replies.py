@@ -13,7 +13,7 @@ def _trim(c: Column) -> Column:
 
 
 def clamp_valence(v: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
+    return F.when(v.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v)))
 
 
 def parse_valence(reply: Column) -> Column:
@@ -27,7 +27,8 @@ def parse_importance(reply: Column) -> Column:
     """A whole number, else the first digit 1 to 9; clamped to 1..10; null if there is none."""
     whole = F.when(F.rlike(_trim(reply), F.lit(r"^[+-]?[0-9]+$")), _trim(reply).try_cast("long"))
     digit = F.nullif(F.regexp_extract(reply, "([1-9])", 1), F.lit("")).try_cast("long")
-    return F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(whole, digit))).cast("int")
+    number = F.coalesce(whole, digit)
+    return F.when(number.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), number))).cast("int")
 
 
 def strip_code_fence(reply: Column) -> Column:

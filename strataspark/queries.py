@@ -358,7 +358,7 @@ def detect_intents(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.detect_intents(F.col("text")).alias("intents"))
 
 
-@query("SELECT page_id, url, regexp_matches(p, '^[^/]+/(?:[^/]+/)*[0-9][^/]*$') AND NOT regexp_matches(p, '^(?:[^/]+/)*fr/[^/]*$') AS accepted FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '^https?://', ''), '[#?].*$', '') AS p FROM pages)")
+@query("SELECT page_id, url, regexp_matches(p, '^[^/]+/(?:[^/]+/)*[0-9][^/]*$') AND NOT regexp_matches(p, '^(?:[^/]+/)*fr/[^/]*$') AS accepted FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(url, '^https?://', ''), '[#?].*$', ''), '/') AS p FROM pages)")
 def glob_filter(spark, sf_dir):
     path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[#?].*$", "")
     return _table(spark, sf_dir, "pages").select("page_id", "url", text.path_accepted(path, ["*/**/[0-9]*"], ["**/fr/*"]).alias("accepted"))
@@ -457,10 +457,10 @@ def approach_summary(spark, sf_dir):
 
 @query("""
 WITH u AS (SELECT DISTINCT 'a' || c_nationkey % 3 AS account, 'o' || c_nationkey AS org, 'u' || c_custkey % 50 AS "user" FROM customer), o AS (SELECT account, org, list("user" ORDER BY "user") AS users FROM u GROUP BY 1, 2)
-SELECT account, list({'org': org, 'users': users} ORDER BY org) AS orgs FROM o GROUP BY 1""")
+SELECT account, org, users FROM o""")
 def identities_tree(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select(F.concat(F.lit("a"), (F.col("c_nationkey") % 3).cast("string")).alias("account"), F.concat(F.lit("o"), F.col("c_nationkey").cast("string")).alias("org"), F.concat(F.lit("u"), (F.col("c_custkey") % 50).cast("string")).alias("user"))
-    return aggregates.identities_tree(c)
+    return aggregates.identities_tree(c).select("account", F.explode("orgs").alias("o")).select("account", "o.org", "o.users")
 
 
 @query("""
@@ -516,12 +516,12 @@ _KNN = """
 near AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS id, list_distance(qv, CAST(embedding AS DOUBLE[])) AS distance FROM qry, embeddings WHERE qv IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, CAST(vec_id AS VARCHAR)) <= {k})"""
 _BM25 = """
-toks AS (SELECT id, regexp_extract_all(strip_accents(lower(content)), '[\\p{{L}}\\p{{N}}]+') AS t FROM mem), sizes AS (SELECT id, len(t) AS len FROM toks), glob AS (SELECT count(*) AS docs, avg(len) AS mean FROM sizes),
+toks AS (SELECT id, regexp_extract_all(strip_accents(lower(content)), '[\\p{{L}}\\p{{N}}]+') AS t FROM mem), sizes AS (SELECT id, len(t) AS len FROM toks), overall AS (SELECT count(*) AS docs, avg(len) AS mean FROM sizes),
 terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(strip_accents(lower(query)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM qry),
 posts AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM toks) GROUP BY ALL), hits AS (SELECT query_id, term, id, tf FROM terms JOIN posts USING (term)),
 dfs AS (SELECT query_id, term, count(*) AS df FROM hits GROUP BY ALL),
 bm AS (SELECT query_id, id, round(sum(greatest(0.000001, ln((docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS bm25
-  FROM hits JOIN dfs USING (query_id, term) JOIN sizes USING (id) CROSS JOIN glob GROUP BY ALL),
+  FROM hits JOIN dfs USING (query_id, term) JOIN sizes USING (id) CROSS JOIN overall GROUP BY ALL),
 texts AS (SELECT query_id, id, bm25 FROM bm JOIN live USING (id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) <= {k})"""
 _KNN, _BM25 = _KNN.replace("{k}", "30"), _BM25.replace("{{", "{").replace("}}", "}").replace("{k}", "30")
 
@@ -542,9 +542,9 @@ def knn_postfilter(spark, sf_dir):
     return retrieval.vector_search(memories(spark, sf_dir), vector_table(spark, sf_dir), query_table(spark, sf_dir), 30, [3, 4])
 
 
-@query("SELECT CAST(x.vec_id AS VARCHAR) AS a, CAST(y.vec_id AS VARCHAR) AS b, CAST(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS DOUBLE) AS cosine FROM embeddings x JOIN embeddings y ON CAST(x.vec_id AS VARCHAR) < CAST(y.vec_id AS VARCHAR) WHERE list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) >= 0.6")
+@query("SELECT CAST(x.vec_id AS VARCHAR) AS a, CAST(y.vec_id AS VARCHAR) AS b, CAST(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS DOUBLE) AS cosine FROM embeddings x JOIN embeddings y ON CAST(x.vec_id AS VARCHAR) < CAST(y.vec_id AS VARCHAR) WHERE list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) >= 0.35")
 def cosine_pairs(spark, sf_dir):
-    return cluster.cosine_pairs(vector_table(spark, sf_dir), 0.6)
+    return cluster.cosine_pairs(vector_table(spark, sf_dir), 0.35)
 
 
 @query(f"WITH {MEM}, {QRY}, {_BM25.replace('30', '20')} SELECT query_id, id, bm25 FROM texts")
@@ -557,7 +557,7 @@ WITH {MEM}, {QRY}, {_KNN}, {_BM25}, cand AS (SELECT query_id, id FROM near JOIN
 scored AS (SELECT query_id, id, layer, valence, round((0.333 * exp(-0.9995 * (epoch(TIMESTAMP '{NOW}') - epoch(created_at)) / 3600.0) + 0.333 * importance / 10.0
     + 0.333 * coalesce(CAST(CAST(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv) AS FLOAT) AS DOUBLE), 0) + coalesce(0.15 * CAST(valence AS DOUBLE) * abs(CAST(valence AS DOUBLE)), 0)) * BOOST, 9) AS score
   FROM cand JOIN live USING (id) JOIN qry USING (query_id) LEFT JOIN embeddings ON vec_id = n WHERE RANGE)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM scored QUALIFY rank <= 10"""
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, round(score, 4) AS score FROM scored QUALIFY rank <= 10"""
 
 
 def _hybrid(sql_boost="1", sql_range="true"):
@@ -565,7 +565,7 @@ def _hybrid(sql_boost="1", sql_range="true"):
 
 
 def _searched(spark, sf_dir, how, **more):
-    return plans.hybrid_search(memories(spark, sf_dir, True), query_table(spark, sf_dir), NOW, how, **more).select("query_id", "rank", "id", "score")
+    return plans.hybrid_search(memories(spark, sf_dir, True), query_table(spark, sf_dir), NOW, how, **more).select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
 @query(_hybrid())
@@ -575,7 +575,7 @@ def hybrid_search_batch(spark, sf_dir):
 
 @query(_hybrid() + " AND query_id = 0")
 def hybrid_search(spark, sf_dir):
-    return plans.hybrid_search(memories(spark, sf_dir, True), query_table(spark, sf_dir).where("query_id = 0"), NOW).select("query_id", "rank", "id", "score")
+    return plans.hybrid_search(memories(spark, sf_dir, True), query_table(spark, sf_dir).where("query_id = 0"), NOW).select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
 @query(_hybrid("CASE WHEN lang = 'de' THEN 1.5 ELSE 1 END"))
@@ -593,10 +593,10 @@ def search_per_layer(spark, sf_dir):
     return plans.per_layer_search(memories(spark, sf_dir, True), query_table(spark, sf_dir), NOW).select("query_id", "layer", "rank", "id", "score")
 
 
-@query(f"WITH {QRY}, near AS (SELECT CAST(x.vec_id AS VARCHAR) AS from_id, CAST(y.vec_id AS VARCHAR) AS to_id, CAST(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS FLOAT) AS weight FROM embeddings x, embeddings y WHERE x.vec_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), CAST(y.vec_id AS VARCHAR)) <= 6) SELECT from_id, to_id, 'relates_to' AS edge_type, weight FROM near WHERE from_id <> to_id AND weight >= CAST(0.5 AS FLOAT)")
+@query(f"WITH {QRY}, near AS (SELECT CAST(x.vec_id AS VARCHAR) AS from_id, CAST(y.vec_id AS VARCHAR) AS to_id, CAST(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS FLOAT) AS weight FROM embeddings x, embeddings y WHERE x.vec_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), CAST(y.vec_id AS VARCHAR)) <= 6) SELECT from_id, to_id, 'relates_to' AS edge_type, weight FROM near WHERE from_id <> to_id AND weight >= CAST(0.3 AS FLOAT)")
 def auto_link(spark, sf_dir):
     v = vector_table(spark, sf_dir).withColumn("compacted_at", F.lit(None).cast("timestamp"))
-    return cluster.auto_link(v, v.where("cast(id as long) % 10 = 0"), threshold=0.5)
+    return cluster.auto_link(v, v.where("cast(id as long) % 10 = 0"), threshold=0.3)
 
 
 # graph
@@ -641,4 +641,4 @@ def pagerank_20(spark, sf_dir):
 @query()
 def greedy_clusters(spark, sf_dir):
     v = vector_table(spark, sf_dir).withColumn("created_at", F.timestamp_seconds(F.col("id").cast("long")))
-    return cluster.greedy_clusters(v, 0.6, 2)
+    return cluster.greedy_clusters(v, 0.35, 2)
