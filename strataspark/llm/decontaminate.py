@@ -74,12 +74,22 @@ def _seeds(ids: np.ndarray, column: pa.Array) -> Seeds:
 
 
 def _stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(begin, end, equal words) of the local stretch that scores best with +1 for an equal word and -3 for another."""
-    total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -3))))
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.argmin(total[: end + 1]))
-    return begin, end, int(equal[begin:end].sum())
+    """(begin, end, equal words) of the longest stretch with MIN_EQUAL of its words equal, without other words at its ends; the first of equals."""
+    cost = round(MIN_EQUAL / (1 - MIN_EQUAL))
+    total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -cost))))
+    top = np.maximum.accumulate(total[::-1])[::-1]  # the best total from here on
+    best, begin, end, low, j = 0, 0, 0, np.inf, 0
+    for i in range(len(equal)):
+        if total[i] >= low:
+            continue  # an earlier begin reaches as far
+        low = total[i]
+        j = max(j, i)
+        while j + 1 <= len(equal) and top[j + 1] >= low:
+            j += 1
+        if j - i > best:
+            best, begin, end = j - i, i, j
+    own = np.flatnonzero(equal[begin:end])
+    return (begin + int(own[0]), begin + int(own[-1]) + 1, len(own)) if len(own) else (0, 0, 0)
 
 
 def _find(w: Words, seeds: Seeds, quick: list) -> dict[tuple[int, int], tuple[int, int, int]]:
