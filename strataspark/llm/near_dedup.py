@@ -133,10 +133,12 @@ def _all_pairs(left: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     often = items.groupBy("item").agg(F.count("*").alias("often"))
     ranked = items.join(often, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("s"))
     size = F.size("s")
-    prefix = ranked.join(ids, "id").select("id", "c", size.alias("n"), F.explode(F.slice("s", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)).alias("x")).where("x.often > 1")
-    prefix = materialise(prefix.select("id", "c", "n", F.col("x.item").alias("item")), "prefixes")
-    there = prefix.select("item", F.col("id").alias("other"), F.col("c").alias("oc"), F.col("n").alias("on"))
-    return prefix.join(there, "item").where((F.col("c") < F.col("oc")) & (F.least("n", "on") * 100 >= F.greatest("n", "on") * percent)).select("id", "other")
+    prefix = ranked.join(ids, "id").select("id", "c", size.alias("n"), F.posexplode(F.slice("s", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)).alias("pos", "x")).where("x.often > 1")
+    prefix = materialise(prefix.select("id", "c", "n", (F.col("n") - F.col("pos")).alias("rest"), F.col("x.item").alias("item")), "prefixes")
+    there = prefix.select("item", F.col("id").alias("other"), F.col("c").alias("oc"), F.col("n").alias("on"), F.col("rest").alias("orest"))
+    # what two sets share lies behind their first common item: too little left behind it on either side rules a pair out
+    enough = F.least("rest", "orest") * (100 + percent) >= (F.col("n") + F.col("on")) * percent
+    return prefix.join(there, "item").where((F.col("c") < F.col("oc")) & enough).select("id", "other")
 
 
 def near_duplicates(
