@@ -120,13 +120,13 @@ def carry_headers(parsed: DataFrame) -> DataFrame:
 
 def read_transcripts(spark: SparkSession, path: str, dialect: str | None = None) -> DataFrame:
     """Stored lines of transcript files with their session and cwd. Line numbers are positions within a file, which is read whole."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return carry_headers(parse_lines(files.where("value <> ''"), dialect)).where("content is not null").drop("header", "paths")
 
 
 def read_documents(spark: SparkSession, path: str, include: list[str] | None = None, exclude: list[str] | None = None, extensions: list[str] | None = None) -> DataFrame:
     """``(path, content, hash)`` of the files below a folder that the globs accept; paths are relative."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     root = path.split("://")[-1].rstrip("/") + "/"
     rel = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + "\\Q" + root + "\\E", "")
     rows = files.select(rel.alias("path"), F.col("value").alias("content"))

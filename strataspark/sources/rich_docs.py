@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _paragraph(p: dict) -> str:
@@ -44,7 +45,7 @@ def _markdown(text: str | None) -> str | None:
     return "\n\n".join(x for x in _blocks(body) if x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def rich_doc_markdown(docs: pd.Series) -> pd.Series:
     """Markdown of a document's JSON; null for anything else. Table cells nest, which column expressions can't follow."""
     return docs.map(_markdown)

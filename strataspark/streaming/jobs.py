@@ -80,7 +80,7 @@ class _Siblings(StatefulProcessor):
 def span_edge_stream(requests: DataFrame, column: str = "value", ids: str = "base64") -> DataFrame:
     """Edges from each new span to the first spans of its trace, from a stream of OTLP requests."""
     spans = parse_spans(requests, column, ids).select("trace_id", "span_id", "start_nano")
-    return spans.groupBy("trace_id").transformWithStateInPandas(_Siblings(), "from_id string, to_id string, edge_type string, weight double", "Append", "None")
+    return spans.groupBy("trace_id").transformWithStateInPandas(_Siblings(), "from_id string, to_id string, edge_type string, weight double", "Append", "ProcessingTime")
 
 
 def observation_stream(spark: SparkSession, path: str, now) -> DataFrame:
