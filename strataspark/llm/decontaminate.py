@@ -1,6 +1,6 @@
 """Benchmark passages in training texts, by spaced-seed hashing.
 
-A mask such as ``1101100101`` hashes the words at its ones and ignores the others, so a hit survives substituted words at the zeros. Hashes of
+A mask such as ``1101011`` hashes the words at its ones and ignores the others, so a hit survives substituted words at the zeros. Hashes of
 all positions of the test items (sized, and cut into blocks that are broadcast one after the other) are looked up at all positions of the training texts.
 A hit fixes how item and text lie against each other; around it words are compared one by one, and the best local stretch must be long enough and equal
 enough. Texts never move: each is read whole where it lies.
@@ -17,9 +17,15 @@ from pyspark.sql import functions as F
 
 from strataspark.llm.words import LETTERS_ONLY, Words, chunks, mix
 
-#: Fixed masks. Items of fewer than 10 words are sought with the last one, which is short.
-MASKS = ("1101100101", "1110010011", "1011001101", "1100111001", "11111")
-LONG = 10
+#: Masks by the words of an item (from, up to). Each family hits every overlap that :func:`contaminated` promises, wherever its substituted words are; the tests
+#: go through all of them. Lengths up to 23 are enough: of a longer overlap one half is an overlap too, as both have 12 words and not both can have less than the whole's share of equal ones.
+FAMILIES = (
+    (5, 6, ("1111", "11011", "10111", "11101")),
+    (7, 9, ("11111", "110111", "111011")),
+    (10, 11, ("1111011", "11001111", "110110011", "11110101", "10101111")),
+    (12, 2**31, ("1111011", "110010111", "1110100011", "1011111")),
+)
+MASKS = tuple((low, high, mask) for low, high, masks in FAMILIES for mask in masks)
 MIN_WORDS, MIN_STRETCH, MIN_EQUAL = 5, 12, 0.8
 #: Words of test items that are broadcast at once (8 bytes each, their seeds 16 bytes a mask: about 100 MB at most).
 BLOCK_WORDS = 1_000_000
@@ -60,9 +66,9 @@ def _seeds(ids: np.ndarray, column: pa.Array) -> Seeds:
     size = np.diff(first)
     of = np.repeat(np.arange(len(size)), size)
     tables = []
-    for m, mask in enumerate(MASKS):
+    for m, (low, high, mask) in enumerate(MASKS):
         at = _inside(first, len(words), len(mask))
-        fits = (size >= LONG) if len(mask) == LONG else (size >= MIN_WORDS) & (size < LONG)
+        fits = (size >= low) & (size <= high)
         at = at[fits[of[at]]] if len(at) else at
         hashes = _masked(words, mask, m)[at]
         order = np.argsort(hashes, kind="stable")
@@ -73,8 +79,8 @@ def _seeds(ids: np.ndarray, column: pa.Array) -> Seeds:
     return Seeds(np.asarray(ids, np.int64), words, first, tables)
 
 
-def _stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(begin, end, equal words) of the longest stretch with MIN_EQUAL of its words equal, without other words at its ends; the first of equals."""
+def _stretch(equal: np.ndarray) -> tuple[int, int, int, int]:
+    """(words, begin, end, equal words) of the longest stretch with MIN_EQUAL of its words equal, the first of equals: its length, then what is left of it without other words at its ends."""
     cost = round(MIN_EQUAL / (1 - MIN_EQUAL))
     total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -cost))))
     top = np.maximum.accumulate(total[::-1])[::-1]  # the best total from here on
@@ -89,7 +95,7 @@ def _stretch(equal: np.ndarray) -> tuple[int, int, int]:
         if j - i > best:
             best, begin, end = j - i, i, j
     own = np.flatnonzero(equal[begin:end])
-    return (begin + int(own[0]), begin + int(own[-1]) + 1, len(own)) if len(own) else (0, 0, 0)
+    return (best, begin + int(own[0]), begin + int(own[-1]) + 1, len(own)) if len(own) else (0, 0, 0, 0)
 
 
 def _find(w: Words, seeds: Seeds, quick: list) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -98,7 +104,7 @@ def _find(w: Words, seeds: Seeds, quick: list) -> dict[tuple[int, int], tuple[in
     if not len(w.hashes):
         return found
     of, tried = w.text_of_word(), set()
-    for m, mask in enumerate(MASKS):
+    for m, (_, _, mask) in enumerate(MASKS):
         hashes, item, offset, _ = seeds.tables[m]
         if not len(hashes) or len(w.hashes) < len(mask):
             continue
@@ -120,8 +126,8 @@ def _find(w: Words, seeds: Seeds, quick: list) -> dict[tuple[int, int], tuple[in
             tried.add((t, i, d))
             a, b = int(seeds.first[i]), int(seeds.first[i + 1])
             lo_w, hi_w = max(d, int(w.first[t])), min(d + b - a, int(w.first[t + 1]))
-            begin, end, equal = _stretch(w.hashes[lo_w:hi_w] == seeds.words[a + lo_w - d : a + hi_w - d])
-            if end - begin >= min(b - a, MIN_STRETCH) and equal >= MIN_EQUAL * (end - begin):
+            size, begin, end, equal = _stretch(w.hashes[lo_w:hi_w] == seeds.words[a + lo_w - d : a + hi_w - d])
+            if size >= min(b - a, MIN_STRETCH):
                 base = lo_w - int(w.first[t])
                 best = (equal, -(base + begin), base + end)
                 if best > found.get((t, i), (0, 0, 0)):
@@ -150,7 +156,7 @@ def contaminated(
     """``(id_col, item_id_col, equal_words, start_word, end_word)`` for every text and test item that overlap.
 
     Words are runs of letters and digits, A-Z lower-cased. An overlap is a stretch of at least ``MIN_STRETCH`` words (of the whole item, if that is shorter) in which
-    ``MIN_EQUAL`` of the words are equal; the longest is reported, the first of equals. Items of fewer than ``MIN_WORDS`` words, null items and null ids match nothing; null and empty texts hold
+    ``MIN_EQUAL`` of the words are equal; the longest is reported, the first of equals, without unequal words at its ends. Items of fewer than ``MIN_WORDS`` words, null items and null ids match nothing; null and empty texts hold
     nothing. Repeated rows of docs come back once a row; of an item id, once.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")

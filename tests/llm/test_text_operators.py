@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,42 @@ def test_contamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_masks_hit_every_allowed_overlap():
+    for low, high, masks in decontaminate.FAMILIES:
+        hits = lambda n: [sum(1 << (o + j) for j, b in enumerate(m) if b == "1") for m in masks for o in range(n - len(m) + 1)]  # noqa: B023, E731
+        for n in range(low, min(high, 23) + 1):
+            at = hits(n)
+            for other in combinations([1 << k for k in range(n)], n // 5):
+                assert any(not h & sum(other) for h in at), (n, other)
+
+
+def test_contamination_equals_brute_force(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    items = [(n, [word() for _ in range(n)]) for n in range(4, 26)]
+    docs, lies = [], []
+    for i, w in items:
+        for _ in range(60):
+            k = r.randint(min(12, len(w)), len(w))
+            part = w[(at := r.randint(0, len(w) - k)) : at + k]
+            for x in r.sample(range(k), min(k, k // 5 + r.choice((0, 0, 1)))):
+                part[x] = word()
+            front = [word() for _ in range(r.choice((0, 3)))]
+            docs.append((len(docs), " ".join(front + part + [word() for _ in range(r.choice((0, 3)))])))
+            lies.append((i, w, len(front) - at))
+    want = set()
+    for (d, t), (i, w, lie) in zip(docs, lies, strict=True):
+        t = t.split()
+        same = {j: t[j] == w[j - lie] for j in range(max(0, lie), min(len(t), lie + len(w)))}
+        for a in same:
+            for b in range(a + min(len(w), 12), max(same) + 2):
+                if len(w) >= 5 and 5 * sum(same[j] for j in range(a, b)) >= 4 * (b - a):
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    out = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(x.doc_id, x.item_id) for x in out} == want and 0 < len(want) < len(docs)
+
+
 def labelled(spark, bad, n=300):
     r = random.Random(4)
     calm = ["table", "green", "walk", "river", "stone", "light", "paper", "cloud"]
