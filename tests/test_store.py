@@ -133,3 +133,38 @@ def test_greedy_clusters(spark):
                 free[m] = False
                 want.add((order[m][0], order[s][0], pos))
     assert got == want and len(want) > 60
+
+
+def greedy_by_hand(rows, threshold, min_size):
+    import numpy as np
+
+    order = sorted((x for x in rows if x[2] and any(x[2])), key=lambda x: (x[1], x[0]))
+    unit = [np.array(x[2], np.float32).astype(float) / np.linalg.norm(np.array(x[2], np.float32).astype(float)) for x in order]
+    free, want = [True] * len(order), set()
+    for s in range(len(order)):
+        members = [s] if free[s] else []
+        for j in range(s + 1, len(order) if members else 0):
+            if free[j] and all(np.float32(unit[j] @ unit[m]) >= np.float32(threshold) for m in members):
+                members.append(j)
+        if len(members) >= min_size:
+            for pos, m in enumerate(members):
+                free[m] = False
+                want.add((order[m][0], order[s][0], pos))
+    return want
+
+
+@pytest.mark.parametrize(("min_size", "group_nodes"), [(2, 20), (5, 20), (5, 4096)])
+def test_greedy_clusters_of_copies(spark, monkeypatch, min_size, group_nodes):
+    import random
+
+    import numpy as np
+
+    r = random.Random(min_size)
+    base = [[float(x) for x in np.eye(5)[r.randrange(3)] + 0.5 * np.array([r.gauss(0, 1) for _ in range(5)])] for _ in range(60)]
+    rows = [(i, T(2024, 1, 1, r.randrange(20)), base[0] if i % 3 == 0 else r.choice(base)) for i in range(240)]
+    paired, plain = [], cluster.cosine_pairs
+    monkeypatch.setattr(cluster, "cosine_pairs", lambda v, *more: (paired.append(v.count()), plain(v, *more))[1])
+    df = spark.createDataFrame(rows, "id long, created_at timestamp, embedding array<float>")
+    got = {(x.id, x.cluster, x.pos) for x in cluster.greedy_clusters(df, 0.75, min_size, group_nodes=group_nodes).collect()}
+    assert got == greedy_by_hand(rows, 0.75, min_size) and len({x[1] for x in got}) > 3
+    assert max(paired) <= 60  # copies have no pairs
