@@ -322,7 +322,7 @@ WITH s AS (SELECT 's' || event_id AS id, 't' || user_id AS trace_id, row_number(
 SELECT a.id AS from_id, b.id AS to_id, 'same_trace' AS edge_type, CAST(1 AS FLOAT) AS weight FROM s a JOIN s b ON a.trace_id = b.trace_id AND b.n < a.n AND b.n <= 5""")
 def same_trace_edges(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("trace_id"), F.col("event_id").alias("seq"))
-    return joins.same_trace_edges(e, 5)
+    return joins.same_trace_edges(e)
 
 
 @query(f"WITH {MEM}, {EDG} SELECT id FROM (SELECT DISTINCT 'p' || p_partkey AS id FROM part) WHERE id NOT IN (SELECT from_id FROM edges WHERE edge_type = 'derived_from' UNION SELECT to_id FROM edges WHERE edge_type = 'derived_from')")
