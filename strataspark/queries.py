@@ -343,7 +343,7 @@ def score_parts(spark, sf_dir):
 
 @query("SELECT doc_id, trim(regexp_replace(lower(left(text, 120)), '[^a-z0-9]+', '-', 'g'), '-')[1:80] AS slug FROM documents")
 def slugs(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", text.slug(F.substring("text", 1, 120)).alias("slug"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query("""
@@ -366,7 +366,7 @@ def glob_filter(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(hex(encode(left(text, 12)))) ELSE '!' || left(text, 12) END AS decoded FROM documents")
 def base64_hex(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.base64(F.encode(F.substring("text", 1, 12), "UTF-8"))).otherwise(F.concat(F.lit("!"), F.substring("text", 1, 12))).alias("t"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "")).otherwise(F.concat(F.lit("!"), "text")).alias("t"))
     return d.select("doc_id", text.base64_to_hex(F.col("t")).alias("decoded"))
 
 

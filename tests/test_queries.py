@@ -1,6 +1,7 @@
 """Registered queries against brute force over small tables."""
 
 import random
+import re
 
 from strataspark import queries
 
@@ -21,3 +22,11 @@ def test_same_trace_edges(spark, tmp_path):
         traces.setdefault(user, []).append(i)
     got = [(x.from_id, x.to_id) for x in queries.same_trace_edges(spark, sf).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_slugs_and_hex_of_whole_texts(spark, tmp_path):
+    texts = ["--- " * 50 + "Long title, é and more " * 9, "two\nlines " * 40, "short", "x" * 61, "", "ü" * 100]
+    sf = save(spark, tmp_path, documents=(list(enumerate(texts + texts[::-1] + ["odd"] + texts)), "doc_id long, text string"))
+    docs = dict(enumerate(texts + texts[::-1] + ["odd"] + texts))
+    assert {x.doc_id: x.slug for x in queries.slugs(spark, sf).collect()} == {i: re.sub("[^a-z0-9]+", "-", t.lower()).strip("-")[:80] for i, t in docs.items()}
+    assert {x.doc_id: x.decoded for x in queries.base64_hex(spark, sf).collect()} == {i: "!" + t if i % 2 else t.encode().hex() for i, t in docs.items()}
