@@ -58,7 +58,7 @@ def edge_table(spark, sf_dir) -> DataFrame:
 
 
 def query_table(spark, sf_dir) -> DataFrame:
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 3), " ").alias("query"))
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
     return items.join(vectors, "item_id", "left").select(F.col("item_id").alias("query_id"), "query", "embedding")
 
@@ -529,7 +529,8 @@ _KNN, _BM25 = _KNN.replace("{k}", "30"), _BM25.replace("{{", "{").replace("}}",
 @query("SELECT CAST(vec_id AS VARCHAR) AS id, list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS distance FROM embeddings ORDER BY distance, id LIMIT 10")
 def knn_l2(spark, sf_dir):
     v = vector_table(spark, sf_dir)
-    return retrieval.knn(v, v.where("id = '0'").first().embedding, 10)
+    asked = v.where("cast(id as long) % 50 = 0").withColumnRenamed("id", "query_id")
+    return retrieval.knn_join(v, asked, 10).drop("rank")
 
 
 @query(f"WITH {QRY}, {_KNN.replace('30', '12')} SELECT query_id, id, distance FROM near")
@@ -575,7 +576,7 @@ def hybrid_search_batch(spark, sf_dir):
 
 @query(_hybrid() + " AND query_id = 0")
 def hybrid_search(spark, sf_dir):
-    return plans.hybrid_search(memories(spark, sf_dir, True), query_table(spark, sf_dir).where("query_id = 0"), NOW).select("query_id", "rank", "id", F.round("score", 4).alias("score"))
+    return plans.hybrid_search(memories(spark, sf_dir, True), query_table(spark, sf_dir).where("query_id % 50 = 0"), NOW).select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
 @query(_hybrid("CASE WHEN lang = 'de' THEN 1.5 ELSE 1 END"))
@@ -596,7 +597,7 @@ def search_per_layer(spark, sf_dir):
 @query(f"WITH {QRY}, near AS (SELECT CAST(x.vec_id AS VARCHAR) AS from_id, CAST(y.vec_id AS VARCHAR) AS to_id, CAST(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS FLOAT) AS weight FROM embeddings x, embeddings y WHERE x.vec_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), CAST(y.vec_id AS VARCHAR)) <= 6) SELECT from_id, to_id, 'relates_to' AS edge_type, weight FROM near WHERE from_id <> to_id AND weight >= CAST(0.3 AS FLOAT)")
 def auto_link(spark, sf_dir):
     v = vector_table(spark, sf_dir).withColumn("compacted_at", F.lit(None).cast("timestamp"))
-    return cluster.auto_link(v, v.where("cast(id as long) % 10 = 0"), threshold=0.3)
+    return cluster.auto_link(v, v, threshold=0.3)
 
 
 # graph

@@ -30,3 +30,17 @@ def test_slugs_and_hex_of_whole_texts(spark, tmp_path):
     docs = dict(enumerate(texts + texts[::-1] + ["odd"] + texts))
     assert {x.doc_id: x.slug for x in queries.slugs(spark, sf).collect()} == {i: re.sub("[^a-z0-9]+", "-", t.lower()).strip("-")[:80] for i, t in docs.items()}
     assert {x.doc_id: x.decoded for x in queries.base64_hex(spark, sf).collect()} == {i: "!" + t if i % 2 else t.encode().hex() for i, t in docs.items()}
+
+
+def test_searches_take_whole_texts_and_all_rows(spark, tmp_path):
+    r = random.Random(2)
+    vectors = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(3)]
+    sf = save(spark, tmp_path, embeddings=(vectors, "vec_id long, embedding array<float>"), benchmark=(items, "item_id long, text string"))
+    assert {x.query_id: x.query for x in queries.query_table(spark, sf).collect()} == dict(items)
+    v = {str(x.vec_id): x.embedding for x in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    far = lambda q, n: sorted(v, key=lambda i: (sum((x - y) ** 2 for x, y in zip(v[q], v[i], strict=True)), i))[:n]
+    links = {(q, i) for q in v for i in far(q, 6) if i != q and dot(v[q], v[i]) >= 0.3 * (dot(v[q], v[q]) * dot(v[i], v[i])) ** 0.5}
+    assert {(x.from_id, x.to_id) for x in queries.auto_link(spark, sf).collect()} == links
+    assert {(x.query_id, x.id) for x in queries.knn_l2(spark, sf).collect()} == {(q, i) for q in ("0", "50", "100") for i in far(q, 10)}
