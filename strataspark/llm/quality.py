@@ -1,8 +1,7 @@
 """Text quality by nearest-neighbour voting in a latent-semantic space.
 
-A document is a vector of term weights: words (hashed, tf-idf with document frequencies counted over all documents) and
-marks of style (which bytes it is written with, how words and lines repeat, how long they are). A truncated singular value decomposition
-of labelled documents gives the latent space. The labelled vectors are broadcast (their number is a parameter); every document
+A document is a vector of hashed terms: words, weighted by tf-idf with document frequencies counted over all documents, and pairs of neighbouring bytes (case and signs included), weighted by tf.
+A truncated singular value decomposition of labelled documents gives the latent space. The labelled vectors are broadcast (their number is a parameter); every document
 takes exact cosine products with all of them, in blocks, and its nearest neighbours vote with their similarity as weight.
 """
 
@@ -18,11 +17,9 @@ from pyspark.sql import functions as F
 from strataspark.llm.words import LETTERS_ONLY, Words, chunks, mix
 from strataspark.scratch import materialise
 
-WORD_TERMS = 2048
-_BYTES = 130
-_DENSE = 8
-STYLE_TERMS = _BYTES + _DENSE
-BLOCK = 256
+#: Buckets of words and of byte pairs, and the texts that are worked on at once.
+WORD_TERMS, PAIR_TERMS, BLOCK = 2048, 1024, 256
+_PAIR = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(PAIR_TERMS)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -31,73 +28,43 @@ class QualityModel:
 
     idf: np.ndarray
     centre: np.ndarray
-    scale: np.ndarray
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
     neighbours: int
 
 
-def _buckets(w: Words) -> np.ndarray:
-    return (w.hashes % np.uint64(WORD_TERMS)).astype(np.int64)
-
-
-def _style(w: Words, n: int) -> np.ndarray:
-    """Marks of style of ``n`` texts: roots of byte shares, then repetition and length."""
-    out = np.zeros((n, STYLE_TERMS), np.float32)
-    size = np.diff(w.text_at)
-    if not len(w.data):
-        return out
-    kind = np.minimum(w.data, 128).astype(np.int64)
-    of = np.repeat(np.arange(n), size)
-    share = np.bincount(of * _BYTES + kind, minlength=n * _BYTES).reshape(n, _BYTES)
-    out[:, :_BYTES] = np.sqrt(share / np.maximum(size, 1)[:, None])
-    words = np.maximum(np.diff(w.first), 1)
-    of_word = w.text_of_word()
-    length = w.end - w.start
-    same = np.zeros(len(w.hashes), bool)
-    if len(same) > 1:
-        same[1:] = (w.hashes[1:] == w.hashes[:-1]) & (of_word[1:] == of_word[:-1])
-    key = mix(w.hashes + of_word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    distinct = np.zeros(len(key), bool)
-    distinct[np.unique(key, return_index=True)[1]] = True
-    upper = (w.data >= 65) & (w.data <= 90)
-    capitals = np.add.reduceat(upper.astype(np.int64), w.start) if len(w.start) else np.zeros(0)
-    lines = np.bincount(of, w.data == 10, minlength=n)
-
-    def mean(x):
-        return np.bincount(of_word, x, minlength=n) / words
-
-    out[:, _BYTES:] = np.stack(
-        [2 * mean(same), 2 * (1 - mean(distinct)) * (words > 20), np.sqrt(mean(length)) / 4, mean((capitals > 1) & (capitals * 2 > length)),
-         mean(length > 20), np.sqrt(lines / words), np.log1p(words) / 20, mean(length <= 2)], 1
-    )
-    return out
+def _word_counts(w: Words, n: int) -> np.ndarray:
+    word = w.text_of_word() * WORD_TERMS + (w.hashes % np.uint64(WORD_TERMS)).astype(np.int64)
+    return np.bincount(word, minlength=n * WORD_TERMS).reshape(n, WORD_TERMS)
+
+
+def _pair_counts(w: Words, n: int) -> np.ndarray:
+    if len(w.data) < 2:
+        return np.zeros((n, PAIR_TERMS), np.int64)
+    pair = _PAIR[w.data[:-1].astype(np.int64) * 256 + w.data[1:]]
+    of = np.repeat(np.arange(n), np.diff(w.text_at))
+    within = of[:-1] == of[1:]
+    return np.bincount(of[:-1][within] * PAIR_TERMS + pair[within], minlength=n * PAIR_TERMS).reshape(n, PAIR_TERMS)
 
 
 def _document_counts(batches):
-    """In how many texts each word term occurs; one row a task and term."""
+    """In how many texts each word term occurs; one row a task and term, and one of the texts in all."""
     total, texts = np.zeros(WORD_TERMS, np.int64), 0
     for batch in batches:
         for i, j, w in chunks(batch.column(0), space=LETTERS_ONLY):
-            key = np.unique(w.text_of_word() * WORD_TERMS + _buckets(w))
+            key = np.unique(w.text_of_word() * WORD_TERMS + (w.hashes % np.uint64(WORD_TERMS)).astype(np.int64))
             total += np.bincount(key % WORD_TERMS, minlength=WORD_TERMS)
             texts += j - i
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, WORD_TERMS)), pa.array(np.concatenate(([texts], total)))], ["term", "texts"])
 
 
-def _terms(w: Words, n: int, idf: np.ndarray) -> np.ndarray:
-    tf = np.bincount(w.text_of_word() * WORD_TERMS + _buckets(w), minlength=n * WORD_TERMS).reshape(n, WORD_TERMS)
-    weighted = np.log1p(tf).astype(np.float32) * idf
-    weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-9)
-    return np.concatenate([weighted, _style(w, n)], axis=1)
-
-
 def _blocks(column, idf):
-    """Term vectors of the texts, at most BLOCK at a time."""
+    """Term vectors of the texts, at most BLOCK at a time: words and byte pairs of length 1 each, or 0 where a text has none."""
     for k in range(0, len(column), BLOCK):
         for i, j, w in chunks(column.slice(k, BLOCK), space=LETTERS_ONLY):
-            yield _terms(w, j - i, idf)
+            parts = [np.log1p(_word_counts(w, j - i)) * idf, np.log1p(_pair_counts(w, j - i))]
+            yield np.concatenate([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9) for x in parts], axis=1).astype(np.float32)
 
 
 def _leading_axes(x: np.ndarray, axes: int) -> np.ndarray:
@@ -110,18 +77,22 @@ def _leading_axes(x: np.ndarray, axes: int) -> np.ndarray:
     return (right @ basis.T)[: min(axes, width)].astype(np.float32)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", per_class: int = 1500) -> DataFrame:
-    """Texts of at most ``per_class`` documents of either label, picked by a hash of their id (the bound of the model's size)."""
-    key = labels.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label")).where(F.col(id_col).isNotNull() & F.col("_label").isNotNull())
-    picked = [key.where(F.col("_label") == v).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for v in (0, 1)]
-    picked = materialise(picked[0].union(picked[1]), "labelled").withColumnRenamed(id_col, "_picked")
-    return docs.join(F.broadcast(picked), docs[id_col] == picked["_picked"]).select("text", F.col("_label").alias(label_col))
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", per_class: int = 1500) -> DataFrame:
+    """``(text_col, label_col)`` of at most ``per_class`` documents of either label, picked by a hash of their id (the bound of the model's size).
+
+    Of an id labelled more than once the larger label counts; null ids and labels are left out.
+    """
+    key = labels.select(F.col(id_col).alias("picked"), F.col(label_col).cast("int").alias("label")).where("picked is not null").groupBy("picked").agg(F.max("label").alias("label"))
+    both = [key.where(F.col("label") == v).orderBy(F.xxhash64("picked"), "picked").limit(per_class) for v in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(materialise(both[0].union(both[1]), "labelled")), F.col("id") == F.col("picked"))
+    return texts.select(F.col("text").alias(text_col), F.col("label").alias(label_col))
 
 
 def fit_quality(
-    docs: DataFrame, labelled: DataFrame, text_col: str = "text", label_col: str = "quality", axes: int = 48, neighbours: int = 15, style_weight: float = 2.0
+    docs: DataFrame, labelled: DataFrame, text_col: str = "text", label_col: str = "quality", axes: int = 16, neighbours: int = 15
 ) -> QualityModel:
-    """Document frequencies from all of ``docs``, the latent space and its labelled vectors from ``labelled`` (bounded by :func:`labelled_sample`)."""
+    """Document frequencies from all of ``docs``, the latent space and its labelled vectors from ``labelled`` (bounded by :func:`labelled_sample`). Null texts count as empty, rows with a null label don't count."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     counted = texts.mapInArrow(_document_counts, "term long, texts long").groupBy("term").agg(F.sum("texts").alias("texts")).collect()
     count = {r.term: r.texts for r in counted}
@@ -133,38 +104,41 @@ def fit_quality(
             rows = [x for block in _blocks(batch.column(0), idf) for x in block]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), batch.column(1)], ["v", "label"])
 
-    sample = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
+    sample = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).where("label is not null")
     sample = sample.mapInArrow(vectors, "v array<float>, label int").toPandas()
     if not len(sample):
-        return QualityModel(idf, np.zeros(1), np.ones(1), np.zeros((0, 0)), np.zeros((0, 0), np.float32), np.zeros(0), neighbours)
+        return QualityModel(idf, np.zeros(1), np.zeros((0, 0)), np.zeros((0, 0), np.float32), np.zeros(0), neighbours)
     x, y = np.stack(sample["v"].to_numpy()), sample["label"].to_numpy().astype(np.float64)
+    order = np.lexsort((*x[:, :8].T, x.sum(1), y))  # the same rows in any order give the same model
+    x, y = x[order], y[order]
     centre = x.mean(0)
-    scale = np.full(x.shape[1], 1.0, np.float32)
-    scale[WORD_TERMS:] = style_weight
-    latent = _leading_axes(((x - centre) * scale).astype(np.float32), axes)
-    unit = ((x - centre) * scale) @ latent.T
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-    return QualityModel(idf, centre, scale, latent, unit.astype(np.float32), y, neighbours)
+    latent = _leading_axes((x - centre).astype(np.float32), axes)
+    return QualityModel(idf, centre, latent, _unit(x, centre, latent).astype(np.float32), y, neighbours)
+
+
+def _unit(x: np.ndarray, centre: np.ndarray, latent: np.ndarray) -> np.ndarray:
+    """Directions in the latent space; a text at the centre has none and is the zero vector."""
+    out = (x - centre) @ latent.T
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, score)`` for every row: the similarity-weighted share of label 1 among the nearest labelled documents, in [0, 1].
+    """``(id_col, score)`` for every row: the share of label 1 among the nearest labelled documents, in [0, 1], each weighted by its similarity.
 
-    Both labels count alike, however often either was drawn for the sample: votes are weighted by similarity alone. Null and empty texts are the
-    zero vector of terms and vote like any other. Without labelled documents all scores are 0.5. Repeated rows come back as often.
+    Votes of a label are divided by how many labelled vectors it has, so that both count alike, however often either was drawn. Null and empty texts are the
+    zero vector of terms and are scored like any other. Without labelled documents all scores are 0.5. Repeated rows come back as often, a null id stays null, other columns are ignored.
     """
 
     def run(batches):
         for batch in batches:
             out = []
             for block in _blocks(batch.column(1), model.idf) if len(model.labels) else ():
-                unit = ((block - model.centre) * model.scale) @ model.axes.T
-                unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-                near = unit @ model.vectors.T
+                near = _unit(block, model.centre, model.axes) @ model.vectors.T
                 k = min(model.neighbours, near.shape[1])
                 top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                weight = np.maximum(np.take_along_axis(near, top, 1), 1e-6).astype(np.float64) ** 2
-                out.append((weight * model.labels[top]).sum(1) / weight.sum(1))
+                weight = np.maximum(np.take_along_axis(near, top, 1), 1e-6).astype(np.float64)
+                good, bad = ((weight * (model.labels[top] == v)).sum(1) / max(1, (model.labels == v).sum()) for v in (1, 0))
+                out.append(good / (good + bad))
             score = np.concatenate(out) if out else np.full(len(batch), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(score, 0, 1), pa.float64())], ["id", "score"])
 
