@@ -1,21 +1,20 @@
 """Benchmark passages in training texts, by spaced-seed hashing.
 
-A mask such as ``1101011`` hashes the words at its ones and ignores the others, so a hit survives substituted words at the zeros. Hashes of
-all positions of the test items (sized, and cut into blocks that are broadcast one after the other) are looked up at all positions of the training texts.
-A hit fixes how item and text lie against each other; around it words are compared one by one, and the best local stretch must be long enough and equal
-enough. Texts never move: each is read whole where it lies.
+A mask such as ``1101011`` hashes the words at its ones and ignores the others, so a hit survives substituted words at the zeros. Hashes of all positions of the test items are a table; those of the training texts
+are looked up in a Bloom filter of it where the texts lie, and what passes is joined with the table. A hit fixes how item and text lie against each other; around it words are compared one by one, and
+the best local stretch must be long enough and equal enough. Texts don't move but for those with hits, and of these only the words around the hits.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.llm.names import unused
 from strataspark.llm.words import LETTERS_ONLY, Words, chunks, mix
+from strataspark.scratch import materialise
 
 #: Masks by the words of an item (from, up to). Each family hits every overlap that :func:`contaminated` promises, wherever its substituted words are; the tests
 #: go through all of them. Lengths up to 23 are enough: of a longer overlap one half is an overlap too, as both have 12 words and not both can have less than the whole's share of equal ones.
@@ -27,21 +26,13 @@ FAMILIES = (
 )
 MASKS = tuple((low, high, mask) for low, high, masks in FAMILIES for mask in masks)
 MIN_WORDS, MIN_STRETCH, MIN_EQUAL = 5, 12, 0.8
-#: Words of test items that are broadcast at once (8 bytes each, their seeds 16 bytes a mask: about 100 MB at most).
-BLOCK_WORDS = 1_000_000
+#: Bits of the filter for each seed and probes of it (one in 60,000 other positions passes), and the logarithm of its bits at most: 128 MB, enough for 8 million words of test items. More of them take more passes.
+SEED_BITS, PROBES, MAX_FILTER = 32, 8, 30
+#: Cells of the comparison matrix that are worked on at once.
+CELLS = 1 << 20
 _SALT = mix(np.arange(1, 65, dtype=np.uint64))
 
 
-@dataclass
-class Seeds:
-    """Test items of one block: their words, and for each mask the sorted seed hashes with item and position."""
-
-    ids: np.ndarray
-    words: np.ndarray
-    first: np.ndarray
-    tables: list
-
-
 def _masked(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     """Seed hashes at every position where the mask fits."""
     k = max(0, len(h) - len(mask) + 1)
@@ -52,147 +43,187 @@ def _masked(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
-def _inside(first: np.ndarray, n: int, span: int) -> np.ndarray:
-    """Positions of all words where a mask of ``span`` words ends within the same text."""
-    last = np.repeat(first[1:], np.diff(first))
-    at = np.arange(n)
-    return at[at + span <= last]
-
-
-def _seeds(ids: np.ndarray, column: pa.Array) -> Seeds:
-    parts = [w for _, _, w in chunks(column, space=LETTERS_ONLY)]
-    words = np.concatenate([w.hashes for w in parts]) if parts else np.zeros(0, np.uint64)
-    first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(w.first) for w in parts])))) if parts else np.zeros(1, np.int64)
-    size = np.diff(first)
-    of = np.repeat(np.arange(len(size)), size)
-    tables = []
-    for m, (low, high, mask) in enumerate(MASKS):
-        at = _inside(first, len(words), len(mask))
-        fits = (size >= low) & (size <= high)
-        at = at[fits[of[at]]] if len(at) else at
-        hashes = _masked(words, mask, m)[at]
-        order = np.argsort(hashes, kind="stable")
-        hashes, at = hashes[order], at[order]
-        quick = np.zeros(1 << 20, bool)
-        quick[(hashes >> np.uint64(44)).astype(np.int64)] = True
-        tables.append((hashes, of[at].astype(np.int32), (at - first[of[at]]).astype(np.int32), np.packbits(quick)))
-    return Seeds(np.asarray(ids, np.int64), words, first, tables)
-
-
-def _stretch(equal: np.ndarray) -> tuple[int, int, int, int]:
-    """(words, begin, end, equal words) of the longest stretch with MIN_EQUAL of its words equal, the first of equals: its length, then what is left of it without other words at its ends."""
-    cost = round(MIN_EQUAL / (1 - MIN_EQUAL))
-    total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -cost))))
-    top = np.maximum.accumulate(total[::-1])[::-1]  # the best total from here on
-    best, begin, end, low, j = 0, 0, 0, np.inf, 0
-    for i in range(len(equal)):
-        if total[i] >= low:
-            continue  # an earlier begin reaches as far
-        low = total[i]
-        j = max(j, i)
-        while j + 1 <= len(equal) and top[j + 1] >= low:
-            j += 1
-        if j - i > best:
-            best, begin, end = j - i, i, j
-    own = np.flatnonzero(equal[begin:end])
-    return (best, begin + int(own[0]), begin + int(own[-1]) + 1, len(own)) if len(own) else (0, 0, 0, 0)
-
-
-def _find(w: Words, seeds: Seeds, quick: list) -> dict[tuple[int, int], tuple[int, int, int]]:
-    """(text, item) -> best (equal words, first and end word of the stretch in the text)."""
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    if not len(w.hashes):
-        return found
-    of, tried = w.text_of_word(), set()
+def _probe(h: np.ndarray, k: int, log_bits: int) -> np.ndarray:
+    """The bit that a hash has in the filter by probe ``k``."""
+    return ((mix(h + np.uint64(k)) if k else h) >> np.uint64(64 - log_bits)).astype(np.int64)
+
+
+def _items(batches):
+    """(id, size, words, seeds) of the test items: seeds are (hash, place)."""
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))
+    for batch in batches:
+        words, seeds = [], []
+        for i, j, w in chunks(batch.column(1), space=LETTERS_ONLY):
+            for t in range(j - i):
+                own = w.hashes[w.first[t] : w.first[t + 1]]
+                words.append(own.astype(np.int64))
+                tables = [_masked(own, mask, m) for m, (low, high, mask) in enumerate(MASKS) if low <= len(own) <= high]
+                seeds.append([{"h": h, "at": at} for table in tables for at, h in enumerate(table.astype(np.int64).tolist())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in words], pa.int32()), pa.array(words, pa.list_(pa.int64())), pa.array(seeds, kind)], ["item", "size", "words", "seeds"])
+
+
+def _filter(seeds: DataFrame, log_bits: int) -> np.ndarray:
+    """The Bloom filter of a table of seeds, as bytes; built by Spark in buckets, of a size that ``log_bits`` fixes."""
+
+    def bits(batches):
+        for batch in batches:
+            h = batch.column(0).to_numpy().astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([_probe(h, k, log_bits) for k in range(PROBES)])) + 1)], ["bit"])
+
+    made = seeds.select("h").mapInArrow(bits, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(1 << (log_bits - 3), np.uint8)
+    for row in made.collect():
+        part = np.frombuffer(row.bits, np.uint8)
+        at = (row.bucket - 1) * 4096
+        out[at : at + len(part)] = part[: len(out) - at]
+    return out
+
+
+def _hits(w: Words, table: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words, and seed hashes there, that the filter lets pass."""
+    places, hashes = [], []
+    of = w.text_of_word()
     for m, (_, _, mask) in enumerate(MASKS):
-        hashes, item, offset, _ = seeds.tables[m]
-        if not len(hashes) or len(w.hashes) < len(mask):
-            continue
         h = _masked(w.hashes, mask, m)
-        at = np.flatnonzero(quick[m][(h >> np.uint64(44)).astype(np.int64)])
-        if not len(at):
-            continue
-        at = at[at + len(mask) <= w.first[of[at] + 1]]
-        lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        where = np.repeat(at, n)
-        # how the item lies against the text, once each
-        lie = np.unique(np.stack([of[where], item[row], where - offset[row]], 1), axis=0) if len(row) else np.zeros((0, 3), np.int64)
-        for t, i, d in lie.tolist():
-            if (t, i, d) in tried:
-                continue
-            tried.add((t, i, d))
-            a, b = int(seeds.first[i]), int(seeds.first[i + 1])
-            lo_w, hi_w = max(d, int(w.first[t])), min(d + b - a, int(w.first[t + 1]))
-            size, begin, end, equal = _stretch(w.hashes[lo_w:hi_w] == seeds.words[a + lo_w - d : a + hi_w - d])
-            if size >= min(b - a, MIN_STRETCH):
-                base = lo_w - int(w.first[t])
-                best = (equal, -(base + begin), base + end)
-                if best > found.get((t, i), (0, 0, 0)):
-                    found[(t, i)] = best
-    return found
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """Blocks of items of about BLOCK_WORDS words; how many is known from counting, so what is broadcast is bounded."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    size = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+"))).alias("n")).first().n or 0
-    count = -(-size // BLOCK_WORDS)
-    for k in range(count):
-        own = items if count == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(count)) == k)
-        rows = own.orderBy("id").toArrow()
-        yield _seeds(rows.column("id").to_numpy(), rows.column("text"))
-
-
-def _quick(seeds: Seeds) -> list:
-    return [np.unpackbits(t[3]).view(bool) for t in seeds.tables]
+        at = np.arange(len(h))
+        for k in range(PROBES):
+            bit = _probe(h[at], k, log_bits)
+            at = at[(table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+        at = at[at + len(mask) <= w.first[of[at] + 1]] if len(at) else at
+        places.append(at)
+        hashes.append(h[at])
+    place, h = np.concatenate(places), np.concatenate(hashes)
+    order = np.argsort(place, kind="stable")
+    return place[order], h[order]
+
+
+def _stretches(equal: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(words, begin, end, equal words) for each row of ``equal``: the longest stretch within [low, high) with MIN_EQUAL of its words equal, the first of equals: its length, then what is left of it without other words at its ends."""
+    n, k = equal.shape
+    cost = round(MIN_EQUAL / (1 - MIN_EQUAL))
+    at = np.arange(k + 1)
+    inside = (at[:-1] >= low[:, None]) & (at[:-1] < high[:, None])
+    equal = equal & inside
+    total = np.zeros((n, k + 1), np.int64)
+    np.cumsum(np.where(equal, 1, -cost) * inside, axis=1, out=total[:, 1:])
+    least = -(cost + 1) * (k + 1)
+    ends = np.where(at[None, :] > high[:, None], least, total)
+    top = np.maximum.accumulate(ends[:, ::-1], axis=1)[:, ::-1]  # the best total from here on
+    # -top ascends within a row; rows are set apart, so that one search finds the last end of every begin
+    apart = np.arange(n)[:, None] * (3 * (cost + 2) * (k + 1))
+    last = np.searchsorted((apart - top).ravel(), (apart - total).ravel(), "right").reshape(n, k + 1) - 1 - np.arange(n)[:, None] * (k + 1)
+    length = np.where((at >= low[:, None]) & (at <= high[:, None]), last - at, 0)
+    begin = np.argmax(length, axis=1)
+    size = length[np.arange(n), begin]
+    own = equal & (at[:-1] >= begin[:, None]) & (at[:-1] < (begin + size)[:, None])
+    count = own.sum(1)
+    first, final = np.argmax(own, axis=1), k - np.argmax(own[:, ::-1], axis=1)
+    return np.where(count > 0, size, 0), first, final, count
+
+
+def _verify(batches):
+    """The best overlap of each (text, item): rows (..., base, part, lies, words) to (..., equal_words, start_word, end_word). ``part`` are the text's words from ``base`` on, lies say where the item's first word lies."""
+    for batch in batches:
+        keep, best = [], []
+        base, lies = batch.column("base").to_pylist(), batch.column("lies")
+        for r in range(len(batch)):
+            part, item = (np.asarray(batch.column(c)[r].values) for c in ("part", "words"))
+            lie, k = np.unique(np.asarray(lies[r].values)) - base[r], len(item)
+            step, top = max(1, CELLS // k), None
+            for c in range(0, len(lie), step):
+                some = lie[c : c + step]
+                low, high = np.maximum(0, -some), np.minimum(k, len(part) - some)
+                at = np.clip(some[:, None] + np.arange(k), 0, len(part) - 1)
+                size, begin, end, equal = _stretches(part[at] == item, low, high)
+                ok = np.flatnonzero(size >= min(k, MIN_STRETCH))
+                if len(ok):
+                    i = ok[np.lexsort((-(some + end)[ok], (some + begin)[ok], -equal[ok]))[0]]
+                    mine = (int(equal[i]), -int(base[r] + some[i] + begin[i]), int(base[r] + some[i] + end[i]))
+                    top = mine if top is None else max(top, mine)
+            if top is not None:
+                keep.append(r)
+                best.append((top[0], -top[1], top[2]))
+        out = batch.select(["t1", "t2", "item"]).take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array([b[i] for b in best], pa.int32()) for i in range(3))], ["t1", "t2", "item", "equal_words", "start_word", "end_word"])
+
+
+def _pass(texts: DataFrame, items: DataFrame, seeds: DataFrame, count: int) -> DataFrame:
+    """The overlaps of the texts (t1, t2, text) with the items of one pass."""
+    log_bits = min(MAX_FILTER, max(20, int(np.ceil(np.log2(count * SEED_BITS)))))
+    table = _filter(seeds, log_bits)
+    hit = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))
+
+    def scan(batches):
+        for batch in batches:
+            rows, words, hits = [], [], []
+            for i, j, w in chunks(batch.column(2), space=LETTERS_ONLY):
+                place, h = _hits(w, table, log_bits)
+                cut = np.searchsorted(place, w.first)
+                for t in np.flatnonzero(np.diff(cut)).tolist():
+                    rows.append(i + t)
+                    words.append(w.hashes[w.first[t] : w.first[t + 1]].astype(np.int64))
+                    own = slice(cut[t], cut[t + 1])
+                    hits.append([{"h": a, "pos": b} for a, b in zip(h[own].astype(np.int64).tolist(), (place[own] - w.first[t]).tolist(), strict=True)])
+            out = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(words, pa.list_(pa.int64())), pa.array(hits, hit)], ["t1", "t2", "words", "hits"])
+
+    found = materialise(texts.mapInArrow(scan, "t1 long, t2 long, words array<long>, hits array<struct<h: long, pos: int>>"), "hits")
+    met = found.select("t1", "t2", F.explode("hits").alias("x")).select("t1", "t2", "x.h", "x.pos").join(seeds, "h")
+    # what is found depends on the text alone: copies of one are verified once
+    lies = materialise(met.groupBy("t1", "t2", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("lies")), "lies")
+    once = found.select("t1", "t2", "words").join(lies.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("words").alias("text_words"))
+    both = lies.join(once, ["t1", "t2"]).join(items, "item")
+    base = F.greatest(F.lit(0), F.array_min("lies"))
+    part = F.slice("text_words", base + 1, F.array_max("lies") + F.col("size") - base)
+    both = both.select("t1", "t2", "item", base.cast("int").alias("base"), part.alias("part"), "lies", "words")
+    return both.mapInArrow(_verify, "t1 long, t2 long, item string, equal_words int, start_word int, end_word int")
+
+
+def overlaps(texts: DataFrame, benchmark: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``(t1, t2, item_id, equal_words, start_word, end_word)`` for texts ``(t1, t2, text)``, where t1 and t2 are two hashes of the text; see :func:`contaminated`."""
+    rows = benchmark.select(F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text is not null").distinct()
+    # items of an id can have several texts
+    rows = rows.select(F.concat_ws(":", "id", F.xxhash64("text")).alias("item"), "text")
+    made = materialise(rows.mapInArrow(_items, "item string, size int, words array<long>, seeds array<struct<h: long, at: int>>").where(F.col("size") >= MIN_WORDS), "items")
+    count = made.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    passes = max(1, -(-count * SEED_BITS // (1 << MAX_FILTER)))
+    out = []
+    for k in range(passes):
+        own = made if passes == 1 else made.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
+        seeds = own.select("item", F.explode("seeds").alias("x")).select("item", "x.h", "x.at")
+        out.append(materialise(_pass(texts, own.select("item", "size", "words"), seeds, max(1, count // passes)), "overlaps"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.union(more)
+    return found.withColumn("item", F.substring_index("item", ":", 1).cast("long"))
+
+
+def _hashed(text_col: str) -> tuple:
+    text = F.col(text_col).cast("string")
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """``(id_col, item_id_col, equal_words, start_word, end_word)`` for every text and test item that overlap.
+    """``(id_col, item_id_col, equal_words, start_word, end_word)`` for every document and test item that overlap.
 
     Words are runs of letters and digits, A-Z lower-cased. An overlap is a stretch of at least ``MIN_STRETCH`` words (of the whole item, if that is shorter) in which
-    ``MIN_EQUAL`` of the words are equal; the longest is reported, the first of equals, without unequal words at its ends. Items of fewer than ``MIN_WORDS`` words, null items and null ids match nothing; null and empty texts hold
-    nothing. Repeated rows of docs come back once a row; of an item id, once.
+    ``MIN_EQUAL`` of the words are equal; of an item's the one with most equal words is reported, the first of equals, without unequal words at its ends. Items of fewer than ``MIN_WORDS`` words, null items and null ids match nothing; null and empty texts hold
+    nothing. A pair of ids comes back once, however often rows of docs or of the benchmark repeat them. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    schema = "id long, item long, equal_words int, start_word int, end_word int"
-    out = None
-    for seeds in _blocks(benchmark, item_id_col, item_text_col):
-
-        def run(batches, seeds=seeds):
-            quick = _quick(seeds)
-            for batch in batches:
-                made = []
-                for i, _, w in chunks(batch.column(1), space=LETTERS_ONLY):
-                    made += [(batch.column(0)[i + t].as_py(), int(seeds.ids[k]), e, -s, x) for (t, k), (e, s, x) in sorted(_find(w, seeds, quick).items())]
-                columns = list(zip(*made, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "item", "equal_words", "start_word", "end_word"])
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], schema)
-    return out.withColumnsRenamed({"id": id_col, "item": item_id_col})
+    t1, t2 = _hashed("text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null").withColumns({"t1": t1, "t2": t2})
+    found = overlaps(rows.select("t1", "t2", "text"), benchmark, item_id_col, item_text_col)
+    best = F.max(F.struct("equal_words", (-F.col("start_word")).alias("s"), "end_word")).alias("b")
+    out = rows.select("id", "t1", "t2").join(found, ["t1", "t2"]).groupBy("id", "item").agg(best)
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), F.col("b.equal_words").alias("equal_words"), (-F.col("b.s")).alias("start_word"), F.col("b.end_word").alias("end_word"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that overlap a test item (see :func:`contaminated`); all columns stay."""
-    for seeds in _blocks(benchmark, item_id_col, item_text_col):
-
-        def run(batches, seeds=seeds):
-            quick = _quick(seeds)
-            for batch in batches:
-                keep = np.ones(len(batch), bool)
-                for i, _, w in chunks(batch.column(batch.schema.get_field_index(text_col)), space=LETTERS_ONLY):
-                    for t, _k in _find(w, seeds, quick):
-                        keep[i + t] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """``docs`` without the rows that overlap a test item (see :func:`contaminated`); all columns stay, whatever their names, and rows with null ids or texts."""
+    t1, t2 = _hashed(text_col)
+    texts = docs.select(t1.alias("t1"), t2.alias("t2"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    a, b = unused(docs.columns, "t1", "t2")
+    gone = overlaps(texts, benchmark, item_id_col, item_text_col).select(F.col("t1").alias(a), F.col("t2").alias(b)).distinct()
+    return docs.join(gone, (t1 == F.col(a)) & (t2 == F.col(b)), "left_anti")
