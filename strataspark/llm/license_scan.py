@@ -2,7 +2,8 @@
 
 Words are lower-cased runs of letters and digits, shingles are runs of five. A window is nine words, five shingles; windows of a document follow every five words, so that every shingle lies in one and neighbours share four words. Each window has MINIMA minima, each a
 band of its own: a window that shares a fifth of the union with a template's window (the least that a notice of five words can share) meets it with probability ``1 - 0.8**48 > 0.9999``, one of equal
-shingles always. A retrieved template is verified on the shingles around the window: the share of the template's that occur there.
+shingles always. A retrieved template is verified on the shingles around the window: the share of the template's that occur there. Of the templates that verify at a window only the best stay, so that a license isn't taken for
+its sibling of another version.
 
 A window's minimum can only equal a template's if the window holds the very shingle, so documents without any shingle that is a template's minimum have no bands in common with any
 and their minima are not worked out. Everything is built-in functions.
@@ -14,22 +15,33 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataspark.scratch import materialise
+
 WORDS, WINDOW, MINIMA, THRESHOLD = 5, 5, 48, 0.8
-#: Templates are given as a parameter, up to so many words together: their bands (48 for each word) are broadcast.
-MAX_TEMPLATE_WORDS = 20_000
+#: Words of templates whose bands (48 for each word) are broadcast at once; more of them are scanned for in as many passes as it takes.
+BLOCK_WORDS = 20_000
 _SEEDS = [int(x) for x in np.random.Generator(np.random.PCG64(11)).integers(-(2**62), 2**62, MINIMA)]
 
-#: Common license notices by SPDX identifier.
+#: Common license notices by SPDX identifier. Where licenses share a sentence, those that differ have one of their own that says so.
 NOTICES = (
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0-or-later", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to this work"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0-or-later", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("GPL-3.0-or-later", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -55,46 +67,60 @@ def _least(window: str) -> str:
     return f"transform(array({seeds}), (a, k) -> array_min(transform({window}, x -> struct(xxhash64(x, a) as h, x as x, k as k))))"
 
 
-def _bands(templates: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = templates.select(F.col(id_col).cast("string").alias("license_id"), F.expr(_shingles(text_col)).alias("sh")).where("license_id is not null and size(sh) > 0").distinct()
-    rows = rows.withColumn("set", F.array_distinct("sh"))
-    windows = rows.select("license_id", "set", F.explode(F.expr(f"transform(sequence(0, greatest(0, size(sh) - {WINDOW})), s -> slice(sh, s + 1, {WINDOW}))")).alias("w"))
-    return windows.select("license_id", "set", F.explode(F.expr(_least("w"))).alias("m")).select("license_id", "set", F.col("m.x").alias("x"), F.xxhash64("m.k", "m.h").alias("band")).distinct()
-
-
 def scan_licenses(
-    docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", license_col: str = "license_id", template_col: str = "text", threshold: float = THRESHOLD
+    docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", license_col: str = "license_id", template_col: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """``(id_col, license_id, containment, first_word)`` for every document and license found in it.
 
-    ``containment`` is the largest share of a template's distinct shingles found around one window (its length in words to either side), ``threshold`` or more; ``first_word`` is the first
+    ``containment`` is the largest share of a template's distinct shingles found around one window (its length in words to either side), ``threshold`` or more; a license is found where no other has more; ``first_word`` is the first
     word (from 0) of the first window with that share. A license may have several templates; the best counts. Null and empty texts and those of fewer than five words have no rows; templates that are null or of fewer than five words
-    match nothing. Null ids are left out; rows that repeat an id count as one document.
+    match nothing. Null ids are left out; rows that repeat an id count as one document. Other columns are ignored, whatever they are called. Templates may be of any length and number: they are dealt to blocks of about
+    ``block_words`` words, each a pass over the documents.
     """
     spark = docs.sparkSession
     templates = notices(spark) if templates is None else templates
-    size = templates.agg(F.sum(F.size(F.split(template_col, r"\s+")))).first()[0] or 0
-    if size > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have {size} words; {MAX_TEMPLATE_WORDS} are the bound of what is broadcast, scan with parts of them")
-    bands = _bands(templates, license_col, template_col)
+    templates = templates.select(F.col(license_col).cast("string").alias("license_id"), F.col(template_col).cast("string").alias("text")).where("license_id is not null and text is not null")
+    size = templates.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    blocks = max(1, -(-size // block_words))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    found = None
+    for k in range(blocks):
+        own = templates if blocks == 1 else templates.where(F.pmod(F.xxhash64("license_id", "text"), F.lit(blocks)) == k)
+        part = _places(rows, own, threshold)
+        found = part if found is None or part is None else found.union(part)
+    if found is None:
+        return spark.createDataFrame([], "id long, license_id string, containment double, first_word int").withColumnRenamed("id", id_col)
+    place = found.groupBy("id", "at", "license_id").agg(F.max("containment").alias("containment"))
+    most = place.groupBy("id", "at").agg(F.max("containment").alias("most"))
+    place = place.join(most, ["id", "at"]).where("containment = most")
+    best = place.groupBy("id", "license_id").agg(F.max(F.struct("containment", (-F.col("at")).alias("f"))).alias("b"))
+    return best.select(F.col("id").alias(id_col), "license_id", F.col("b.containment").alias("containment"), (-F.col("b.f")).cast("int").alias("first_word"))
+
+
+def _places(rows: DataFrame, templates: DataFrame, threshold: float) -> DataFrame | None:
+    """``(id, at, license_id, containment)``: the windows of documents ``(id, text)`` that have a band of a template and whose surroundings hold enough of it; None if no template has a band."""
+    made = templates.select("license_id", F.expr(_shingles("text")).alias("sh")).where("size(sh) > 0").withColumns({"no": F.xxhash64("license_id", "sh"), "set": F.array_distinct("sh")})
+    made = materialise(made.dropDuplicates(["no"]), "templates")
+    windows = made.select("no", F.explode(F.expr(f"transform(sequence(0, greatest(0, size(sh) - {WINDOW})), s -> slice(sh, s + 1, {WINDOW}))")).alias("w"))
+    bands = windows.select("no", F.explode(F.expr(_least("w"))).alias("m")).select("no", F.col("m.x").alias("x"), F.xxhash64("m.k", "m.h").alias("band")).distinct()
+    bands = materialise(bands, "bands")
     known = sorted({r.x for r in bands.select("x").distinct().collect()})
-    longest = bands.agg(F.max(F.size("set"))).first()[0] or 0
-    out = "id long, license_id string, containment double, first_word int"
     if not known:
-        return spark.createDataFrame([], out).withColumnRenamed("id", id_col)
-    minima = spark.createDataFrame([(known,)], "known array<long>")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.expr(_shingles(f"cast(`{text_col}` as string)")).alias("sh")).where("id is not null")
-    # one row of bounded size beside every document
-    rows = rows.join(F.broadcast(minima), F.arrays_overlap("sh", "known")).drop("known")
-    around = WORDS + WINDOW + longest
-    windows = f"""
-      transform(sequence(0, size(sh) - 1, {WINDOW}), s -> struct(s as at,
-        transform({_least(f"slice(sh, s + 1, {WINDOW})")}, m -> xxhash64(m.k, m.h)) as bands,
-        slice(sh, greatest(0, s - {around}) + 1, s - greatest(0, s - {around}) + {WINDOW} + {around}) as near))
-    """
-    own = rows.select("id", F.explode(F.expr(windows)).alias("w")).select("id", "w.at", "w.near", F.explode("w.bands").alias("band"))
-    found = own.join(F.broadcast(bands.select("license_id", "set", "band").distinct()), "band")
-    share = F.size(F.array_intersect("set", "near")) / F.size("set")
-    found = found.select("id", "license_id", F.col("at").alias("first_word"), share.alias("containment")).where(F.col("containment") >= threshold)
-    best = found.groupBy("id", "license_id").agg(F.max(F.struct("containment", (-F.col("first_word")).alias("f"))).alias("b"))
-    return best.select(F.col("id").alias(id_col), "license_id", F.col("b.containment").alias("containment"), (-F.col("b.f")).cast("int").alias("first_word"))
+        return None
+    minima = rows.sparkSession.createDataFrame([(known,)], "known array<long>")
+    text = rows.withColumn("th", F.xxhash64("text"))
+    # one row of bounded size beside every document: only those with a shingle that is some template's minimum, and of them the windows that hold one, can have a band
+    near = text.select("id", "th", F.expr(_shingles("text")).alias("sh")).join(F.broadcast(minima), F.arrays_overlap("sh", "known"))
+    near = near.select("id", "th", "sh", F.array_intersect("sh", "known").alias("hits"))
+    own = F.expr(f"""
+      transform(filter(sequence(0, size(sh) - 1, {WINDOW}), s -> arrays_overlap(slice(sh, s + 1, {WINDOW}), hits)), s -> struct(s as at,
+        transform({_least(f"slice(sh, s + 1, {WINDOW})")}, m -> xxhash64(m.k, m.h)) as bands))
+    """)
+    met = near.select("id", "th", F.explode(own).alias("w")).select("id", "th", "w.at", F.explode("w.bands").alias("band"))
+    met = met.join(F.broadcast(bands.select("no", "band").distinct()), "band").groupBy("id", "th", "no").agg(F.collect_set("at").alias("ats"))
+    met = materialise(met, "license-candidates").join(made.select("no", "license_id", "set"), "no").withColumn("around", F.size("set") + WORDS + WINDOW)
+    # the few texts that met a template are read again, so that no text travels with its windows
+    found = text.join(met, ["id", "th"]).withColumn("sh", F.expr(_shingles("text")))
+    share = f"size(array_intersect(set, slice(sh, greatest(0, s - around) + 1, s - greatest(0, s - around) + {WINDOW} + around))) / size(set)"
+    found = found.select("id", "license_id", F.explode(F.expr(f"transform(ats, s -> struct(s as at, {share} as containment))")).alias("w"))
+    return found.select("id", "w.at", "license_id", "w.containment").where(F.col("containment") >= threshold)
