@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph in every shard.
 
-Vectors that are equal are one node, with as many of their smallest ids as a result can hold. Nodes are dealt to shards of bounded size by a hash of the vector; each shard builds its graph in one task: a greedy search from
+Vectors that are equal are one node, with as many of their smallest ids as a result can hold. Nodes are dealt to shards by a hash of the vector; shards grow with the root of the number of nodes, so that the lists that are merged (queries times
+shards) grow less than with its square; each shard builds its graph in one task: a greedy search from
 the centre proposes neighbours for every new node, and relaxed distance pruning keeps those that no kept neighbour is much closer to, so that edges stay few and diverse. The largest inner product becomes the least
 distance by one more coordinate that gives all nodes of a shard the same length. Queries go to every shard in blocks; a beam search visits the graph, the nodes found are scored in double precision on the original vectors,
 and the shards' lists are merged.
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from strataspark.scratch import materialise
 
-#: Nodes of a shard (about), edges of a node, beam when building and when searching, pruning slack, queries of a block (about).
-SHARD_NODES, DEGREE, BUILD_BEAM, SEARCH_BEAM, SLACK, QUERY_BLOCK = 4096, 32, 64, 128, 1.2, 2048
+#: Nodes of a shard at least and at most (about: between them 17 times the root of all), edges of a node, beam when building and when searching, pruning slack, queries of a block (about).
+SHARD_NODES, MAX_SHARD_NODES, DEGREE, BUILD_BEAM, SEARCH_BEAM, SLACK, QUERY_BLOCK = 4096, 1 << 20, 32, 64, 128, 1.2, 2048
+_ROOTS = 17
 _STEP = 4
 
 
@@ -138,17 +140,19 @@ def _index(table: pa.Table) -> pa.Table:
     """The shard of one group as one row."""
     v = table.column("v").combine_chunks()
     dim = len(v[0])
-    x = np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, dim)
+    full = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    # the graph is built in single precision, on vectors of a size that can't overflow there
+    x = (full / np.abs(full).max()).astype(np.float32)
     length = np.einsum("nd,nd->n", x, x)
     # searches start at the node that lies most centrally: it goes first, the others follow in a fixed random order
     order = np.random.Generator(np.random.PCG64(3)).permutation(np.lexsort((table.column("h1").to_numpy(),)))
     centre = int(np.argmax(x @ x.mean(0) - 0.5 * length))
     order = np.concatenate(([centre], order[order != centre]))
-    x = x[order]
+    x, full = x[order], full[order]
     ids = table.column("ids").combine_chunks().take(pa.array(order))
     graph = build_graph(x)
     row = {
-        "shard": [table.column("shard")[0].as_py()], "dim": [dim], "nodes": [len(x)], "x": [x.tobytes()], "graph": [graph.tobytes()],
+        "shard": [table.column("shard")[0].as_py()], "dim": [dim], "nodes": [len(x)], "x": [full.tobytes()], "graph": [graph.tobytes()],
         "ids": [ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], "ends": [np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64).tobytes()],
     }
     return pa.table(row, schema=_INDEX_ARROW)
@@ -161,23 +165,26 @@ _FOUND_ARROW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("vec_id", pa.
 
 
 def _nodes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Rows that take part: (vec_id, v, h1, h2)."""
-    v = F.col(vector_col).cast("array<float>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
+    """Rows that take part: (vec_id, v, h1, h2). Vectors of floats stay so, others become double."""
+    kind = "array<float>" if vectors.select(vector_col).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v")).where("vec_id is not null and v is not null")
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return rows.where(ok).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
 
 
-def build_index(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_nodes: int = SHARD_NODES) -> DataFrame:
+def build_index(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_nodes: int | None = None) -> DataFrame:
     """The index of all vectors for searches of ``k``: one row per shard with its vectors, edges and ids.
 
     A node keeps its ``k + 1`` smallest ids: others of equal vectors can't be among ``k`` results that exclude one row, as ties go to smaller ids. They are cut
-    before the shuffle, so a vector that very many rows share costs no more than others. Null, zero and non-finite vectors are left out; vectors of different lengths go to different shards.
+    before the shuffle, so a vector that very many rows share costs no more than others. Null, zero and non-finite vectors are left out; vectors of different lengths go to different shards. Rows that repeat an id and its vector count once;
+    an id with several vectors is found by each of them and comes back with the best. ``shard_nodes`` sets the size of shards.
     """
     rows = _nodes(vectors, id_col, vector_col)
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    ranked = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("place") <= k + 1)
     nodes = materialise(ranked.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_set("vec_id")).alias("ids")), "nodes")
-    shards = max(1, -(-nodes.count() // shard_nodes))
+    count = nodes.count()
+    size = shard_nodes or min(MAX_SHARD_NODES, max(SHARD_NODES, round(_ROOTS * count**0.5)))
+    shards = max(1, -(-count // size))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.size("v"), F.pmod("h1", F.lit(shards))), F.lit(2**62)))
     return materialise(dealt.groupBy("shard").applyInArrow(_index, _INDEX), "ann-index")
 
@@ -199,11 +206,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
             return pa.table({c: [] for c in _FOUND_ARROW.names}, schema=_FOUND_ARROW)
         row = {c: left.column(c)[0].as_py() for c in left.column_names}
         n, dim = row["nodes"], row["dim"]
-        x = np.frombuffer(row["x"], np.float32).reshape(n, dim)
+        kind = np.float32 if len(row["x"]) == 4 * n * dim else np.float64
+        full = np.frombuffer(row["x"], kind).reshape(n, dim)
+        x = (full / np.abs(full).max()).astype(np.float32)
         graph = np.frombuffer(row["graph"], np.int32).reshape(n, -1)
         graph = np.concatenate([np.where(graph < 0, n, graph), np.full((1, graph.shape[1]), n)])
         ids, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
-        q = np.asarray(right.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, dim)
+        asked = right.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        q = (asked / np.abs(asked).max(1, keepdims=True)).astype(np.float32)
         h1, h2 = right.column("h1").to_numpy(), right.column("h2").to_numpy()
         starts = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(np.int64))
         out = []
@@ -211,7 +221,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
             found, _ = _beam(x, np.zeros(n, np.float32), graph, q[i : i + 256], starts, max(beam, k + 1), lengths=False)
             r, c = np.nonzero(found < n)
             node = found[r, c]
-            score = np.einsum("nd,nd->n", x[node].astype(np.float64), q[i : i + 256][r].astype(np.float64))
+            score = np.einsum("nd,nd->n", full[node].astype(np.float64), asked[i : i + 256][r].astype(np.float64))
             many = np.diff(ends, prepend=0)[node]
             at = np.repeat(ends[node] - np.cumsum(many), many) + np.arange(many.sum())
             r, score, own = np.repeat(r, many), np.repeat(score, many), ids[at]
@@ -228,5 +238,6 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     nearest = Window.partitionBy("h1", "h2").orderBy(F.col("score").desc(), "vec_id")
     merged = found.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k + 1).drop("place")
     each = asked.select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct().join(merged, ["h1", "h2"]).where("query_id <> vec_id")
+    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return each.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
