@@ -23,6 +23,17 @@ def _escaped(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
+#: What can't stand in a name, with what stands for it. ``%`` is the first, so that different names stay different.
+NAME_ESCAPES = (("%", "%25"), (" ", "%20"), ("\t", "%09"), ("\n", "%0A"), ("\x0b", "%0B"), ("\f", "%0C"), ("\r", "%0D"), ("<", "%3C"), ("|", "%7C"), (">", "%3E"))
+
+
+def _name(speaker: Column) -> Column:
+    """A name without spaces and marks; different speakers have different names."""
+    for char, code in NAME_ESCAPES:
+        speaker = F.replace(speaker, F.lit(char), F.lit(code))
+    return speaker
+
+
 def rotate_perspectives(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: str = "system"
 ) -> DataFrame:
@@ -39,7 +50,7 @@ def rotate_perspectives(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(speaker_col).cast("string").alias("speaker"), F.col(text_col).cast("string").alias("text")
     ).where("conv_id is not null and turn is not null")
     body = F.concat(_escaped(F.col("text")), F.lit(CLOSE))
-    name = F.when(F.col("speaker") == system, F.lit("system")).otherwise(F.concat(F.lit("user"), F.coalesce(F.concat(F.lit(" name="), F.regexp_replace("speaker", r"[\s<|>]+", "_")), F.lit(""))))
+    name = F.when(F.col("speaker") == system, F.lit("system")).otherwise(F.concat(F.lit("user"), F.coalesce(F.concat(F.lit(" name="), _name(F.col("speaker"))), F.lit(""))))
     views = rows.where(F.col("speaker").isNotNull() & (F.col("speaker") != system)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     own = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
     head = F.concat(F.lit(OPEN), F.when(own, F.lit("assistant")).otherwise(name), F.lit("\n"))

@@ -134,11 +134,14 @@ def op10_chat_format(spark, sf_dir):
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
 
+_NAMED = "role"
+for _char, _code in chat.NAME_ESCAPES:
+    _NAMED = f"replace({_NAMED}, chr({ord(_char)}), '{_code}')"
 OP10_SQL = r"""
 WITH rows AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, role AS speaker, text,
     replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS body,
-    CASE WHEN role = 'system' THEN 'system' ELSE 'user' || coalesce(' name=' || regexp_replace(role, '[\s<|>]+', '_', 'g'), '') END AS named
+    CASE WHEN role = 'system' THEN 'system' ELSE 'user' || coalesce(' name=' || NAMED, '') END AS named
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
 ), views AS (SELECT DISTINCT conv_id, speaker AS perspective FROM rows WHERE speaker IS NOT NULL AND speaker <> 'system'
 ), made AS (
@@ -153,7 +156,7 @@ WITH rows AS (
 SELECT conv_id, perspective, turn, speaker, head || body || chr(10) AS segment, CAST(start AS BIGINT) AS start, CAST(start + length(head) + length(body) + 1 AS BIGINT) AS "end", trained,
   CASE WHEN trained THEN CAST(start + length(head) AS BIGINT) END AS train_start, CASE WHEN trained THEN CAST(start + length(head) + length(body) AS BIGINT) END AS train_end
 FROM placed
-"""
+""".replace("NAMED", _NAMED)
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op3_ann, op4_sentencepiece, op5_line_dedup, op6_license_scan, op7_decontaminate, op8_toxicity, op9_warc, op10_chat_format)}
