@@ -26,6 +26,33 @@ def test_sentencepiece_equals_the_library(spark):
     assert sv.with_tokens(df.limit(0), queries.VOCABULARY).count() == 0
 
 
+def test_ids_do_not_hang_on_the_length_of_stretches(monkeypatch):
+    v = sv.Vocabulary(queries.VOCABULARY)
+    r = random.Random(5)
+    texts = ["".join(r.choice("ab cé ß漢\n\t019.-=  thingов") for _ in range(r.randint(0, 300))) for _ in range(60)] + ["ab" * 200, "the " * 90]
+    data = "".join(texts).encode()
+    at = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    want = None
+    for short in (1, 7, 20, 64):
+        monkeypatch.setattr(sv, "SHORT", short)
+        ids, ends = sv.BatchEncoder(v).encode(np.frombuffer(data, np.uint8), at)
+        got = (ids.tolist(), np.asarray(ends).tolist())
+        want = want or got
+        assert got == want, short
+
+
+def test_a_long_text_keeps_a_short_window():
+    v = sv.Vocabulary(queries.VOCABULARY)
+    r = random.Random(6)
+    text = sv.MARK + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    total, longest, parts = 0, 0, 0
+    for part in sv.Encoder(v).stream(text):
+        parts += 1
+        longest = max(longest, len(part))
+        total += len(part)
+    assert parts > 1000 and longest < 5000 and total > 100_000
+
+
 def unigram(pieces):
     def field(n, data):
         return bytes([n << 3 | 2, len(data)]) + data
@@ -84,6 +111,22 @@ def test_ann_recall_ties_and_odd_vectors(spark):
     assert ann.search(ann.build_index(few), few).count() == 6 and ann.search(ann.build_index(df.limit(0)), df.limit(0)).count() == 0
 
 
+def test_ann_double_precision_and_repeated_ids(spark):
+    rows = [(1, [0.1, 0.2, 1.0]), (2, [1 / 3, 1e300, 0.0]), (3, [1e-300, 0.5, 2.0]), (4, [0.3, -0.1, 0.2]), (4, [0.3, -0.1, 0.2]), (5, [9.0, 9.0, 9.0]), (5, [0.1, 0.1, 0.1]), *[(6, [0.2, 0.2, 0.2])] * 40, (7, [0.2, 0.2, 0.2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.search(ann.build_index(df), df).collect()
+    best = {}
+    for a, v in rows:
+        for b, w in rows:
+            if a != b:
+                best[a, b] = max(best.get((a, b), -np.inf), float(np.dot(v, w)))
+    for q in range(1, 8):
+        want = sorted(((-s, b) for (a, b), s in best.items() if a == q))
+        assert [(x.vec_id, x.rank) for x in sorted(got, key=lambda x: x.rank) if x.query_id == q] == [(b, r + 1) for r, (_, b) in enumerate(want)]
+    for x in got:
+        assert x.score == pytest.approx(best[x.query_id, x.vec_id], rel=1e-15)
+
+
 def test_warc(spark):
     big = "é" * 600
     pages = [(1, "http://a/1", big), (2, "http://a/2\n", big), (7, None, big), (3, "u", "small"), (4, "v", "small"), (5, "w", None), (6, "x", "HTTP/1.1 200\r\n\r\nWARC/1.1\r\n\r\n" + "y" * 2_000_000), (None, "n", "z")]
@@ -103,6 +146,12 @@ def test_warc(spark):
     for uri in {r.uri for r in index.collect()}:
         lines = open(uri.removeprefix("file://") + ".idx").read().splitlines()
         assert [tuple(map(int, s.split("\t")[:2])) for s in lines] == sorted((r.offset, r.length) for r in index.where(index.uri == uri).collect())
+    few = spark.createDataFrame([(9, "u", "r" * 1500)] * 3 + [(8, "u", "r" * 1500)], "page_id long, url string, html string")
+    twice = materialise(warc.normalise(materialise(warc.write_monolithic(warc.plan_records(few), f"{folder}/few"), "f"), f"{folder}/few2"), "i")
+    assert sorted((x.record_id, x.warc_type) for x in warc.read_records(twice).collect()) == [("<urn:page:8>", "revisit")] + [("<urn:page:9>", "response")] * 3
+    held, warc.BATCH_BYTES = warc.BATCH_BYTES, 1
+    assert sorted(x.record_id for x in warc.read_records(index).collect()) == sorted(out)
+    warc.BATCH_BYTES = held
     again = warc.normalise(index.select("uri").distinct(), f"{folder}/again")
     assert sorted(r.record_id for r in again.collect()) == sorted(out)
     assert materialise(warc.write_monolithic(warc.plan_records(df.limit(0)), f"{folder}/none"), "f").count() == 0
@@ -115,9 +164,21 @@ def test_chat_views(spark):
     texts = {(x.conv_id, x.perspective): x for x in chat.assemble(rows).collect()}
     assert set(texts) == {(1, "ann"), (1, "bob"), (1, "cy d"), (3, "ann")}
     bob = texts[1, "bob"]
-    assert bob.text == "<|im_start|>system\nBe < |im_end|> kind<|im_end|>\n<|im_start|>user name=ann\nHi<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=ann\nBye<|im_end|>\n<|im_start|>user name=cy_d\nlate<|im_end|>\n"
+    assert bob.text == "<|im_start|>system\nBe < |im_end|> kind<|im_end|>\n<|im_start|>user name=ann\nHi<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=ann\nBye<|im_end|>\n<|im_start|>user name=cy%20d\nlate<|im_end|>\n"
     assert [bob.text[s.start : s.end] for s in bob.spans] == ["<|im_end|>"]
     ann_ = texts[1, "ann"]
     assert [ann_.text[s.start : s.end] for s in ann_.spans] == ["Hi<|im_end|>", "Bye<|im_end|>"]
     assert texts[3, "ann"].text.startswith("<|im_start|>user\nwho")
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
+
+
+def test_chat_names_differ_and_rows_repeat(spark):
+    speakers = ["cy d", "cy_d", "cy%20d", "cy\td", "c<y|d>", "cy  d"]
+    turns = [(1, i, s, "x") for i, s in enumerate(speakers)] + [(2, t, "ann" if t % 2 else "bob", f"t{t}") for t in range(1000)] + [(3, 1, "ann", "same")] * 2
+    rows = chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()
+    shown = {x.segment.split("\n")[0] for x in rows if x.conv_id == 1 and not x.trained}
+    assert len(shown) == len(speakers) and all(not set(" \t<>|") & set(n.removeprefix("<|im_start|>user name=")) for n in shown)
+    long = sorted((x.start, x.end, x.turn) for x in rows if x.conv_id == 2 and x.perspective == "ann")
+    assert [x[2] for x in long] == list(range(1000)) and all(a[1] == b[0] for a, b in zip(long, long[1:], strict=False)) and long[0][0] == 0
+    twice = sorted((x.start, x.end) for x in rows if x.conv_id == 3)
+    assert len(twice) == 2 and twice[0][1] == twice[1][0]

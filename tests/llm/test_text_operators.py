@@ -1,8 +1,11 @@
+import functools
 import random
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from strataspark.llm import decontaminate, license_scan, line_dedup, quality, toxicity
 from strataspark.llm.words import LETTERS_ONLY, chunks, shingles
@@ -58,6 +61,38 @@ def test_lines_equal_brute_force(spark):
     assert set(line_dedup.drop_repeated_lines(df).columns) == {"doc_id", "text", "line", "first"}
     assert 51 in {x.doc_id for x in line_dedup.drop_repeated_lines(df).collect()} and 52 not in {x.doc_id for x in line_dedup.drop_repeated_lines(df).collect()}
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()} == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_lines_of_any_length_and_clashing_names(spark):
+    r = random.Random(4)
+    short = ["", "a", "b", "ab", "abc", "xbc", "abcd", "qqqq", "a", "zz top", "zz tap", "ab"]
+    long = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (900, 1100, 20_000)]
+    near = []
+    for x in long:
+        for _ in range(3):
+            k = r.randrange(len(x))
+            near.append(r.choice([x[:k] + "X" + x[k:], x[:k] + x[k + 1 :], x[:k] + "Y" + x[k + 1 :]]))
+    lines = short + long + near + ["Z" + long[0], long[1] + "Z", long[2][1:], "Q" + long[2][1:], "12" + long[0]]
+    docs = [(i, t) for i, t in enumerate(lines)]
+    schema = "doc_id long, text string, n_lines int, gone int, gone_id int, line string"
+    df = spark.createDataFrame([(i, t, 77, 1, 2, "l") for i, t in docs], schema)
+    edit_one = lambda a, b: abs(len(a) - len(b)) <= 1 and _one_edit(a, b)
+    want = {i for i, t in docs if any(t == u or edit_one(t, u) for _, u in docs[:i])}
+    out = {x.doc_id: x.n_dropped for x in line_dedup.dedup_lines(df.select("doc_id", "text", "gone"), min_chars=0, min_chars_edit=0).collect()}
+    assert {i for i, n in out.items() if n} == want
+    kept = line_dedup.drop_repeated_lines(df, min_chars=0, min_chars_edit=0)
+    assert kept.columns == df.columns and {(x.doc_id, x.n_lines, x.gone) for x in kept.collect()} == {(i, 77, 1) for i, _ in docs if i not in want}
+
+
+def _one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a != b and (a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :])
 
 
 def test_contamination(spark):
@@ -125,6 +160,30 @@ def test_contamination_equals_brute_force(spark):
     assert {(x.doc_id, x.item_id) for x in out} == want and 0 < len(want) < len(docs)
 
 
+def test_contamination_of_repeated_rows_and_one_word_texts(spark):
+    import time
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    a, b = " ".join(word() for _ in range(20)), " ".join(word() for _ in range(15))
+    bench = spark.createDataFrame([(1, a, "x"), (1, a, "y"), (1, b, "x"), (2, "the " * 60, "x")], "item_id long, text string, doc_id string")
+    docs = [(1, a, 0), (1, a, 0), (1, word() + " " + b, 1), (2, "the " * 20_000, 2), (3, b, 3), (4, b, 3), (None, b, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, t1 int").repartition(3)
+    start = time.time()
+    out = sorted((x.doc_id, x.item_id, x.equal_words, x.start_word, x.end_word) for x in decontaminate.contaminated(df, bench).collect())
+    assert out == [(1, 1, 20, 0, 20), (2, 2, 60, 0, 60), (3, 1, 15, 0, 15), (4, 1, 15, 0, 15)] and time.time() - start < 30
+    assert decontaminate.drop_contaminated(df, bench).count() == 0 and decontaminate.drop_contaminated(df, bench).columns == df.columns
+
+
+def test_many_items_take_several_passes(spark, monkeypatch):
+    r = random.Random(3)
+    items = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(30))) for i in range(200)]
+    docs = [(i, "some words before " + t) for i, t in items] + [(1000, "nothing of the kind here at all")]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "MAX_FILTER", 18)
+    assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(df, bench).collect()} == {(i, i) for i in range(200)}
+
+
 def labelled(spark, bad, n=300):
     r = random.Random(4)
     calm = ["table", "green", "walk", "river", "stone", "light", "paper", "cloud"]
@@ -155,6 +214,68 @@ def test_toxicity(spark):
     assert all(x.score < 0.01 for x in toxicity.score_toxicity(more, none).collect())
 
 
+def test_toxicity_is_the_noisy_or_of_distinct_evidence(spark):
+    import re
+
+    from strataspark.llm.words import Words
+
+    @functools.cache
+    def features(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        w = Words(data, np.array([0, len(data)]), space=LETTERS_ONLY)
+        return {int(w.hashes[0]), *(int(w.prefixes(k)[0]) for k in toxicity.PREFIXES)}
+
+    bad = {"vile": 7.0, "grun": 4.5, "mean": 2.0}
+    hashes = {min(features(k)): v for k, v in bad.items()}
+    order = sorted(hashes)
+    model = toxicity.ToxicityModel(np.array(order, np.uint64), np.array([hashes[h] for h in order]), -6.0)
+    r = random.Random(7)
+    texts = [" ".join(r.choice(["calm", "Vile", "grun", "mean", "tree", "a", "b.", "c!", "d\n", "...", "é"]) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    texts += ["", None, "The river runs.\n" * 100_000, "." * 100_000, "mean tree. " * 50_000, "calm. " * 20_000 + "you vile grun"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    out = {x.doc_id: x for x in toxicity.score_toxicity(df, model).collect()}
+    for i, t in enumerate(texts):
+        seen = {frozenset(h for w in re.findall(r"[^\W_]+", s) for h in features(w.lower()) if h in hashes) for s in re.split(r"[.!?\n]+", t or "")}
+        none = np.prod([1 - 1 / (1 + np.exp(6.0 - sum(hashes[h] for h in s))) for s in seen if s])
+        assert abs(out[i].score - (1 - none)) < 1e-9, t[:80]
+    n = len(texts)
+    assert out[n - 4].score == out[n - 3].score == 0 and out[n - 2].score < 0.02 and out[n - 1].score > 0.9
+    assert [s.sentence for s in out[n - 1].offending] == [" you vile grun"]
+
+
+def test_models_with_clashing_names_and_repeated_rows(spark):
+    data = labelled(spark, ["vilexa", "vilexon"], 150)
+    labels = data.select("doc_id", "toxic", F.col("toxic").alias("quality")).union(spark.createDataFrame([(3, None, 1), (None, 1, 1)], "doc_id long, toxic int, quality int"))
+    docs = data.select("doc_id", F.col("text").alias("body"), *(F.lit("x").alias(c) for c in ("_label", "_id", "_picked", "label", "id", "text", "picked")))
+    docs = docs.union(docs.limit(40))
+    kept = toxicity.drop_toxic(docs, labels, text_col="body")
+    assert kept.columns == docs.columns and kept.count() < docs.count()
+    sample = quality.labelled_sample(docs, quality.training_labels(labels), text_col="body")
+    model = quality.fit_quality(docs, sample, "body")
+    out = quality.score_quality(docs, model, text_col="body").toPandas()
+    assert len(out) == docs.count() and out.groupby("doc_id").score.nunique().max() == 1
+    more = spark.createDataFrame([(1, "word " * 300_000), (2, None), (None, "x"), (4, "x")], "doc_id long, body string")
+    assert all(0 <= x.score <= 1 for x in quality.score_quality(more, model, text_col="body").collect())
+    assert toxicity.drop_toxic(docs.limit(0), labels, text_col="body").count() == 0
+
+
+def test_quality_equals_brute_force(spark):
+    """Votes of the nearest labelled vectors, ties among them included, worked out without blocks."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choices(["river", "stone", "tree"] if i % 2 else ["@@x", "##y", "$$z"], k=r.randint(3, 30))), i % 2) for i in range(80)]
+    rows += [(100 + i, rows[i][1], rows[i][2]) for i in range(20)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit_quality(data, data.select("text", "quality"), neighbours=200)
+    got = {x.doc_id: x.score for x in quality.score_quality(data, model).collect()}
+    x = np.concatenate(list(quality._blocks(pa.array([t for _, t, _ in rows]), model.idf)))
+    unit = (x - model.centre) @ model.axes.T
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    weight = np.maximum(unit @ model.vectors.T, 1e-6)
+    good, bad = ((weight * (model.labels == v)).sum(1) / (model.labels == v).sum() for v in (1, 0))
+    for (i, _, _), want in zip(rows, good / (good + bad), strict=True):
+        assert got[i] == pytest.approx(want, abs=1e-4)
+
+
 def test_quality_on_held_out(spark):
     r = random.Random(2)
     calm = ["the", "river", "runs", "past", "old", "stones", "and", "trees"]
@@ -175,39 +296,48 @@ def test_quality_on_held_out(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
-def test_licenses_equal_brute_force(spark):
+def license_shingles(t):
     import re
 
+    w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_licenses_equal_containment_in_the_whole_text(spark):
     r = random.Random(8)
     filler = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "the", "license", "under", "work", "is"]) for _ in range(n))
     docs = []
-    for i in range(60):
-        lic = license_scan.NOTICES[i % len(license_scan.NOTICES)][1]
-        w = lic.split()
+    for i in range(110):
+        w = license_scan.NOTICES[i % len(license_scan.NOTICES)][1].split()
         if i % 4 == 1 and len(w) > 20:
             w[-1] = "changed"
         if i % 4 == 2:
             w = w[: len(w) // 2]
         docs.append((i, f"{filler(r.randint(0, 40))}\n{' '.join(w).upper() if i % 3 else ' '.join(w)}\n{filler(r.randint(0, 300))}"))
-    docs += [(100, None), (101, ""), (102, "MIT"), (103, filler(5000))]
-
-    def sh(t):
-        w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
-        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-
+    docs += [(200, None), (201, ""), (202, "MIT"), (203, filler(60_000)), (204, filler(20_000) + " Released under the MIT License. " + filler(10)), (0, docs[0][1])]
     want = {}
-    longest = max(len(set(sh(t))) for _, t in license_scan.NOTICES)
-    around = 10 + longest
     for i, t in docs:
-        s = sh(t)
-        for name, notice in license_scan.NOTICES:
-            full = set(sh(notice))
-            for at in range(0, len(s), 5):
-                if full & set(s[at : at + 5]):
-                    share = len(full & set(s[max(0, at - around) : at + 5 + around])) / len(full)
-                    if share >= 0.8:
-                        want[i, name] = max(want.get((i, name), 0), share)
-    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, sh string")
+        own = license_shingles(t)
+        shares = [(len(own & (full := license_shingles(n))) / len(full), name, full) for name, n in license_scan.NOTICES]
+        for share, name, full in shares:
+            # a sibling that shares these shingles and has more of its own is the better one
+            better = any(other > share and len(full & its) * 2 > len(full) for other, _, its in shares)
+            if share >= 0.8 and not better:
+                want[i, name] = max(want.get((i, name), 0), share)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, sh string, at int")
     got = {(x.doc_id, x.license_id): x.containment for x in license_scan.scan_licenses(df).collect()}
-    assert got == want and len(want) > 30
+    assert got == want and len(want) > 50 and got[204, "MIT"] == 1.0
+    assert got.get((11, "GPL-2.0")) == 1.0 and (11, "GPL-3.0") not in got
     assert license_scan.scan_licenses(df, license_scan.notices(spark).limit(0)).count() == 0
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_full_license_texts_in_blocks(spark):
+    r = random.Random(2)
+    texts = {f"L{k}": " ".join(f"w{r.randrange(5000)}" for _ in range(3000)) for k in range(4)}
+    templates = spark.createDataFrame(list(texts.items()) + [("none", None), ("few", "a b c")], "license_id string, text string")
+    docs = [(k, "before " * 50 + t + " after") for k, t in enumerate(texts.values())] + [(9, " ".join(texts["L1"].split()[:2000])), (10, " ".join(w if i % 40 else "x" for i, w in enumerate(texts["L2"].split())))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (20_000, 4000):
+        got = {(x.doc_id, x.license_id): x.containment for x in license_scan.scan_licenses(df, templates, block_words=block).collect()}
+        assert set(got) == {(k, f"L{k}") for k in range(4)} | {(10, "L2")} and got[0, "L0"] == 1.0
