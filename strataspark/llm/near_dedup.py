@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.llm.components import connected_components
+from strataspark.llm.names import unused
 from strataspark.llm.words import chunks, mix, shingles
 from strataspark.scratch import materialise
 
@@ -185,6 +186,7 @@ def near_duplicates(
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the documents that have a near-duplicate of smaller id in their component."""
-    gone = near_duplicates(docs, id_col, **how).where("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` without the documents that have a near-duplicate of smaller id in their component. Rows with null ids stay, and all rows of an id that stays."""
+    (name,) = unused(docs.columns, "gone")
+    gone = near_duplicates(docs, id_col, **how).where("not kept").select(F.col(id_col).alias(name))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -18,13 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.sizes import small
 from strataspark.scratch import materialise
 
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT_BYTES = 1000
 #: A written file is closed beyond so many bytes before compression.
 FILE_BYTES = 128 << 20
+#: Payloads are handed on beyond so many bytes together.
+BATCH_BYTES = 32 << 20
 #: Fixed value: the date of records whose source gives none.
 DATE = "1970-01-01T00:00:00Z"
 _STEP = 1 << 18
@@ -42,7 +43,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     large = rows.where(F.col("payload_bytes") >= min_revisit_bytes).select("page_id", "payload_digest")
     tops = large.groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low")).where("low < top").drop("low")
     again = large.join(tops, "payload_digest").where("page_id < top").select(F.col("page_id").alias("_again"), F.col("payload_digest").alias("_digest"), F.col("top").alias("refers_to")).distinct()
-    again = small(materialise(again, "revisits"))
+    again = materialise(again, "revisits")  # written, so that Spark knows its size and broadcasts it only within its limit
     out = rows.join(again, (F.col("page_id") == F.col("_again")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_again", "_digest")
     return out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
@@ -205,13 +206,20 @@ def normalise(files: DataFrame, folder: str, uri_col: str = "uri") -> DataFrame:
 def read_records(index: DataFrame) -> DataFrame:
     """``(record_id, warc_type, url, refers_to, stated_digest, stated_bytes, payload)`` of the records that an index (or any part of one) points at.
 
-    Each is read from its offset alone. The payload is what follows the HTTP head of the block; revisits have an empty one.
+    Each is read from its offset alone, a record at a time; payloads go on once they are BATCH_BYTES together. The payload is what follows the HTTP head of the block; revisits have an empty one. A record that the index has
+    more than once is read as often.
     """
 
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    names = ["record_id", "warc_type", "url", "refers_to", "stated_digest", "stated_bytes", "payload"]
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k)for i, k in enumerate(kinds)], names)
+
     def run(batches):
         last = file = None
+        rows, held = [], 0
         for batch in batches:
-            rows = []
             for uri, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if uri != last:
                     source, at = fs.FileSystem.from_uri(uri)
@@ -220,12 +228,13 @@ def read_records(index: DataFrame) -> DataFrame:
                 data = zlib.decompress(file.read(length), 31)
                 cut = data.index(b"\r\n\r\n") + 4
                 head = _headers(data[:cut])
-                block = data[cut : cut + int(head["content-length"])]
-                payload = block.partition(b"\r\n\r\n")[2]
+                payload = data[cut : cut + int(head["content-length"])].partition(b"\r\n\r\n")[2]
                 rows.append((head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-refers-to"), head.get("warc-payload-digest"), int(head.get("warc-x-payload-length", len(payload))), payload))
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            names = ["record_id", "warc_type", "url", "refers_to", "stated_digest", "stated_bytes", "payload"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                held += len(payload)
+                if held >= BATCH_BYTES or len(rows) >= 10_000:
+                    yield packed(rows)
+                    rows, held = [], 0
+        yield packed(rows)
 
     schema = "record_id string, warc_type string, url string, refers_to string, stated_digest string, stated_bytes long, payload binary"
     return index.select("uri", "offset", "length").mapInArrow(run, schema)
