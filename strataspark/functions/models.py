@@ -59,14 +59,14 @@ def complete(prompt: Column, completer: Completer) -> Column:
 
 
 def hash_embedder(dims: int = 768) -> Embedder:
-    """A deterministic stand-in: a linear congruential sequence started by the text's FNV-1a hash, at unit length."""
+    """A deterministic stand-in: a linear congruential sequence started by the text's FNV-1 hash, at unit length."""
 
     def run(texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
             s = 2166136261
             for byte in text.encode():
-                s = ((s ^ byte) * 16777619) & 0xFFFFFFFF
+                s = (s * 16777619 & 0xFFFFFFFF) ^ byte
             v = []
             for _ in range(dims):
                 s = (s * 1664525 + 1013904223) & 0x7FFFFFFF

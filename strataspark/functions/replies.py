@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_TAGS, TOOL_RESULT_BYTES = 5, 10_240
+#: The attribute that marks a row as classified.
+CLASSIFIED = "classified"
 
 
 def _trim(c: Column) -> Column:
@@ -62,15 +64,17 @@ def parse_rules_skills(reply: Column) -> Column:
 def parse_wisdom(reply: Column) -> Column:
     """Struct of ``content`` and ``attrs`` (tags, domain, the mark that it is classified); null on any error or without a rule."""
     got = F.from_json(strip_code_fence(reply), "rule string, tags string, domain string")
-    attrs = F.create_map(F.lit("tags"), F.coalesce(got["tags"], F.lit("")), F.lit("domain"), F.coalesce(got["domain"], F.lit("")), F.lit("lth_classified"), F.lit("1"))
+    attrs = F.create_map(F.lit("tags"), F.coalesce(got["tags"], F.lit("")), F.lit("domain"), F.coalesce(got["domain"], F.lit("")), F.lit(CLASSIFIED), F.lit("1"))
     return F.when(_trim(got["rule"]) != "", F.struct(_trim(got["rule"]).alias("content"), F.map_filter(attrs, lambda k, v: v != "").alias("attrs")))
 
 
 def parse_classification(reply: Column, attr: str, allowed: list[str], with_tags: bool = False) -> Column:
-    """Map of the attribute (and up to three tags) that a reply gives; null if its value isn't allowed, whatever its case."""
+    """Map of the attribute (and up to three tags) that a reply gives, as a JSON string, an object, or bare with or without quotes; null if its value isn't allowed, whatever its case."""
     text = strip_code_fence(reply)
     got = F.from_json(text, "map<string,string>")
-    value = F.lower(_trim(F.coalesce(got[attr], F.when(~F.startswith(text, F.lit("{")), text), F.lit(""))))
+    quoted = F.when(F.startswith(text, F.lit('"')), F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string")["v"])
+    bare = F.when(~F.startswith(text, F.lit("{")), F.regexp_replace(text, "^[\"' ]+|[\"' ]+$", ""))
+    value = F.lower(_trim(F.coalesce(got[attr], quoted, bare, F.lit(""))))
     names = {a.lower(): a for a in allowed}
     ok = value.isin(list(names)) if names else value != ""
     out = F.create_map(F.lit(attr), value)

@@ -9,6 +9,7 @@ from strataspark.functions.text import file_list_text
 from strataspark.functions.vectors import unit
 from strataspark.operators.filters import active
 from strataspark.schema import LAYERS
+from strataspark.scratch import materialise
 
 #: Upper bounds in seconds of the duration histograms.
 SEARCH_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
@@ -141,15 +142,17 @@ def carry_forward(lines: DataFrame, columns: list[str], key: str = "file", order
 def chrono_windows(rows: DataFrame, size: int = 20) -> DataFrame:
     """Rows with their ``window`` of ``size``, in order (those without a vector first, then by time); none if there are fewer than ``size``.
 
-    Positions come from sums over days, then within a day, so that no task sorts all rows.
+    Rows are dealt by ranges of that order, which Spark balances by sampling, and counted within them; so no task sorts all rows, or all of a day.
     """
-    rows = rows.withColumns({"_v": F.col("embedding").isNotNull().cast("int"), "_day": F.to_date("created_at")})
-    days = rows.groupBy("_v", "_day").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_v", "_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("_v", "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    within = F.row_number().over(Window.partitionBy("_v", "_day").orderBy("created_at", "id"))
-    out = rows.withColumn("_k", within).join(F.broadcast(days), [rows["_v"].eqNullSafe(days["_v"]), rows["_day"].eqNullSafe(days["_day"])]).drop(days["_v"], days["_day"])
-    return out.where(F.col("_all") >= size).withColumn("window", F.floor((F.col("_base") + F.col("_k") - 1) / size)).drop("_v", "_day", "_k", "_base", "_all")
+    order = ["_v", "created_at", "id"]
+    dealt = materialise(rows.withColumn("_v", F.col("embedding").isNotNull().cast("int")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a partition
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = dealt.withColumn("_k", within).join(F.broadcast(parts), "_part").where(F.col("_all") >= size)
+    return out.withColumn("window", F.floor((F.col("_base") + F.col("_k") - 1) / size)).drop("_v", "_part", "_k", "_base", "_all")
 
 
 def even_sample(members: DataFrame, budget: int = 80_000, key: str = "cluster", text: str = "content") -> DataFrame:

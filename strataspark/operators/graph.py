@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strataspark.operators.aggregates import affinity, seed_attr_counts
@@ -28,9 +28,9 @@ def neighbors(edges: DataFrame, ids: DataFrame, types: list[str] | None = None)
 def bfs(edges: DataFrame, root, depth: int = DEPTH) -> DataFrame:
     """``(from_id, to_id, edge_type, weight, level)``: for each node reached over outgoing edges, the edge that reached it first; ties to the smallest edge.
 
-    One join a level; what is reached is written, so plans don't grow. A depth of 0 or less is empty.
+    Edges are worked out once, one join a level; what is reached is written, so plans don't grow. A depth of 0 or less is empty.
     """
-    steps = edges.select("from_id", "to_id", "edge_type", "weight")
+    steps = materialise(edges.select("from_id", "to_id", "edge_type", "weight"), "steps")
     empty = steps.limit(0).withColumn("level", F.lit(0))
     if depth <= 0:
         return empty
@@ -50,12 +50,13 @@ def bfs(edges: DataFrame, root, depth: int = DEPTH) -> DataFrame:
 def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """``(id, rank)`` of all nodes and seeds: weighted out-edges normalised by node, teleport and the mass of nodes without any go to the seeds.
 
-    The teleport share is one over the number of seed rows, so a repeated seed loses mass, as in the definition this follows. Ranks are summed by key, combined before each shuffle; every fifth round is written to cut the lineage.
+    The teleport share is one over the number of seed rows, so a repeated seed loses mass, as in the definition this follows. Ranks are summed by key, combined before each shuffle. Links are dealt by source once and stay so; a round shuffles ranks and sums alone and is written, which cuts the lineage and tells the mass of dead ends on the way.
     """
     links = edges.select("from_id", "to_id", F.col("weight").cast("double").alias("w"))
     sums = links.groupBy("from_id").agg(F.sum("w").alias("s"))
     links = links.join(sums, "from_id").where("s > 0").select("from_id", "to_id", (F.col("w") / F.col("s")).alias("p"))
     links = materialise(links.groupBy("from_id", "to_id").agg(F.sum("p").alias("p")), "links")
+    dealt = links.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "from_id").persist()
     count = seeds.count()
     nodes = edges.select(F.col("from_id").alias("id")).union(edges.select(F.col("to_id").alias("id"))).union(seeds.select("id")).distinct()
     if not count:
@@ -64,13 +65,15 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = D
     dangling = nodes.join(links.select(F.col("from_id").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left")
     base = materialise(dangling.join(start, "id", "left").select("id", F.coalesce("t", F.lit(0.0)).alias("t"), F.col("out").isNull().alias("dead")), "nodes")
     ranks = base.select("id", "t", "dead", F.col("t").alias("rank"))
-    for i in range(iterations):
-        lost = ranks.where("dead").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        moved = links.join(ranks.select(F.col("id").alias("from_id"), "rank"), "from_id").groupBy("to_id").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        ranks = base.join(moved.withColumnRenamed("to_id", "id"), "id", "left").join(F.broadcast(lost), F.lit(True))
-        ranks = ranks.select("id", "t", "dead", ((1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("t"))).alias("rank"))
-        if i % 5 == 4 or i == iterations - 1:
-            ranks = materialise(ranks, "ranks")
+    lost = 0.0 if base.where("dead").isEmpty() else ranks.where("dead").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+    for _ in range(iterations):
+        moved = dealt.join(ranks.select(F.col("id").alias("from_id"), "rank"), "from_id").groupBy("to_id").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
+        rank = (1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("t"))
+        seen = Observation()
+        ranks = base.join(moved.withColumnRenamed("to_id", "id"), "id", "left").select("id", "t", "dead", rank.alias("rank"))
+        ranks = materialise(ranks.observe(seen, F.sum(F.when(F.col("dead"), F.col("rank"))).alias("lost")), "ranks")
+        lost = seen.get["lost"] or 0.0
+    dealt.unpersist()
     return ranks.select("id", "rank")
 
 

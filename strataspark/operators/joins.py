@@ -169,12 +169,12 @@ def changed_rich_docs(listing: DataFrame, state: DataFrame) -> DataFrame:
 def same_trace_edges(spans: DataFrame, limit: int = 50) -> DataFrame:
     """Edges from each span to the spans of its trace that came before, at most ``limit`` (the oldest), of ``spans(id, trace_id, seq)``.
 
-    Spans are numbered within their trace first, so only the first ``limit`` of a trace are ever a target: the join's output is at most ``limit`` rows a span, however large a trace is.
+    Only the first ``limit`` of a trace are ever a target, and they are cut before the shuffle; a span then meets those that are before it. So the output is at most ``limit`` rows a span, and no task sorts a trace.
     """
-    number = F.row_number().over(Window.partitionBy("trace_id").orderBy("seq", "id"))
-    ranked = spans.where("trace_id is not null").select("id", "trace_id", number.alias("n"))
-    targets = ranked.where(F.col("n") <= limit).select("trace_id", F.col("id").alias("to_id"), F.col("n").alias("to_n"))
-    out = ranked.join(targets, "trace_id").where("to_n < n")
+    rows = spans.where("trace_id is not null").select("id", "trace_id", F.struct("seq", "id").alias("at"))
+    number = F.row_number().over(Window.partitionBy("trace_id").orderBy("at"))
+    targets = rows.withColumn("n", number).where(F.col("n") <= limit).select("trace_id", F.col("id").alias("to_id"), F.col("at").alias("before"))
+    out = rows.join(targets, "trace_id").where("before < at")
     return out.select(F.col("id").alias("from_id"), "to_id", F.lit("same_trace").alias("edge_type"), F.lit(1.0).cast("float").alias("weight"))
 
 

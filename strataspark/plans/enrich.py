@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions.models import Completer, Embedder, complete, embed
-from strataspark.functions.replies import parse_classification, parse_importance, parse_tags, parse_valence
+from strataspark.functions.replies import CLASSIFIED, parse_classification, parse_importance, parse_tags, parse_valence
 from strataspark.functions.text import prompt
 from strataspark.operators.cluster import auto_link
 from strataspark.operators.filters import active, list_unimportant, list_unscored
@@ -63,9 +63,9 @@ def enrich(rows: DataFrame, new: DataFrame, edges: DataFrame, embedder: Embedder
 def classify_layer(rows: DataFrame, layer: int, attr: str, allowed: list[str], completer: Completer, now, overwrite: bool = False, with_tags: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ops, counts): the attribute of a layer's rows as a model gives it. Rows marked as classified, or that have the attribute unless ``overwrite``, are skipped; counts are total, tagged, skipped, failed."""
     own = active(rows).where(F.col("layer") == layer)
-    done = F.coalesce(F.col("attrs")["lth_classified"] == "1", F.lit(False)) | ((F.coalesce(F.col("attrs")[attr], F.lit("")) != "") & F.lit(not overwrite))
+    done = F.coalesce(F.col("attrs")[CLASSIFIED] == "1", F.lit(False)) | ((F.coalesce(F.col("attrs")[attr], F.lit("")) != "") & F.lit(not overwrite))
     marked = own.select("id", "content", done.alias("skip"))
     asked = materialise(marked.where("not skip").select("id", complete(prompt("classify", F.col("content")), completer).alias("r")).withColumn("a", parse_classification(F.col("r.text"), attr, allowed, with_tags)), "classes")
-    pairs = asked.where("a is not null").select("id", F.explode(F.map_concat("a", F.create_map(F.lit("lth_classified"), F.lit("1")))).alias("key", "value"))
+    pairs = asked.where("a is not null").select("id", F.explode(F.map_concat("a", F.create_map(F.lit(CLASSIFIED), F.lit("1")))).alias("key", "value"))
     counts = marked.agg(F.count("*").alias("total"), F.count_if("skip").alias("skipped")).join(asked.agg(F.count_if(F.col("a").isNotNull()).alias("tagged"), F.count_if(F.col("a").isNull()).alias("failed")), F.lit(True))
     return ops_of(pairs, "attr", id="id", at=_at(now), key="key", value="value"), counts

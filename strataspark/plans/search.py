@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions.models import Completer, Embedder, complete, embed
@@ -14,7 +14,7 @@ from strataspark.functions.text import prompt, truncate_ellipsis
 from strataspark.functions.vectors import cosine
 from strataspark.operators.aggregates import last_turns
 from strataspark.operators.filters import matches_attrs
-from strataspark.operators.retrieval import bm25_search, knn_join, rank_topk
+from strataspark.operators.retrieval import bm25_search, knn_join, merge_candidates, rank_topk
 from strataspark.scratch import materialise
 
 TOP_K, DEPTH = 10, 3
@@ -22,7 +22,7 @@ TOP_K, DEPTH = 10, 3
 
 @dataclass(frozen=True)
 class Search:
-    """How to search. Weights that are all 0 stand for the defaults; ``decay`` is ``exp`` or ``power``; ``prefilter`` takes the nearest of the rows that qualify, not of all."""
+    """How to search. Weights that are all 0 stand for the defaults; ``decay`` is ``exp`` or ``power``; ``each_layer`` gives the best of every layer; ``prefilter`` takes the nearest of the rows that qualify, not of all."""
 
     top_k: int = TOP_K
     layers: tuple[int, ...] = ()
@@ -34,6 +34,7 @@ class Search:
     attrs: tuple[tuple[str, str], ...] = ()
     decay: str = "exp"
     prefilter: bool = False
+    each_layer: bool = False
 
 
 def embedded_queries(queries: DataFrame, embedder: Embedder | None) -> DataFrame:
@@ -51,19 +52,20 @@ def expand_queries(queries: DataFrame, completer: Completer) -> DataFrame:
 
 
 def candidates(rows: DataFrame, queries: DataFrame, how: Search) -> DataFrame:
-    """``(query_id, id)`` from both sides, ``3 * top_k`` deep each; of several variants of a query all count."""
+    """``(query_id, id, distance, bm25)`` from both sides, ``3 * top_k`` deep each; of several variants of a query all count, the best of each side."""
     variant = F.struct("query_id", F.col("variant") if "variant" in queries.columns else F.lit(0).alias("variant"))
     each = queries.select(F.to_json(variant).alias("_q"), "query_id", "query", "embedding")
     depth = DEPTH * how.top_k
     alive = rows.where("compacted_at is null")
     alive = alive.where(F.col("layer").isin(list(how.layers))) if how.layers else alive
     pool = (alive if how.prefilter else rows).where("embedding is not null").select("id", "embedding")
-    near = knn_join(pool, each.select(F.col("_q").alias("query_id"), "embedding"), depth).select(F.col("query_id").alias("_q"), "id").join(alive.select("id"), "id", "left_semi")
-    text = bm25_search(rows, each.select(F.col("_q").alias("query_id"), "query"), depth, list(how.layers) or None).select(F.col("query_id").alias("_q"), "id")
-    return near.select("_q", "id").union(text.select("_q", "id")).join(each.select("_q", "query_id"), "_q").select("query_id", "id").distinct()
+    near = knn_join(pool, each.select(F.col("_q").alias("query_id"), "embedding"), depth).join(alive.select("id"), "id", "left_semi")
+    text = bm25_search(rows, each.select(F.col("_q").alias("query_id"), "query"), depth, list(how.layers) or None, each_layer=how.each_layer)
+    of = each.select("_q", "query_id")
+    return merge_candidates(*(side.withColumnRenamed("query_id", "_q").join(of, "_q") for side in (near, text)))
 
 
-def hybrid_search(rows: DataFrame, queries: DataFrame, now, how: Search = Search(), embedder: Embedder | None = None, completer: Completer | None = None, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+def hybrid_search(rows: DataFrame, queries: DataFrame, now, how: Search = Search(), embedder: Embedder | None = None, completer: Completer | None = None) -> DataFrame:
     """``(query_id, rank, id, score, parts, ...columns of rows)``: the ``top_k`` best rows for each query.
 
     ``queries(query_id, query)`` may carry vectors in ``embedding``; else ``embedder`` makes them. Candidates are the nearest vectors and the best texts; they are scored by age, importance, cosine with the query (the original, also where a completer adds
@@ -78,7 +80,7 @@ def hybrid_search(rows: DataFrame, queries: DataFrame, now, how: Search = Search
         else:
             variants = variants.withColumn("embedding", F.lit(None).cast("array<float>"))
         wide = variants.where("variant > 0").unionByName(wide.withColumn("variant", F.lit(0)))
-    found = materialise(candidates(rows, wide, how), "candidates")
+    found = materialise(candidates(rows, wide, how).select("query_id", "id"), "candidates")
     alpha, beta, gamma = default_weights(how.alpha, how.beta, how.gamma)
     both = rows.join(found, "id").join(asked.select("query_id", F.col("embedding").alias("_q")), "query_id")
     at = F.lit(now).cast("timestamp") if not isinstance(now, Column) else now
@@ -90,17 +92,18 @@ def hybrid_search(rows: DataFrame, queries: DataFrame, now, how: Search = Search
         scored = scored.where(F.col("valence") >= how.min_valence)
     if how.max_valence is not None:
         scored = scored.where(F.col("valence") <= how.max_valence)
-    return rank_topk(scored, how.top_k, keys=keys)
+    return rank_topk(scored, how.top_k, keys=("query_id", "layer") if how.each_layer else ("query_id",))
 
 
 def per_layer_search(rows: DataFrame, queries: DataFrame, now, k: int = 8, embedder: Embedder | None = None) -> DataFrame:
-    """The best ``k`` of each layer for each query; a search of its own per layer, all in one result."""
+    """The best ``k`` of each layer for each query, as a search of its own per layer would give them, from one pass: candidates and ranks are kept by layer."""
     asked = queries if "embedding" in queries.columns else embedded_queries(queries, embedder)
-    out = None
-    for layer in range(1, 6):
-        part = hybrid_search(rows, asked, now, Search(top_k=k, layers=(layer,)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return hybrid_search(rows.where(F.col("layer").between(1, 5)), asked, now, Search(top_k=k, each_layer=True))
+
+
+def merged_search(rows: DataFrame, queries: DataFrame, now, k: int = 20, embedder: Embedder | None = None) -> DataFrame:
+    """What is shown beside :func:`per_layer_search`: the best ``k`` of all layers together."""
+    return hybrid_search(rows, queries, now, Search(top_k=k), embedder)
 
 
 def file_context(rows: DataFrame, paths: DataFrame, now, k: int = 5, embedder: Embedder | None = None) -> DataFrame:
@@ -124,9 +127,3 @@ def brief_results(results: DataFrame, completer: Completer) -> DataFrame:
     """Results with a ``brief``: the model's, or the text cut to 300 bytes where it gives none."""
     out = results.withColumn("_b", complete(prompt("brief", F.col("content")), completer))
     return out.withColumn("brief", F.coalesce(F.nullif(F.trim("_b.text"), F.lit("")), truncate_ellipsis(F.col("content"), 300))).drop("_b")
-
-
-def seen_once(results: DataFrame) -> DataFrame:
-    """Of rows that several queries found, the best place each."""
-    order = Window.partitionBy("id").orderBy(F.col("score").desc(), "query_id")
-    return results.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")

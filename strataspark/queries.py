@@ -83,7 +83,7 @@ edges AS (
 
 QRY = """
 qry AS (
-  SELECT item_id AS query_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), 1, 3), ' ') AS query, CAST(embedding AS DOUBLE[]) AS qv
+  SELECT item_id AS query_id, text AS query, CAST(embedding AS DOUBLE[]) AS qv
   FROM benchmark LEFT JOIN embeddings ON vec_id = item_id
 )"""
 
@@ -173,8 +173,7 @@ def prefix_lookup(spark, sf_dir):
 @query(f"WITH {MEM} SELECT id FROM mem WHERE content_hash = (SELECT content_hash FROM mem WHERE n = 3)")
 def lookup_by_hash(spark, sf_dir):
     rows = memories(spark, sf_dir)
-    one = rows.where("id = '3'").select("content_hash")
-    return rows.join(one, "content_hash", "left_semi").select("id")
+    return filters.get_by_hash(rows, rows.where("id = '3'").first().content_hash).select("id")
 
 
 @query(f"WITH {MEM} SELECT id, layer, valence FROM live WHERE layer IN (2, 4) AND valence >= 0 AND valence <= 1 AND created_at >= TIMESTAMP '2024-01-01 01:00:00' AND source <> 'src0'")
@@ -319,16 +318,16 @@ def discover_new_prs(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT 's' || event_id AS id, 't' || user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id, 's' || event_id) AS n FROM events)
-SELECT a.id AS from_id, b.id AS to_id, 'same_trace' AS edge_type, CAST(1 AS FLOAT) AS weight FROM s a JOIN s b ON a.trace_id = b.trace_id AND b.n < a.n AND b.n <= 5""")
+SELECT a.id AS from_id, b.id AS to_id, 'same_trace' AS edge_type, CAST(1 AS FLOAT) AS weight FROM s a JOIN s b ON a.trace_id = b.trace_id AND b.n < a.n AND b.n <= 50""")
 def same_trace_edges(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("trace_id"), F.col("event_id").alias("seq"))
     return joins.same_trace_edges(e)
 
 
-@query(f"WITH {MEM}, {EDG} SELECT id FROM (SELECT DISTINCT 'p' || p_partkey AS id FROM part) WHERE id NOT IN (SELECT from_id FROM edges WHERE edge_type = 'derived_from' UNION SELECT to_id FROM edges WHERE edge_type = 'derived_from')")
+@query(f"WITH {MEM}, {EDG} SELECT id FROM (SELECT DISTINCT 'p' || p_partkey AS id FROM part) WHERE id NOT IN (SELECT from_id FROM edges WHERE edge_type = 'derived_from' AND weight >= 0.65 UNION SELECT to_id FROM edges WHERE edge_type = 'derived_from' AND weight >= 0.65)")
 def promotion_guard(spark, sf_dir):
     parts = _table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id")).distinct()
-    return joins.promotion_guard(parts, edge_table(spark, sf_dir))
+    return joins.promotion_guard(parts, edge_table(spark, sf_dir).where("weight >= 0.65"))
 
 
 # scalar functions
@@ -341,7 +340,7 @@ def score_parts(spark, sf_dir):
     return out.select("id", F.col("p.time").alias("time_part"), F.col("p.importance").alias("importance_part"), F.col("p.valence").alias("valence_part"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(left(text, 120)), '[^a-z0-9]+', '-', 'g'), '-')[1:80] AS slug FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')[1:80] AS slug FROM documents")
 def slugs(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
@@ -353,7 +352,10 @@ def truncate_bytes(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.truncate_utf8(F.col("text"), 100).alias("cut"))
 
 
-@query("SELECT doc_id, CASE WHEN len(x) > 0 THEN x ELSE ['build'] END AS intents FROM (SELECT doc_id, list_filter([CASE WHEN regexp_matches(t, 'research|explain|explore|overview') THEN 'research' END, CASE WHEN regexp_matches(t, 'code|implement|build|write|create|add|fix|develop|modify|change|update') THEN 'build' END, CASE WHEN regexp_matches(t, 'review|evaluate|check|assess|audit') THEN 'review' END], lambda v: v IS NOT NULL) AS x FROM (SELECT doc_id, lower(text) AS t FROM documents))")
+_INTENTS = ", ".join(f"CASE WHEN regexp_matches(t, '{'|'.join(words)}') THEN '{name}' END" for name, words in text.INTENTS.items())
+
+
+@query(f"SELECT doc_id, CASE WHEN len(x) > 0 THEN x ELSE ['build'] END AS intents FROM (SELECT doc_id, list_filter([{_INTENTS}], lambda v: v IS NOT NULL) AS x FROM (SELECT doc_id, lower(text) AS t FROM documents))")
 def detect_intents(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.detect_intents(F.col("text")).alias("intents"))
 
@@ -364,7 +366,7 @@ def glob_filter(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", "url", text.path_accepted(path, ["*/**/[0-9]*"], ["**/fr/*"]).alias("accepted"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(hex(encode(left(text, 12)))) ELSE '!' || left(text, 12) END AS decoded FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(hex(encode(text))) ELSE '!' || text END AS decoded FROM documents")
 def base64_hex(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "")).otherwise(F.concat(F.lit("!"), "text")).alias("t"))
     return d.select("doc_id", text.base64_to_hex(F.col("t")).alias("decoded"))
@@ -526,7 +528,7 @@ texts AS (SELECT query_id, id, bm25 FROM bm JOIN live USING (id) QUALIFY row_num
 _KNN, _BM25 = _KNN.replace("{k}", "30"), _BM25.replace("{{", "{").replace("}}", "}").replace("{k}", "30")
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS id, list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS distance FROM embeddings ORDER BY distance, id LIMIT 10")
+@query("SELECT CAST(x.vec_id AS VARCHAR) AS query_id, CAST(y.vec_id AS VARCHAR) AS id, list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS distance FROM embeddings x, embeddings y WHERE x.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY distance, CAST(y.vec_id AS VARCHAR)) <= 10")
 def knn_l2(spark, sf_dir):
     v = vector_table(spark, sf_dir)
     asked = v.where("cast(id as long) % 50 = 0").withColumnRenamed("id", "query_id")
@@ -574,7 +576,7 @@ def hybrid_search_batch(spark, sf_dir):
     return _searched(spark, sf_dir, plans.Search())
 
 
-@query(_hybrid() + " AND query_id = 0")
+@query(_hybrid() + " AND query_id % 50 = 0")
 def hybrid_search(spark, sf_dir):
     return plans.hybrid_search(memories(spark, sf_dir, True), query_table(spark, sf_dir).where("query_id % 50 = 0"), NOW).select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
@@ -589,12 +591,21 @@ def valence_range(spark, sf_dir):
     return _searched(spark, sf_dir, plans.Search(min_valence=0, max_valence=0.5))
 
 
-@query()
+_PER_LAYER = _hybrid().replace("<= 30)", "<= 24)").replace("JOIN live USING (id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25", "JOIN live USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, layer ORDER BY bm25")
+_PER_LAYER = _PER_LAYER.replace("SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score", "SELECT query_id, layer, CAST(row_number() OVER (PARTITION BY query_id, layer ORDER BY score").replace("rank <= 10", "rank <= 8")
+
+
+@query(_PER_LAYER)
 def search_per_layer(spark, sf_dir):
-    return plans.per_layer_search(memories(spark, sf_dir, True), query_table(spark, sf_dir), NOW).select("query_id", "layer", "rank", "id", "score")
+    return plans.per_layer_search(memories(spark, sf_dir, True), query_table(spark, sf_dir), NOW).select("query_id", "layer", "rank", "id", F.round("score", 4).alias("score"))
+
+
+@query(_hybrid().replace("<= 30)", "<= 60)").replace("rank <= 10", "rank <= 20"))
+def search_merged(spark, sf_dir):
+    return plans.merged_search(memories(spark, sf_dir, True), query_table(spark, sf_dir), NOW).select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {QRY}, near AS (SELECT CAST(x.vec_id AS VARCHAR) AS from_id, CAST(y.vec_id AS VARCHAR) AS to_id, CAST(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS FLOAT) AS weight FROM embeddings x, embeddings y WHERE x.vec_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), CAST(y.vec_id AS VARCHAR)) <= 6) SELECT from_id, to_id, 'relates_to' AS edge_type, weight FROM near WHERE from_id <> to_id AND weight >= CAST(0.3 AS FLOAT)")
+@query(f"WITH {QRY}, near AS (SELECT CAST(x.vec_id AS VARCHAR) AS from_id, CAST(y.vec_id AS VARCHAR) AS to_id, CAST(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS FLOAT) AS weight FROM embeddings x, embeddings y QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), CAST(y.vec_id AS VARCHAR)) <= 6) SELECT from_id, to_id, 'relates_to' AS edge_type, weight FROM near WHERE from_id <> to_id AND weight >= CAST(0.3 AS FLOAT)")
 def auto_link(spark, sf_dir):
     v = vector_table(spark, sf_dir).withColumn("compacted_at", F.lit(None).cast("timestamp"))
     return cluster.auto_link(v, v, threshold=0.3)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and all runs in one process (tests), a new temporary one. A cluster must name a folder that all share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strataspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataspark.functions.replies import extract_content, extract_file_paths
 from strataspark.functions.text import base64_to_hex, comment_text, content_hash, ext_match, issue_text, otlp_value, path_accepted, span_text, split_chunks
@@ -30,7 +31,10 @@ def read_memories(spark: SparkSession, path: str, layer: int | None = None, acti
 
 def read_partitioned(spark: SparkSession, path: str, account: str, org: str, scopes: list[str] | None = None, layers: list[int] | None = None, at=None) -> DataFrame:
     """Rows of the partitions of an account and org (and scopes, layers, days from ``at``), then those made since ``at``."""
-    rows = spark.read.option("basePath", path).parquet(path).where((F.col("account") == account) & (F.col("org") == org))
+    # names such as 007 stay texts
+    found = spark.read.option("basePath", path).parquet(path).schema
+    texts = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("account", "org", "scope") else f for f in found])
+    rows = spark.read.schema(texts).option("basePath", path).parquet(path).where((F.col("account") == account) & (F.col("org") == org))
     if scopes:
         rows = rows.where(F.col("scope").isin(list(scopes)))
     rows = layers_in(rows, layers)
@@ -111,11 +115,9 @@ def parse_lines(lines: DataFrame, dialect: Column | str | None = None) -> DataFr
 
 def carry_headers(parsed: DataFrame) -> DataFrame:
     """Session and cwd of the last header before each line of dialects B and C; dialect A has its own on every line."""
-    carried = carry_forward(parsed, ["session", "cwd"])
-    keys = ["file", "line_no"]
-    both = carried.select(*keys, F.col("session").alias("_s"), F.col("cwd").alias("_c")).join(parsed, keys)
     own = F.col("dialect") == "A"
-    return both.withColumns({"session": F.when(own, F.col("session")).otherwise(F.col("_s")), "cwd": F.when(own, F.col("cwd")).otherwise(F.col("_c"))}).drop("_s", "_c")
+    carried = carry_forward(parsed.withColumns({"_s": F.when(~own, F.col("session")), "_c": F.when(~own, F.col("cwd"))}), ["_s", "_c"])
+    return carried.withColumns({"session": F.when(own, F.col("session")).otherwise(F.col("_s")), "cwd": F.when(own, F.col("cwd")).otherwise(F.col("_c"))}).drop("_s", "_c")
 
 
 def read_transcripts(spark: SparkSession, path: str, dialect: str | None = None) -> DataFrame:

@@ -19,9 +19,14 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def transcript_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Lines ``(file, value, at)`` of transcript segments that land in a folder, one new file per flush."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_modification_time").alias("at"))
+    """Lines ``(file, line_no, value)`` of transcript segments that land in a folder, one new file per flush.
+
+    A segment is named as its transcript with a number before the last dot (``talk.2.jsonl`` of ``talk.jsonl``; none counts as 0); ``file`` is the transcript, and line numbers go on from segment to segment. A segment is read whole.
+    """
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    lines = files.select(F.col("_metadata.file_path").alias("segment"), F.posexplode(F.split("value", "\n")).alias("pos", "value")).where("value <> ''")
+    number = F.coalesce(F.regexp_extract("segment", r"\.(\d{1,9})\.[^./]*$", 1).try_cast("long"), F.lit(0))
+    return lines.select(F.regexp_replace("segment", r"\.\d{1,9}(\.[^./]*)$", "$1").alias("file"), (number * (1 << 32) + F.col("pos")).alias("line_no"), "value")
 
 
 class _Carry(StatefulProcessor):
@@ -32,16 +37,16 @@ class _Carry(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         session, cwd = self.last.get() if self.last.exists() else ("", "")
-        for part in rows:
-            part = part.sort_values("line_no", kind="stable")
-            sessions, cwds = [], []
-            for header, s, c in zip(part["header"], part["session"], part["cwd"], strict=True):
-                if header:
-                    session, cwd = s or session, c or cwd
-                sessions.append(session)
-                cwds.append(cwd)
-            part = part.assign(session=sessions, cwd=cwds)
-            yield part[part["content"].notna()][["file", "line_no", "content", "session", "cwd"]]
+        # a flush of a file, put in order
+        part = pd.concat(list(rows)).sort_values("line_no", kind="stable")
+        sessions, cwds = [], []
+        for header, s, c in zip(part["header"], part["session"], part["cwd"], strict=True):
+            if header:
+                session, cwd = s or session, c or cwd
+            sessions.append(session)
+            cwds.append(cwd)
+        part = part.assign(session=sessions, cwd=cwds)
+        yield part[part["content"].notna()][["file", "line_no", "content", "session", "cwd"]]
         self.last.update((session or "", cwd or ""))
 
     def close(self) -> None:
@@ -50,15 +55,18 @@ class _Carry(StatefulProcessor):
 
 def carry_header_stream(lines: DataFrame, dialect: str | None = None) -> DataFrame:
     """Stored lines of a stream ``(file, line_no, value)`` with the session and cwd of their file's last header, carried across batches."""
-    parsed = parse_lines(lines, dialect).select("file", "line_no", "header", "content", "session", "cwd")
-    return parsed.groupBy("file").transformWithStateInPandas(_Carry(), "file string, line_no int, content string, session string, cwd string", "Append", "None")
+    parsed = parse_lines(lines, dialect).select("file", F.col("line_no").cast("long").alias("line_no"), "header", "content", "session", "cwd")
+    return parsed.groupBy("file").transformWithStateInPandas(_Carry(), "file string, line_no long, content string, session string, cwd string", "Append", "None")
 
 
 class _Siblings(StatefulProcessor):
-    """The first SIBLINGS span ids of a trace, forgotten after a time."""
+    """The first SIBLINGS span ids of a trace, forgotten after a time (if one is given)."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ids = handle.getValueState("ids", "ids array<string>", ttlDurationMs=TRACE_TTL_MS)
+        self.ids = handle.getValueState("ids", "ids array<string>", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = list(self.ids.get()[0]) if self.ids.exists() else []
@@ -77,10 +85,14 @@ class _Siblings(StatefulProcessor):
         pass
 
 
-def span_edge_stream(requests: DataFrame, column: str = "value", ids: str = "base64") -> DataFrame:
-    """Edges from each new span to the first spans of its trace, from a stream of OTLP requests."""
+def span_edge_stream(requests: DataFrame, column: str = "value", ids: str = "base64", ttl_ms: int | None = TRACE_TTL_MS) -> DataFrame:
+    """Edges from each new span to the first spans of its trace, from a stream of OTLP requests.
+
+    Traces are forgotten ``ttl_ms`` after their last spans, which needs a stream that goes on (a processing-time trigger): Spark keeps running empty batches for the clock, so ``availableNow`` doesn't end. With None nothing is forgotten and
+    it does.
+    """
     spans = parse_spans(requests, column, ids).select("trace_id", "span_id", "start_nano")
-    return spans.groupBy("trace_id").transformWithStateInPandas(_Siblings(), "from_id string, to_id string, edge_type string, weight double", "Append", "ProcessingTime")
+    return spans.groupBy("trace_id").transformWithStateInPandas(_Siblings(ttl_ms), "from_id string, to_id string, edge_type string, weight double", "Append", "None" if ttl_ms is None else "ProcessingTime")
 
 
 def observation_stream(spark: SparkSession, path: str, now) -> DataFrame:
@@ -115,7 +127,12 @@ def store_stream(lines: DataFrame, path: str, checkpoint: str, then: Callable[[D
 
 
 def ingest_transcripts(spark: SparkSession, source: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Transcript segments to stored texts, in one pass over what has landed. Dialect A needs no header, so it goes without state."""
-    lines = transcript_stream(spark, source).withColumn("line_no", F.lit(0))
-    parsed = parse_lines(lines.where(detect_format(F.col("file")) == "A"), "A").where("content is not null").select("content", "session", "cwd")
-    return store_stream(parsed, path, checkpoint)
+    """Transcript segments of all dialects to stored texts, in one pass over what has landed.
+
+    Dialect A has session and cwd on every line and goes without state; those of B and C come from the last header of their transcript, which is carried over. A bad line is a line that isn't stored. A text is stored once.
+    """
+    lines = transcript_stream(spark, source)
+    kind = detect_format(F.col("file"))
+    plain = parse_lines(lines.where(kind == "A"), "A").where("content is not null").select("content", "session", "cwd")
+    carried = carry_header_stream(lines.where(kind != "A")).select("content", "session", "cwd")
+    return store_stream(plain.union(carried), path, checkpoint)

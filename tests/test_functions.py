@@ -32,7 +32,9 @@ def test_parse_objects(spark):
     got = values(spark, [(good,), ('{"rules":["a"]}',), ("{bad",), ("",)], "r string", replies.parse_rules_skills(F.col("r")))
     assert got[0].rules == ["r1"] and got[0].skills[0].content == "c" and got[1].rules == ["a"] and got[2] is None and got[3] is None
     got = values(spark, [('{"rule":" do it ","tags":"a","domain":"go"}',), ('{"rule":""}',), ("x",)], "r string", replies.parse_wisdom(F.col("r")))
-    assert (got[0].content, got[0].attrs) == ("do it", {"tags": "a", "domain": "go", "lth_classified": "1"}) and got[1:] == [None, None]
+    assert (got[0].content, got[0].attrs) == ("do it", {"tags": "a", "domain": "go", "classified": "1"}) and got[1:] == [None, None]
+    replies_ = [('"Go"',), ('```json\n"go"\n```',), ("'go'",), ('""',), ('"a\\"b"',)]
+    assert values(spark, replies_, "r string", replies.parse_classification(F.col("r"), "domain", ["go", "Rust"])) == [{"domain": "go"}] * 3 + [None, None]
     got = values(spark, [("GO",), ('{"domain":"Rust","tags":["A","b","c","d"]}',), ("java",)], "r string", replies.parse_classification(F.col("r"), "domain", ["go", "Rust"], True))
     assert got == [{"domain": "go"}, {"domain": "rust", "tags": "a,b,c"}, None]
 
@@ -87,6 +89,16 @@ def test_scores_and_dates(spark):
     assert str(got[0].created_at) == "2024-01-15 12:00:00" and got[0].attrs == {"source": "x"} and got[1].bad and not got[2].bad and not got[0].bad
 
 
+def test_hash_embedder_starts_from_fnv_1():
+    # FNV-1 (32 bits) of "" and "a" are the fixed values 0x811c9dc5 and 0x050c5d7e
+    for t, h in (("", 0x811C9DC5), ("a", 0x050C5D7E)):
+        first = (h * 1664525 + 1013904223) & 0x7FFFFFFF
+        v = models.hash_embedder(2)([t])[0]
+        second = (first * 1664525 + 1013904223) & 0x7FFFFFFF
+        a, b = first % 1000 / 500 - 1, second % 1000 / 500 - 1
+        assert v == pytest.approx([a / (a * a + b * b) ** 0.5, b / (a * a + b * b) ** 0.5])
+
+
 def test_models(spark):
     def broken(texts):
         raise RuntimeError("too large")
