@@ -34,7 +34,7 @@ def bfs(edges: DataFrame, root, depth: int = DEPTH) -> DataFrame:
     empty = steps.limit(0).withColumn("level", F.lit(0))
     if depth <= 0:
         return empty
-    seen = edges.select(F.col("from_id").alias("id")).limit(0).union(edges.sparkSession.createDataFrame([(root,)], edges.select(F.col("from_id").alias("id")).schema))
+    seen = edges.sparkSession.createDataFrame([(root,)], edges.select(F.col("from_id").alias("id")).schema)
     frontier, out = seen, empty
     for level in range(1, depth + 1):
         found = steps.join(frontier.withColumnRenamed("id", "from_id"), "from_id").join(seen.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
@@ -50,13 +50,14 @@ def bfs(edges: DataFrame, root, depth: int = DEPTH) -> DataFrame:
 def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """``(id, rank)`` of all nodes and seeds: weighted out-edges normalised by node, teleport and the mass of nodes without any go to the seeds.
 
-    The teleport share is one over the number of seed rows, so a repeated seed loses mass, as in the definition this follows. Ranks are summed by key, combined before each shuffle. Links are dealt by source once and stay so; a round shuffles ranks and sums alone and is written, which cuts the lineage and tells the mass of dead ends on the way.
+    The teleport share is one over the number of seed rows, so a repeated seed loses mass, as in the definition this follows. Ranks are summed by key, combined before each shuffle. Links are dealt by source once and stay so; a round shuffles ranks and sums alone. Where there are dead ends every round is written, which tells their mass on the way; else every fifth, to cut the lineage.
     """
-    links = edges.select("from_id", "to_id", F.col("weight").cast("double").alias("w"))
+    edges = materialise(edges.select("from_id", "to_id", F.col("weight").cast("double").alias("w")), "edges")
+    links = edges
     sums = links.groupBy("from_id").agg(F.sum("w").alias("s"))
     links = links.join(sums, "from_id").where("s > 0").select("from_id", "to_id", (F.col("w") / F.col("s")).alias("p"))
     links = materialise(links.groupBy("from_id", "to_id").agg(F.sum("p").alias("p")), "links")
-    dealt = links.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "from_id").persist()
+    dealt = links.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "from_id").sortWithinPartitions("from_id").persist()
     count = seeds.count()
     nodes = edges.select(F.col("from_id").alias("id")).union(edges.select(F.col("to_id").alias("id"))).union(seeds.select("id")).distinct()
     if not count:
@@ -65,14 +66,18 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = D
     dangling = nodes.join(links.select(F.col("from_id").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left")
     base = materialise(dangling.join(start, "id", "left").select("id", F.coalesce("t", F.lit(0.0)).alias("t"), F.col("out").isNull().alias("dead")), "nodes")
     ranks = base.select("id", "t", "dead", F.col("t").alias("rank"))
-    lost = 0.0 if base.where("dead").isEmpty() else ranks.where("dead").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-    for _ in range(iterations):
+    ends = not base.where("dead").isEmpty()
+    lost = (ranks.where("dead").agg(F.sum("rank")).first()[0] or 0.0) if ends else 0.0
+    for i in range(iterations):
         moved = dealt.join(ranks.select(F.col("id").alias("from_id"), "rank"), "from_id").groupBy("to_id").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         rank = (1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("t"))
-        seen = Observation()
         ranks = base.join(moved.withColumnRenamed("to_id", "id"), "id", "left").select("id", "t", "dead", rank.alias("rank"))
-        ranks = materialise(ranks.observe(seen, F.sum(F.when(F.col("dead"), F.col("rank"))).alias("lost")), "ranks")
-        lost = seen.get["lost"] or 0.0
+        if ends:
+            seen = Observation()
+            ranks = materialise(ranks.observe(seen, F.sum(F.when(F.col("dead"), F.col("rank"))).alias("lost")), "ranks")
+            lost = seen.get["lost"] or 0.0
+        elif i % 5 == 4 or i == iterations - 1:
+            ranks = materialise(ranks, "ranks")
     dealt.unpersist()
     return ranks.select("id", "rank")
 
