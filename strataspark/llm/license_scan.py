@@ -118,9 +118,10 @@ def _places(rows: DataFrame, templates: DataFrame, threshold: float) -> DataFram
     """)
     met = near.select("id", "th", F.explode(own).alias("w")).select("id", "th", "w.at", F.explode("w.bands").alias("band"))
     met = met.join(F.broadcast(bands.select("no", "band").distinct()), "band").groupBy("id", "th", "no").agg(F.collect_set("at").alias("ats"))
-    met = materialise(met, "license-candidates").join(made.select("no", "license_id", "set"), "no").withColumn("around", F.size("set") + WORDS + WINDOW)
+    met = materialise(met, "license-candidates")
     # the few texts that met a template are read again, so that no text travels with its windows
-    found = text.join(met, ["id", "th"]).withColumn("sh", F.expr(_shingles("text")))
+    few = text.join(met.select("id", "th").distinct(), ["id", "th"], "left_semi").select("id", "th", F.expr(_shingles("text")).alias("sh"))
+    found = few.join(met, ["id", "th"]).join(made.select("no", "license_id", "set"), "no").withColumn("around", F.size("set") + WORDS + WINDOW)
     share = f"size(array_intersect(set, slice(sh, greatest(0, s - around) + 1, s - greatest(0, s - around) + {WINDOW} + around))) / size(set)"
     found = found.select("id", "license_id", F.explode(F.expr(f"transform(ats, s -> struct(s as at, {share} as containment))")).alias("w"))
     return found.select("id", "w.at", "license_id", "w.containment").where(F.col("containment") >= threshold)
