@@ -79,7 +79,8 @@ def _near(distinct: DataFrame, lines: DataFrame, min_chars_edit: int) -> DataFra
     some = halves.join(_open(halves), "key").select("h1").distinct()
     some = materialise(distinct.join(some, "h1", "left_semi").select("h1", "first"), "line-candidates")
     first = some.select(F.col("h1").alias("g"), F.col("first.id").alias("fi"), F.col("first.pos").alias("fp"), F.col("first.th").alias("ft"))
-    texts = lines.join(first, (F.col("h1") == F.col("g")) & (F.col("id") == F.col("fi")) & (F.col("pos") == F.col("fp")) & (F.col("th") == F.col("ft")))
+    # the candidates grow with the lines: both sides are shuffled, at every size alike
+    texts = lines.select("id", "th", "pos", "h1", "line", "size").join(first.hint("merge"), (F.col("h1") == F.col("g")) & (F.col("id") == F.col("fi")) & (F.col("pos") == F.col("fp")) & (F.col("th") == F.col("ft")))
     texts = materialise(texts.select("h1", F.struct("id", "pos", "th").alias("first"), "line", "size").dropDuplicates(["h1"]), "line-texts")
     # the text within the block, of which the longer line has one character more
     spans = texts.join(_blocks(texts), "h1").withColumns({"x": F.expr("substring(line, b + 1, e - b + size - m)"), "n": F.expr("e - b + size - m")})
@@ -124,9 +125,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars:
         near = materialise(_near(distinct, lines, max(min_chars, min_chars_edit)), "near-lines")
         marked = distinct.join(near.withColumn("near", F.lit(True)), "h1", "left").where("first <> last or near")
         decided = marked.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    # written, so that Spark knows its size: broadcast if that is within the session's limit, else shuffled
     decided = materialise(decided, "line-decisions")
-    at = lines.select("id", "pos", "th", "h1", "h2").join(decided, ["h1", "h2"]).where(F.col("near") | (occurrence != F.col("first")))
+    at = lines.select("id", "pos", "th", "h1", "h2").join(decided.hint("merge"), ["h1", "h2"]).where(F.col("near") | (occurrence != F.col("first")))
     name, of, of_text = unused(docs.columns, "gone", "gone_id", "gone_th")
     gone = at.groupBy(F.col("id").alias(of), F.col("th").alias(of_text)).agg(F.collect_set("pos").alias(name))
     same = (F.col(id_col).cast("long") == F.col(of)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(of_text))
