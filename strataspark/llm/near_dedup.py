@@ -44,8 +44,8 @@ def _signatures(words: int):
 
     def run(batches):
         for batch in batches:
-            ids, count, k1, k2, packed, bands = batch.column(0), [], [], [], [], []
             for i, j, w in chunks(batch.column(1)):
+                count, k1, k2, packed, bands = [], [], [], [], []
                 runs, at = shingles(w, words)
                 for t in range(j - i):
                     own = np.unique(runs[at[t] : at[t + 1]])
@@ -64,23 +64,24 @@ def _signatures(words: int):
                     for row in low[: BANDS * ROWS].reshape(BANDS, ROWS).T.astype(np.uint64):
                         key = mix(key + row)
                     bands.append(key.astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(count, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.array(packed, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                ["id", "n", "k1", "k2", "packed", "bands"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                     pa.array(packed, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
+                    ["id", "n", "k1", "k2", "packed", "bands"],
+                )
 
     return run
 
 
 def _sets(words: int):
+    """Shingle sets, chunk by chunk: those of a whole batch are several times its texts."""
+
     def run(batches):
         for batch in batches:
-            own = []
             for i, j, w in chunks(batch.column(1)):
                 runs, at = shingles(w, words)
-                own += [np.unique(runs[at[t] : at[t + 1]]).astype(np.int64) for t in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["id", "items"])
+                own = [np.unique(runs[at[t] : at[t + 1]]).astype(np.int64) for t in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["id", "items"])
 
     return run
 

@@ -432,7 +432,7 @@ def _hash_of(b: bytes) -> np.uint64:
 
 
 #: Bytes of text that are encoded together, and rows that leave a task together.
-TEXT_BYTES, ROWS = 1 << 20, 1000
+TEXT_BYTES, ROWS = 1 << 19, 1000
 
 
 def _encoded(batches, vocabulary: Vocabulary, text_col: str):
