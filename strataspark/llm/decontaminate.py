@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.llm.batches import map_texts
 from strataspark.llm.names import unused
 from strataspark.llm.words import LETTERS_ONLY, Words, chunks, mix
 from strataspark.scratch import materialise
@@ -167,7 +168,7 @@ def _pass(texts: DataFrame, items: DataFrame, seeds: DataFrame, count: int) -> D
             out = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(words, pa.list_(pa.int64())), pa.array(hits, hit)], ["t1", "t2", "words", "hits"])
 
-    found = materialise(texts.mapInArrow(scan, "t1 long, t2 long, words array<long>, hits array<struct<h: long, pos: int>>"), "hits")
+    found = materialise(map_texts(texts, scan, "t1 long, t2 long, words array<long>, hits array<struct<h: long, pos: int>>"), "hits")
     met = found.select("t1", "t2", F.explode("hits").alias("x")).select("t1", "t2", "x.h", "x.pos").join(seeds, "h")
     # what is found depends on the text alone: copies of one are verified once
     lies = materialise(met.groupBy("t1", "t2", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("lies")), "lies")
@@ -176,7 +177,7 @@ def _pass(texts: DataFrame, items: DataFrame, seeds: DataFrame, count: int) -> D
     base = F.greatest(F.lit(0), F.array_min("lies"))
     part = F.slice("text_words", base + 1, F.array_max("lies") + F.col("size") - base)
     both = both.select("t1", "t2", "item", base.cast("int").alias("base"), part.alias("part"), "lies", "words")
-    return both.mapInArrow(_verify, "t1 long, t2 long, item string, equal_words int, start_word int, end_word int")
+    return map_texts(both, _verify, "t1 long, t2 long, item string, equal_words int, start_word int, end_word int")
 
 
 def overlaps(texts: DataFrame, benchmark: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -184,7 +185,7 @@ def overlaps(texts: DataFrame, benchmark: DataFrame, item_id_col: str = "item_id
     rows = benchmark.select(F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text is not null").distinct()
     # items of an id can have several texts
     rows = rows.select(F.concat_ws(":", "id", F.xxhash64("text")).alias("item"), "text")
-    made = materialise(rows.mapInArrow(_items, "item string, size int, words array<long>, seeds array<struct<h: long, at: int>>").where(F.col("size") >= MIN_WORDS), "items")
+    made = materialise(map_texts(rows, _items, "item string, size int, words array<long>, seeds array<struct<h: long, at: int>>").where(F.col("size") >= MIN_WORDS), "items")
     count = made.agg(F.sum(F.size("seeds"))).first()[0] or 0
     passes = max(1, -(-count * SEED_BITS // (1 << MAX_FILTER)))
     out = []

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.llm.batches import map_texts
 from strataspark.llm.components import connected_components
 from strataspark.llm.names import unused
 from strataspark.llm.words import chunks, mix, shingles
@@ -110,7 +111,7 @@ class _Confirm:
         near = near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (_estimate() >= self.threshold - SLACK)).select("a", "b")
         near = materialise(near, "near")
         wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-        sets = materialise(self.texts.join(wanted, "id", "left_semi").mapInArrow(_sets(self.words), "id long, items array<long>"), "sets")
+        sets = materialise(map_texts(self.texts.join(wanted, "id", "left_semi"), _sets(self.words), "id long, items array<long>"), "sets")
         shared = F.size(F.array_intersect("ia", "ib"))
         sure = near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
         return materialise(sure.where(shared * 100 >= (F.size("ia") + F.size("ib") - shared) * self.percent).select("a", "b"), "links")
@@ -130,7 +131,7 @@ def _all_pairs(left: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     Documents that share a frequent passage and little else don't meet, however many they are.
     """
     ids = materialise(left.select("id", "c").distinct(), "open-ids")
-    sets = texts.join(ids.select("id"), "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>").dropDuplicates(["id"])
+    sets = map_texts(texts.join(ids.select("id"), "id", "left_semi"), _sets(words), "id long, items array<long>").dropDuplicates(["id"])
     items = materialise(sets.select("id", F.explode("items").alias("item")), "items")
     often = items.groupBy("item").agg(F.count("*").alias("often"))
     ranked = items.join(often, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("s"))
@@ -155,7 +156,7 @@ def near_duplicates(
     """
     percent = round(threshold * 100)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    made = texts.mapInArrow(_signatures(words), "id long, n long, k1 long, k2 long, packed array<long>, bands array<long>")
+    made = map_texts(texts, _signatures(words), "id long, n long, k1 long, k2 long, packed array<long>, bands array<long>")
     made = materialise(made, "signatures")
     full = made.where("n > 0")
     classes = materialise(full.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "classes")

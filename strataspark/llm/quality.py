@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.llm.batches import map_texts
 from strataspark.llm.words import LETTERS_ONLY, Words, chunks, mix
 from strataspark.scratch import materialise
 
@@ -94,7 +95,7 @@ def fit_quality(
 ) -> QualityModel:
     """Document frequencies from all of ``docs``, the latent space and its labelled vectors from ``labelled`` (bounded by :func:`labelled_sample`). Null texts count as empty, rows with a null label don't count."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counted = texts.mapInArrow(_document_counts, "term long, texts long").groupBy("term").agg(F.sum("texts").alias("texts")).collect()
+    counted = map_texts(texts, _document_counts, "term long, texts long").groupBy("term").agg(F.sum("texts").alias("texts")).collect()
     count = {r.term: r.texts for r in counted}
     total = count.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + count.get(t, 0))) for t in range(WORD_TERMS)], np.float32)
@@ -105,7 +106,7 @@ def fit_quality(
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), batch.column(1)], ["v", "label"])
 
     sample = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).where("label is not null")
-    sample = sample.mapInArrow(vectors, "v array<float>, label int").toPandas()
+    sample = map_texts(sample, vectors, "v array<float>, label int").toPandas()
     if not len(sample):
         return QualityModel(idf, np.zeros(1), np.zeros((0, 0)), np.zeros((0, 0), np.float32), np.zeros(0), neighbours)
     x, y = np.stack(sample["v"].to_numpy()), sample["label"].to_numpy().astype(np.float64)
@@ -143,7 +144,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(score, 0, 1), pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return map_texts(rows, run, "id long, score double").withColumnRenamed("id", id_col)
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from strataspark.llm.batches import map_texts
 from strataspark.llm.words import _BYTE_ALL as _BYTE
 from strataspark.llm.words import STEP, mix, powers, string_buffers
 
@@ -494,7 +495,7 @@ def encode(docs: DataFrame, model: str | Vocabulary, text_col: str = "text", ids
         for batch, ids in _encoded(batches, vocabulary, text_col):
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
 
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
+    return map_texts(rest, run, StructType([*rest.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
 def decode(docs: DataFrame, model: str | Vocabulary, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -512,7 +513,7 @@ def decode(docs: DataFrame, model: str | Vocabulary, ids_col: str = "token_ids",
                 text = _decoded(batch.column(batch.schema.get_field_index(ids_col)), vocabulary)
                 yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, text_col])
 
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(text_col, StringType())]))
+    return map_texts(rest, run, StructType([*rest.schema.fields, StructField(text_col, StringType())]))
 
 
 def with_tokens(docs: DataFrame, model: str | Vocabulary, text_col: str = "text") -> DataFrame:
@@ -529,4 +530,4 @@ def with_tokens(docs: DataFrame, model: str | Vocabulary, text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.compute.list_value_length(ids), same], [*batch.schema.names, "token_ids", "n_tokens", "round_trip"])
 
     more = [StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", IntegerType()), StructField("round_trip", BooleanType())]
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, *more]))
+    return map_texts(rest, run, StructType([*rest.schema.fields, *more]))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.llm.batches import map_texts
 from strataspark.llm.words import LETTERS_ONLY, STEP, Words, chunks, mix
 from strataspark.scratch import materialise
 
@@ -118,14 +119,14 @@ def fit_toxicity(
     )
     totals = sample.agg(F.count_if(F.expr("toxic = 1")), F.count_if(F.expr("toxic <> 1"))).first()
     many, few = max(1, totals[0]), max(1, totals[1])
-    counts = sample.mapInArrow(_seen, "seen array<long>, toxic int").select("toxic", F.explode("seen").alias("f"))
+    counts = map_texts(sample, _seen, "seen array<long>, toxic int").select("toxic", F.explode("seen").alias("f"))
     counts = counts.groupBy("f").agg(F.count_if(F.expr("toxic = 1")).alias("yes"), F.count_if(F.expr("toxic <> 1")).alias("no"))
     gain = F.log((F.col("yes") + 0.5) / (many + 1.0)) - F.log((F.col("no") + 0.5) / (few + 1.0))
     # two standard errors below the log ratio must still be a factor of five: else noise in the labels makes features
     sure = gain - 2 * F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
     chosen = counts.where((F.col("yes") >= min_docs) & (sure > 1.6)).orderBy((gain * F.col("yes")).desc(), "f").limit(max_features)
     features = np.sort(np.array([r.f for r in chosen.select("f").collect()], np.int64).astype(np.uint64))
-    rows = sample.mapInArrow(_instances(features), "sent array<int>, feat array<int>, toxic int").toPandas()
+    rows = map_texts(sample, _instances(features), "sent array<int>, feat array<int>, toxic int").toPandas()
     return _train(rows, features, rounds)
 
 
@@ -212,7 +213,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, score double, offending array<struct<start: long, end: long, score: double, sentence: string>>"
-    return rows.mapInArrow(_scores(model, report), schema).withColumnRenamed("id", id_col)
+    return map_texts(rows, _scores(model, report), schema).withColumnRenamed("id", id_col)
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -231,4 +232,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_co
             score = np.concatenate([x.column(1).to_numpy() for x in _scores(model, 2.0)([rows])])
             yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_texts(docs, clean, docs.schema)

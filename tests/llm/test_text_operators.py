@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataspark.llm import decontaminate, license_scan, line_dedup, quality, toxicity
+from strataspark.llm.batches import LIMIT, SPARKS_OWN, map_texts
 from strataspark.llm.words import LETTERS_ONLY, chunks, shingles
 
 
@@ -341,3 +342,18 @@ def test_full_license_texts_in_blocks(spark):
     for block in (20_000, 4000):
         got = {(x.doc_id, x.license_id): x.containment for x in license_scan.scan_licenses(df, templates, block_words=block).collect()}
         assert set(got) == {(k, f"L{k}") for k in range(4)} | {(10, "L2")} and got[0, "L0"] == 1.0
+
+
+def test_batches_are_of_bounded_bytes_unless_the_session_says_otherwise(spark):
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 1000) AS text").union(spark.range(1).selectExpr("repeat('y', 300000) AS text"))
+    own = spark.conf.get(LIMIT)
+    spark.conf.set(LIMIT, SPARKS_OWN)
+    sizes = [x.n for x in map_texts(docs, rows, "n long", 1 << 17).collect()]
+    assert sum(sizes) == 3001 and max(sizes) < 200
+    spark.conf.set(LIMIT, "16777216")
+    assert [x.n for x in map_texts(docs, rows, "n long", 1 << 17).collect()] == [3000, 1]
+    spark.conf.set(LIMIT, own)
