@@ -6,12 +6,14 @@ import os
 
 from pyspark.sql import functions as F
 
-from strataspark.llm import ann, chat, decontaminate, license_scan, line_dedup, quality, sentencepiece_viterbi, toxicity, warc
+from strataspark.llm import ann, bpe_transducer, chat, decontaminate, license_scan, line_dedup, periodic_runs, quality, sentencepiece_viterbi, toxicity, warc
 from strataspark.llm.near_dedup import near_duplicates
 from strataspark.scratch import materialise, new_path
 
 #: Where the vocabulary of op4 lies; a parameter of the operator.
 VOCABULARY = os.environ.get("STRATASPARK_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+#: The same for op11.
+WORD_VOCABULARY = os.environ.get("STRATASPARK_WORD_VOCABULARY", "/opt/tokenizers/word_bpe_49k.json")
 
 
 def _table(spark, sf_dir, name):
@@ -159,5 +161,79 @@ FROM placed
 """.replace("NAMED", _NAMED)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op3_ann, op4_sentencepiece, op5_line_dedup, op6_license_scan, op7_decontaminate, op8_toxicity, op9_warc, op10_chat_format)}
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op10_chat_format": OP10_SQL}
+def op11_bpe_transducer(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return bpe_transducer.with_bpe(docs, WORD_VOCABULARY).select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _with_repeats(docs):
+    """The contract's texts: of one document in ten the words from some place on repeat a piece of themselves."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("words")
+    words = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(periodic_runs.WORD), F.lit(0))))
+    cut = words.withColumn("a", F.when(n > 0, F.pmod(g, n))).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", source(i).cast("int"))), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs.with_runs(_with_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = periodic_runs.strongest()
+    listed = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), F.concat(x["period"].cast("string"), F.lit("\n")))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: The unsigned crc32 of decimal numbers in SQL: a table of 256 remainders by the polynomial's rule, then a step for each digit.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) AS t)"
+
+
+def crc32_sql(number: str) -> str:
+    """SQL for the crc32 of a number's decimal text, where ``crc`` of :data:`CRC_TABLE` is joined."""
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {digits}), lambda c, d: xor(t[(xor(c, d) & 255) + 1], c >> 8)))"
+
+
+OP12_SQL = rf"""
+WITH {CRC_TABLE}, texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w0, {crc32_sql("doc_id")} AS h FROM documents, crc
+), cuts AS (SELECT *, len(w0) AS n, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM texts
+), pieces AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM cuts
+), docs AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_transform(range(n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM pieces
+), places AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM docs
+), grams AS (
+  SELECT doc_id, n, i, hash(list_slice(w, i + 1, i + 8)) AS g FROM (SELECT doc_id, n, w, unnest(range(n - 7)) AS i FROM docs WHERE n >= 24)
+), lags AS (
+  SELECT DISTINCT x.doc_id, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n WHERE x.i % 8 = 0
+), same AS (
+  SELECT doc_id, q, x.i, x.i - row_number() OVER (PARTITION BY doc_id, q ORDER BY x.i) AS island
+  FROM lags JOIN places x USING (doc_id) JOIN places y ON y.doc_id = lags.doc_id AND y.i = x.i + q AND y.word = x.word
+), long AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM same GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+), runs AS (
+  SELECT * FROM long x WHERE NOT EXISTS (SELECT 1 FROM long y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.s + y.len >= x.s + x.len)
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) AS r FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM places p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.i = p.i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(r.len AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * r.len // q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed l USING (doc_id) LEFT JOIN (SELECT * FROM ranked WHERE r = 1) r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op3_ann, op4_sentencepiece, op5_line_dedup, op6_license_scan, op7_decontaminate, op8_toxicity, op9_warc, op10_chat_format, op11_bpe_transducer, op12_periodic_runs)}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_periodic_runs": OP12_SQL}
