@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from strataspark.llm import ann, bpe_transducer, chat, decontaminate, license_scan, line_dedup, periodic_runs, quality, sentencepiece_viterbi, toxicity, warc
+from strataspark.llm import ann, bpe_transducer, chat, decontaminate, license_scan, line_dedup, periodic_runs, prefix_trie, quality, sentencepiece_viterbi, toxicity, warc
 from strataspark.llm.near_dedup import near_duplicates
 from strataspark.scratch import materialise, new_path
 
@@ -204,7 +204,8 @@ def crc32_sql(number: str) -> str:
 
 OP12_SQL = rf"""
 WITH {CRC_TABLE}, texts AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w0, {crc32_sql("doc_id")} AS h FROM documents, crc
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w0, {crc32_sql("doc_id")} AS h FROM documents, crc
 ), cuts AS (SELECT *, len(w0) AS n, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM texts
 ), pieces AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM cuts
 ), docs AS (
@@ -235,5 +236,40 @@ FROM documents d LEFT JOIN listed l USING (doc_id) LEFT JOIN (SELECT * FROM rank
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op3_ann, op4_sentencepiece, op5_line_dedup, op6_license_scan, op7_decontaminate, op8_toxicity, op9_warc, op10_chat_format, op11_bpe_transducer, op12_periodic_runs)}
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_periodic_runs": OP12_SQL}
+def _with_shared_starts(turns):
+    """The contract's conversations: each one's first h turns are those of the conversation whose number is the next lower multiple of 5, h being crc32 mod 9. Gives turns and members."""
+    h = (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int")
+    heads = turns.where("pos <= 8 and conv_id % 5 = 0").groupBy(F.col("conv_id").alias("base")).agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "n_bytes"))).alias("t"))
+    members = turns.groupBy("conv_id").agg(F.lit(1)).select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("base"), h.alias("h"))
+    members = materialise(members.join(heads, "base", "left").select("conv_id", "h", F.coalesce(F.slice("t", F.lit(1), F.col("h")), F.array().cast(heads.schema["t"].dataType)).alias("t")), "starts")
+    start = members.select("conv_id", F.inline("t"))
+    own = turns.join(members.select("conv_id", "h", F.size("t").alias("k")), "conv_id").where("pos > h")
+    return start.unionByName(own.select("conv_id", (F.col("pos") - F.col("h") + F.col("k")).alias("pos"), "digest", "n_bytes")), members.select("conv_id")
+
+
+def op13_prefix_trie(spark, sf_dir):
+    turns = materialise(prefix_trie.number_turns(_table(spark, sf_dir, "conversations")), "numbered")
+    return prefix_trie.prefix_trie(*_with_shared_starts(turns))
+
+
+OP13_SQL = f"""
+WITH {CRC_TABLE}, numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), whole AS (
+  SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY pos) AS l, list(octet_length(encode(text)) ORDER BY pos) AS b, {crc32_sql("conv_id")} % 9 AS h FROM numbered, crc GROUP BY conv_id, t
+), made AS (
+  SELECT w.conv_id AS c, list_concat(coalesce(list_slice(x.l, 1, w.h), []), list_slice(w.l, w.h + 1, len(w.l))) AS l, list_concat(coalesce(list_slice(x.b, 1, w.h), []), list_slice(w.b, w.h + 1, len(w.b))) AS b
+  FROM whole w LEFT JOIN whole x ON x.conv_id = w.conv_id - w.conv_id % 5
+), prefixes AS (SELECT c, b, len(l) AS n, list_slice(l, 1, d) AS p, d FROM (SELECT *, unnest(range(len(l) + 1)) AS d FROM made)
+), nodes AS (
+  SELECT p, d, min(c) AS c, count(*) AS n, coalesce(any_value(b[d]), 0) AS bytes, coalesce(string_agg(c, ',' ORDER BY c) FILTER (n = d), '') AS ends FROM prefixes GROUP BY p, d
+), kids AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1
+), up AS (SELECT list_slice(x.p, 1, e) AS p, (x.n - 1) * bytes AS saved, k IS NULL AS leaf FROM (SELECT *, unnest(range(d + 1)) AS e FROM nodes LEFT JOIN kids USING (p)) x
+), sums AS (SELECT p, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves FROM up GROUP BY p)
+SELECT CAST(x.c AS BIGINT) AS conv_id, CAST(x.d AS BIGINT) AS depth, CAST(y.c AS BIGINT) AS parent_conv_id, x.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x LEFT JOIN nodes y ON y.d = x.d - 1 AND y.p = list_slice(x.p, 1, x.d - 1) LEFT JOIN kids ON kids.p = x.p JOIN sums ON sums.p = x.p
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op3_ann, op4_sentencepiece, op5_line_dedup, op6_license_scan, op7_decontaminate, op8_toxicity, op9_warc, op10_chat_format, op11_bpe_transducer, op12_periodic_runs, op13_prefix_trie)}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_periodic_runs": OP12_SQL, "op13_prefix_trie": OP13_SQL}
