@@ -26,6 +26,7 @@ FAMILIES = (
     (12, 2**31, ("1111011", "110010111", "1110100011", "1011111")),
 )
 MASKS = tuple((low, high, mask) for low, high, masks in FAMILIES for mask in masks)
+#: Words that an item needs to be looked for within texts; shorter ones are compared with whole texts. An overlap's words, and its share of equal ones.
 MIN_WORDS, MIN_STRETCH, MIN_EQUAL = 5, 12, 0.8
 #: Bits of the filter for each seed and probes of it (one in 60,000 other positions passes), and the logarithm of its bits at most: 128 MB, enough for 8 million words of test items. More of them take more passes.
 SEED_BITS, PROBES, MAX_FILTER = 32, 8, 30
@@ -148,11 +149,12 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array([b[i] for b in best], pa.int32()) for i in range(3))], ["t1", "t2", "item", "equal_words", "start_word", "end_word"])
 
 
-def _pass(texts: DataFrame, items: DataFrame, seeds: DataFrame, count: int) -> DataFrame:
-    """The overlaps of the texts (t1, t2, text) with the items of one pass."""
+def _pass(texts: DataFrame, items: DataFrame, seeds: DataFrame, count: int, short: DataFrame | None = None) -> DataFrame:
+    """The overlaps of the texts (t1, t2, text) with the items of one pass; with those of ``short``, which have too few words for a seed, texts of just these words."""
     log_bits = min(MAX_FILTER, max(20, int(np.ceil(np.log2(count * SEED_BITS)))))
     table = _filter(seeds, log_bits)
     hit = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))
+    whole = short is not None
 
     def scan(batches):
         for batch in batches:
@@ -160,7 +162,8 @@ def _pass(texts: DataFrame, items: DataFrame, seeds: DataFrame, count: int) -> D
             for i, j, w in chunks(batch.column(2), space=LETTERS_ONLY):
                 place, h = _hits(w, table, log_bits)
                 cut = np.searchsorted(place, w.first)
-                for t in np.flatnonzero(np.diff(cut)).tolist():
+                size = np.diff(w.first)
+                for t in np.flatnonzero((np.diff(cut) > 0) | (whole & (size > 0) & (size < MIN_WORDS))).tolist():
                     rows.append(i + t)
                     words.append(w.hashes[w.first[t] : w.first[t + 1]].astype(np.int64))
                     own = slice(cut[t], cut[t + 1])
@@ -177,7 +180,11 @@ def _pass(texts: DataFrame, items: DataFrame, seeds: DataFrame, count: int) -> D
     base = F.greatest(F.lit(0), F.array_min("lies"))
     part = F.slice("text_words", base + 1, F.array_max("lies") + F.col("size") - base)
     both = both.select("t1", "t2", "item", base.cast("int").alias("base"), part.alias("part"), "lies", "words")
-    return map_texts(both, _verify, "t1 long, t2 long, item string, equal_words int, start_word int, end_word int")
+    long = map_texts(both, _verify, "t1 long, t2 long, item string, equal_words int, start_word int, end_word int")
+    if not whole:
+        return long
+    few = found.where(F.size("words") < MIN_WORDS).select("t1", "t2", "words").distinct().join(short.select("item", "words"), "words")
+    return long.unionByName(few.select("t1", "t2", "item", F.size("words").alias("equal_words"), F.lit(0).alias("start_word"), F.size("words").alias("end_word")))
 
 
 def overlaps(texts: DataFrame, benchmark: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -185,14 +192,16 @@ def overlaps(texts: DataFrame, benchmark: DataFrame, item_id_col: str = "item_id
     rows = benchmark.select(F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text is not null").distinct()
     # items of an id can have several texts
     rows = rows.select(F.concat_ws(":", "id", F.xxhash64("text")).alias("item"), "text")
-    made = materialise(map_texts(rows, _items, "item string, size int, words array<long>, seeds array<struct<h: long, at: int>>").where(F.col("size") >= MIN_WORDS), "items")
+    made = materialise(map_texts(rows, _items, "item string, size int, words array<long>, seeds array<struct<h: long, at: int>>").where("size > 0"), "items")
+    short, made = made.where(F.col("size") < MIN_WORDS), made.where(F.col("size") >= MIN_WORDS)
+    short = None if short.isEmpty() else short
     count = made.agg(F.sum(F.size("seeds"))).first()[0] or 0
     passes = max(1, -(-count * SEED_BITS // (1 << MAX_FILTER)))
     out = []
     for k in range(passes):
         own = made if passes == 1 else made.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
         seeds = own.select("item", F.explode("seeds").alias("x")).select("item", "x.h", "x.at")
-        out.append(materialise(_pass(texts, own.select("item", "size", "words"), seeds, max(1, count // passes)), "overlaps"))
+        out.append(materialise(_pass(texts, own.select("item", "size", "words"), seeds, max(1, count // passes), None if k else short), "overlaps"))
     found = out[0]
     for more in out[1:]:
         found = found.union(more)
@@ -210,8 +219,8 @@ def contaminated(
     """``(id_col, item_id_col, equal_words, start_word, end_word)`` for every document and test item that overlap.
 
     Words are runs of letters and digits, A-Z lower-cased. An overlap is a stretch of at least ``MIN_STRETCH`` words (of the whole item, if that is shorter) in which
-    ``MIN_EQUAL`` of the words are equal; of an item's the one with most equal words is reported, the first of equals, without unequal words at its ends. Items of fewer than ``MIN_WORDS`` words, null items and null ids match nothing; null and empty texts hold
-    nothing. A pair of ids comes back once, however often rows of docs or of the benchmark repeat them. Other columns are ignored.
+    ``MIN_EQUAL`` of the words are equal; of an item's the one with most equal words is reported, the first of equals, without unequal words at its ends. An item of fewer than ``MIN_WORDS`` words, which common speech would hold,
+    is matched by texts of exactly its words. Items without words, null items and null ids match nothing; null and empty texts hold nothing. A pair of ids comes back once, however often rows of docs or of the benchmark repeat them. Other columns are ignored.
     """
     t1, t2 = _hashed("text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null").withColumns({"t1": t1, "t2": t2})

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from strataspark.llm.names import unused
 from strataspark.scratch import materialise
 
-#: Defaults: lines shorter than this stay (they repeat by chance), and lines shorter than that go for equal lines only. 0 compares all.
-MIN_CHARS, MIN_CHARS_EDIT = 10, 20
+#: Defaults: lines shorter than this stay, and lines shorter than that go for equal lines only. 0 compares all lines that hold anything.
+MIN_CHARS, MIN_CHARS_EDIT = 0, 0
 #: Blocks that a line or block is cut into, and the length of block whose variants are made.
 BLOCKS, SPAN = 16, 64
 
@@ -46,7 +46,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     """(id, th, pos, line, h1, h2, size) of all lines that count; th tells texts of one id apart."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
     lines = texts.select("id", F.xxhash64("t").alias("th"), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("size", F.char_length("line")).where(F.col("size") >= min_chars)
+    lines = lines.withColumn("size", F.char_length("line")).where(F.col("size") >= max(1, min_chars))
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -144,8 +144,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with later copies of lines cut out of ``text_col``, and columns ``n_lines`` and ``n_dropped`` (replaced where they exist).
 
     Lines are what ``\\n`` separates. The order is that of (id, position). A line goes if an earlier line anywhere is equal, or, with ``edits=1``, at a Levenshtein distance of
-    one; this is decided on the input, so a line also goes if its earlier neighbour itself goes. Lines under ``min_chars`` characters always stay, those under ``min_chars_edit`` go for equal lines only; with 0 all lines are compared.
-    A text without lines left is empty. Null texts stay null with 0 lines; an empty text is one empty line. Rows with a null id stay as they are. Rows that repeat id and text are one document and
+    one; this is decided on the input, so a line also goes if its earlier neighbour itself goes. Lines under ``min_chars`` characters always stay, those under ``min_chars_edit`` go for equal lines only; with 0, the default, all lines are compared.
+    An empty line holds nothing that repeats: it stays, and no line is compared with it. A text without lines left is empty. Null texts stay null with 0 lines; an empty text is one empty line. Rows with a null id stay as they are. Rows that repeat id and text are one document and
     get the same result. ``edits=0`` compares for equality alone.
     """
     marked, gone = _marked(docs.drop("n_lines", "n_dropped"), id_col, text_col, edits, min_chars, min_chars_edit)

@@ -74,10 +74,14 @@ OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL
 ), firsts AS (
-  SELECT line, min({'id': doc_id, 'pos': pos}) AS f, length(line) AS n FROM lines WHERE length(line) >= 10 GROUP BY line
+  SELECT line, min({'id': doc_id, 'pos': pos}) AS f, length(line) AS n FROM lines WHERE line <> '' GROUP BY line
+), close AS (  -- levenshtein counts bytes: another character may be one of four
+  SELECT x.line, x.n, y.line AS before, y.n AS bn, levenshtein(x.line, y.line) AS d
+  FROM firsts x JOIN firsts y ON y.n IN (x.n - 1, x.n, x.n + 1) AND y.f < x.f WHERE levenshtein(x.line, y.line) <= 4
+), cut AS (SELECT *, unnest(range(greatest(n, bn))) AS k FROM close WHERE d > 1
 ), near AS (
-  SELECT DISTINCT x.line FROM firsts x JOIN firsts y ON y.n IN (x.n - 1, x.n, x.n + 1) AND y.f < x.f
-  WHERE x.n >= 20 AND y.n >= 20 AND levenshtein(x.line, y.line) = 1
+  SELECT line FROM close WHERE d = 1
+  UNION SELECT line FROM cut WHERE CASE WHEN n >= bn THEN left(line, k) || substring(line, k + 2) ELSE line END = CASE WHEN n <= bn THEN left(before, k) || substring(before, k + 2) ELSE before END
 ), marked AS (
   SELECT l.*, coalesce(f <> {'id': doc_id, 'pos': pos}, false) OR near.line IS NOT NULL AS gone
   FROM lines l LEFT JOIN firsts USING (line) LEFT JOIN near ON near.line = l.line

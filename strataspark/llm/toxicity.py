@@ -107,11 +107,11 @@ def _instances(features: np.ndarray):
 
 
 def fit_toxicity(
-    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_features: int = 20_000, min_docs: int = 5, rounds: int = 400
+    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_features: int | None = 20_000, min_docs: int = 5, rounds: int = 400
 ) -> ToxicityModel:
     """Fit on ``labelled(text_col, label_col 0/1)``, which :func:`labelled_sample` bounds.
 
-    A feature needs ``min_docs`` toxic texts (in fewer it can't be told from chance); the ``max_features`` with the most to say bound the model's size. Rows with a null label are left out, null texts
+    A feature needs ``min_docs`` toxic texts (in fewer it can't be told from chance); the ``max_features`` with the most to say bound the model's size. None and 1 take every feature of the sample that tells the labels apart. Rows with a null label are left out, null texts
     count as empty, repeated rows count as often as they come. Without toxic rows the model has no features and all scores are 0.
     """
     sample = materialise(
@@ -124,7 +124,8 @@ def fit_toxicity(
     gain = F.log((F.col("yes") + 0.5) / (many + 1.0)) - F.log((F.col("no") + 0.5) / (few + 1.0))
     # two standard errors below the log ratio must still be a factor of five: else noise in the labels makes features
     sure = gain - 2 * F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
-    chosen = counts.where((F.col("yes") >= min_docs) & (sure > 1.6)).orderBy((gain * F.col("yes")).desc(), "f").limit(max_features)
+    chosen = counts.where((F.col("yes") >= min_docs) & (sure > 1.6))
+    chosen = chosen if max_features is None else chosen.orderBy((gain * F.col("yes")).desc(), "f").limit(max_features)
     features = np.sort(np.array([r.f for r in chosen.select("f").collect()], np.int64).astype(np.uint64))
     rows = map_texts(sample, _instances(features), "sent array<int>, feat array<int>, toxic int").toPandas()
     return _train(rows, features, rounds)

@@ -32,7 +32,8 @@ def test_words_and_shingles():
     assert np.diff(at).tolist() == [1, 0, 0, 1, 1] and whole[0] == whole[2]
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("least, least_edit", [(0, 0), (10, 20)])
+def test_lines_equal_brute_force(spark, least, least_edit):
     r = random.Random(3)
     base = ["".join(r.choice("abcde ") for _ in range(n)) for n in (12, 19, 20, 21, 25, 25, 33, 48, 64, 100, 301)] + ["short", "", "éü" * 14]
     lines = []
@@ -52,19 +53,20 @@ def test_lines_equal_brute_force(spark):
     for i, t in sorted(docs):
         out = []
         for line in (t or "").split("\n"):
-            again = len(line) >= 10 and (line in seen or (len(line) >= 20 and any(len(s) >= 20 and edit(line, s) == 1 for s in set(seen))))
+            again = len(line) >= max(1, least) and (line in seen or (len(line) >= least_edit and any(s and len(s) >= least_edit and abs(len(s) - len(line)) < 2 and edit(line, s) == 1 for s in set(seen))))
             seen.append(line)
             if not again:
                 out.append(line)
         want[i] = None if t is None else "\n".join(out)
-    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()}
+    how = {"min_chars": least, "min_chars_edit": least_edit} if least else {}
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df, **how).collect()}
     assert got == want
-    assert set(line_dedup.drop_repeated_lines(df).columns) == {"doc_id", "text", "line", "first"}
-    assert 51 in {x.doc_id for x in line_dedup.drop_repeated_lines(df).collect()} and 52 not in {x.doc_id for x in line_dedup.drop_repeated_lines(df).collect()}
+    assert set(line_dedup.drop_repeated_lines(df, **how).columns) == {"doc_id", "text", "line", "first"}
+    assert 51 in {x.doc_id for x in line_dedup.drop_repeated_lines(df, **how).collect()} and 52 not in {x.doc_id for x in line_dedup.drop_repeated_lines(df, **how).collect()}
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
     broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()} == want
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(df, **how).collect()} == want
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
 
 
@@ -82,10 +84,10 @@ def test_lines_of_any_length_and_clashing_names(spark):
     schema = "doc_id long, text string, n_lines int, gone int, gone_id int, line string"
     df = spark.createDataFrame([(i, t, 77, 1, 2, "l") for i, t in docs], schema)
     edit_one = lambda a, b: abs(len(a) - len(b)) <= 1 and _one_edit(a, b)
-    want = {i for i, t in docs if any(t == u or edit_one(t, u) for _, u in docs[:i])}
-    out = {x.doc_id: x.n_dropped for x in line_dedup.dedup_lines(df.select("doc_id", "text", "gone"), min_chars=0, min_chars_edit=0).collect()}
+    want = {i for i, t in docs if t and any(u and (t == u or edit_one(t, u)) for _, u in docs[:i])}
+    out = {x.doc_id: x.n_dropped for x in line_dedup.dedup_lines(df.select("doc_id", "text", "gone")).collect()}
     assert {i for i, n in out.items() if n} == want
-    kept = line_dedup.drop_repeated_lines(df, min_chars=0, min_chars_edit=0)
+    kept = line_dedup.drop_repeated_lines(df)
     assert kept.columns == df.columns and {(x.doc_id, x.n_lines, x.gone) for x in kept.collect()} == {(i, 77, 1) for i, _ in docs if i not in want}
 
 
@@ -156,6 +158,7 @@ def test_contamination_equals_brute_force(spark):
             for b in range(a + min(len(w), 12), max(same) + 2):
                 if len(w) >= 5 and 5 * sum(same[j] for j in range(a, b)) >= 4 * (b - a):
                     want.add((d, i))
+    want |= {(d, i) for d, t in docs for i, w in items if len(w) < 5 and t.split() == w}
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     out = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert {(x.doc_id, x.item_id) for x in out} == want and 0 < len(want) < len(docs)
@@ -176,6 +179,21 @@ def test_contamination_of_repeated_rows_and_one_word_texts(spark):
     assert decontaminate.drop_contaminated(df, bench).count() == 0 and decontaminate.drop_contaminated(df, bench).columns == df.columns
 
 
+def test_items_of_a_few_words_are_compared_with_whole_texts(spark, monkeypatch):
+    items = [(1, "Red fox jumps high"), (2, "word"), (3, "two words"), (4, "--"), (5, None), (6, "a b c d e f g"), (7, "red FOX, jumps high!")]
+    docs = [(1, "red fox -- jumps HIGH."), (2, "the red fox jumps high today"), (3, " Word "), (4, "two words"), (5, "two words more"), (6, ""), (7, None), (8, "x a b c d e f g y"), (9, "words two"), (4, "two words")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1, 4, 0, 4), (1, 7, 4, 0, 4), (3, 2, 1, 0, 1), (4, 3, 2, 0, 2), (8, 6, 7, 1, 8)}
+    assert {tuple(x) for x in decontaminate.contaminated(d, b).collect()} == want
+    assert {x.doc_id for x in decontaminate.drop_contaminated(d, b).collect()} == {2, 5, 6, 7, 9}
+    short = b.where("item_id in (2, 3)")
+    assert {tuple(x)[:2] for x in decontaminate.contaminated(d, short).collect()} == {(3, 2), (4, 3)}
+    assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
+    clashing = d.withColumns({"t1": F.lit(1), "t2": F.lit("x"), "item": F.lit(None).cast("int"), "words": F.lit(2)})
+    left = decontaminate.drop_contaminated(clashing, b)
+    assert left.columns == clashing.columns and left.count() == 5
+
+
 def test_many_items_take_several_passes(spark, monkeypatch):
     r = random.Random(3)
     items = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(30))) for i in range(200)]
@@ -244,6 +262,15 @@ def test_toxicity_is_the_noisy_or_of_distinct_evidence(spark):
     assert [s.sentence for s in out[n - 1].offending] == [" you vile grun"]
 
 
+def test_toxicity_without_limits_of_features(spark):
+    docs = [(i, f"fine words here{i % 3}" + (f" vilebad{i % 6}" if i % 2 else ""), i % 2) for i in range(400)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    some, every = toxicity.fit_toxicity(rows, max_features=2), toxicity.fit_toxicity(rows, max_features=None, min_docs=1)
+    assert len(some.features) <= 2 < len(every.features)
+    same = toxicity.fit_toxicity(rows, max_features=10**6, min_docs=1)
+    assert (same.features == every.features).all() and (same.weights == every.weights).all()
+
+
 def test_models_with_clashing_names_and_repeated_rows(spark):
     data = labelled(spark, ["vilexa", "vilexon"], 150)
     labels = data.select("doc_id", "toxic", F.col("toxic").alias("quality")).union(spark.createDataFrame([(3, None, 1), (None, 1, 1)], "doc_id long, toxic int, quality int"))
