@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from strataspark.functions.text import content_hash
+from strataspark.sources.growing import SPLIT_BYTES, growing_lines
 from strataspark.sources.readers import OBSERVATION, detect_format, observations, parse_lines, parse_spans
 
 #: Siblings of a trace that are remembered, and for how long.
@@ -18,15 +20,14 @@ SIBLINGS, TRACE_TTL_MS = 50, 3_600_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def transcript_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Lines ``(file, line_no, value)`` of transcript segments that land in a folder, one new file per flush.
+def transcript_stream(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Lines ``(file, line_no, value)`` of transcripts below a folder: of new files, and what was appended to known ones (see :func:`growing_lines`).
 
-    A segment is named as its transcript with a number before the last dot (``talk.2.jsonl`` of ``talk.jsonl``; none counts as 0); ``file`` is the transcript, and line numbers go on from segment to segment. A segment is read whole.
+    A transcript may also go on in segments, named as it with a number before the last dot (``talk.2.jsonl`` of ``talk.jsonl``, which counts as 0); ``file`` is the transcript, and line numbers grow from segment to segment.
     """
-    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).option("wholetext", True).text(path)
-    lines = files.select(F.col("_metadata.file_path").alias("segment"), F.posexplode(F.split("value", "\n")).alias("pos", "value")).where("value <> ''")
-    number = F.coalesce(F.regexp_extract("segment", r"\.(\d{1,9})\.[^./]*$", 1).try_cast("long"), F.lit(0))
-    return lines.select(F.regexp_replace("segment", r"\.\d{1,9}(\.[^./]*)$", "$1").alias("file"), (number * (1 << 32) + F.col("pos")).alias("line_no"), "value")
+    lines = growing_lines(spark, path, split_bytes)
+    number = F.coalesce(F.regexp_extract("file", r"\.(\d{1,6})\.[^./]*$", 1).try_cast("long"), F.lit(0))
+    return lines.select(F.regexp_replace("file", r"\.\d{1,6}(\.[^./]*)$", "$1").alias("file"), (number * (1 << 42) + F.col("line_no")).alias("line_no"), "value")
 
 
 class _Carry(StatefulProcessor):
@@ -104,30 +105,36 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
+def _folders(spark: SparkSession, path: str, begin: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().toString() for f in system.listStatus(where) if f.getPath().getName().startswith(begin)] if system.exists(where) else []
+
+
 def store_stream(lines: DataFrame, path: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Store texts ``(content, ...)`` once each: a batch is compared with what is stored and with itself, so no set of hashes lives in state.
+    """Store texts ``(content, ...)`` once each: a batch is compared with what earlier batches stored and with itself, so no set of hashes lives in state.
 
-    A batch that is run again finds its own rows stored, and adds none.
+    Rows lie in a folder ``stream=S/batch=N`` for each stream (told by its checkpoint) and batch, so that several may store in one place, and a batch that is run again after a crash writes its own folder anew. ``then`` gets the stored rows of a batch and its number, also where the
+    crash came between the write and the call: no batch's call is lost, and a call that comes twice has the same number and the same rows.
     """
-    spark = lines.sparkSession
+    spark, stream = lines.sparkSession, f"{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
 
     def batch(rows: DataFrame, number: int) -> None:
         fresh = rows.withColumn("content_hash", content_hash(F.col("content"))).dropDuplicates(["content_hash"])
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            fresh = fresh.join(spark.read.parquet(path).select("content_hash"), "content_hash", "left_anti")
-        if then is not None:
-            fresh.persist()
-        fresh.write.mode("append").parquet(path)
+        own = f"{path.rstrip('/')}/stream={stream}/batch={number}"
+        found = [f for f in _folders(spark, path, "stream=") for f in _folders(spark, f, "batch=")]
+        earlier = [f for f in found if not f.split("/stream=")[-1].startswith(f"{stream}/") or int(f.rpartition("=")[2]) < number]
+        if earlier:
+            fresh = fresh.join(spark.read.parquet(*earlier).select("content_hash"), "content_hash", "left_anti")
+        fresh.write.mode("overwrite").parquet(own)
         if then is not None:
-            then(fresh, number)
-            fresh.unpersist()
+            then(spark.read.schema(fresh.schema).parquet(own), number)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ingest_transcripts(spark: SparkSession, source: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Transcript segments of all dialects to stored texts, in one pass over what has landed.
+    """Transcripts of all dialects to stored texts, in one pass over what has landed since the last call: new files, new segments and appended lines.
 
     Dialect A has session and cwd on every line and goes without state; those of B and C come from the last header of their transcript, which is carried over. A bad line is a line that isn't stored. A text is stored once.
     """
