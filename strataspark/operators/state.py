@@ -1,13 +1,15 @@
 """The store as a log of changes, folded into a snapshot.
 
 ``ops`` has a row per change: ``(id, op, at, layer, content, attrs, key, value, number, vector)``. Folding groups by id once; every fold is a maximum, sum or latest value, so the order of equal times
-doesn't matter and a hot row is combined before the shuffle.
+doesn't matter and a hot row is combined before the shuffle. States of parts of a log merge into the state of the whole, so a stored state and the ops since give the snapshot.
 
 store: layer, content, attrs. touch. attr: key, value (null removes). replace_attrs: attrs. access. get. importance, valence: number (a null valence is a failed parse). embed: vector, value (model). tombstone. pushed.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,50 +48,105 @@ def resolve_stores(ops: DataFrame, revive: bool = False) -> DataFrame:
     return ops.where("op <> 'store'").unionByName(made).unionByName(touches).unionByName(pairs)
 
 
-def fold_ops(ops: DataFrame, revive: bool = False) -> DataFrame:
-    """The current snapshot (columns of MEMORIES but for agent and pushed state kept in attributes) of a log of changes."""
-    log = resolve_stores(ops, revive)
+class State(NamedTuple):
+    """A folded log that can be merged with another one's: every column is a maximum, a minimum or a sum.
+
+    ``ids`` a row per id that ops name, ``changes`` the latest value per (id, key), ``texts`` per content hash the first store and the last, ``pairs`` the latest attribute per (hash, key) of later stores.
+    """
+
+    ids: DataFrame
+    changes: DataFrame
+    texts: DataFrame
+    pairs: DataFrame
+
+
+#: How the columns of ``ids`` merge: all but these are maxima.
+SUMS = ("access_count", "gets", "valence_attempts")
+
+
+def fold_state(ops: DataFrame) -> State:
+    """The state of a log, or of any part of one."""
     when = lambda *names: F.col("op").isin(*names)
-    latest = lambda name, value: F.max_by(F.when(when(name), value), F.when(when(name), F.struct("at", value.alias("v"))))
-    wide = log.groupBy("id").agg(
-        F.max(F.when(when("store"), F.col("layer"))).alias("layer"),
-        F.max(F.when(when("store"), F.col("content"))).alias("content"),
-        F.min(F.when(when("store"), F.col("at"))).alias("_stored"),
-        F.first(F.when(when("store"), F.col("attrs")), True).alias("_attrs"),
-        F.max(F.when(when("touch", "revive", "store", "attr", "replace_attrs", "valence", "importance"), F.col("at"))).alias("updated_at"),
+    at = lambda *names: F.max(F.when(when(*names), F.col("at")))
+    latest = lambda ok, value: F.max(F.when(ok, F.struct("at", value.alias("v"))))
+    ids = ops.where("op <> 'store' and id is not null").groupBy("id").agg(
+        at("touch", "revive", "attr", "replace_attrs", "valence", "importance").alias("updated_at"),
         F.count_if(when("access", "get")).alias("access_count"),
-        F.count_if(when("get")).alias("_gets"),
-        F.max(F.when(when("access", "get", "store"), F.col("at"))).alias("last_accessed_at"),
-        latest("importance", F.col("number")).alias("importance"),
-        F.max_by(F.when(when("valence"), F.col("number")), F.when(when("valence") & F.col("number").isNotNull(), F.struct("at", "number"))).alias("valence"),
+        F.count_if(when("get")).alias("gets"),
+        at("access", "get").alias("accessed_at"),
+        latest(when("importance"), F.col("number")).alias("importance"),
+        latest(when("valence") & F.col("number").isNotNull(), F.col("number")).alias("valence"),
         F.count_if(when("valence") & F.col("number").isNull()).alias("valence_attempts"),
-        F.max_by("vector", F.when(when("embed"), F.struct("at", "value"))).alias("embedding"),
-        latest("embed", F.col("value")).alias("embedding_model"),
-        F.max(F.when(when("tombstone"), F.col("at"))).alias("_dead"),
-        F.max(F.when(when("revive"), F.col("at"))).alias("_alive"),
-        F.max(F.when(when("pushed"), F.col("at"))).alias("pushed_at"),
-        F.max(F.when(when("replace_attrs"), F.struct("at", F.to_json("attrs").alias("json")))).alias("_replaced"),
-    ).where("content is not null")
-    changes = log.where("op = 'attr'").groupBy("id", "key").agg(F.max(F.struct("at", "value")).alias("c"))
+        F.max(F.when(when("embed"), F.struct("at", F.col("value").alias("model"), "vector"))).alias("embed"),
+        at("tombstone").alias("dead_at"),
+        at("revive").alias("alive_at"),
+        at("pushed").alias("pushed_at"),
+        F.max(F.when(when("replace_attrs"), F.struct("at", F.to_json("attrs").alias("json")))).alias("replaced"),
+    )
+    changes = ops.where("op = 'attr'").groupBy("id", "key").agg(F.max(F.struct("at", "value")).alias("c"))
+    ok = F.coalesce(F.col("layer").between(1, 5) & (F.col("content") != ""), F.lit(False)) & ~F.coalesce(backdate(F.col("attrs"))["bad"], F.lit(False))
+    stores = ops.where("op = 'store'").where(ok).select(content_hash(F.col("content")).alias("hash"), F.struct("at", "id", "layer", "content", F.to_json("attrs").alias("attrs")).alias("s"))
+    return State(ids, changes, *_texts(stores))
+
+
+def _texts(stores: DataFrame, pairs: DataFrame | None = None, last: str = "s") -> tuple[DataFrame, DataFrame]:
+    """``texts`` and ``pairs`` of stores (hash, s), or of the first stores of several parts: the attributes of a store that isn't the first are changes."""
+    place = lambda c: F.struct(f"{c}.at", f"{c}.id")
+    texts = stores.groupBy("hash").agg(F.min("s").alias("first"), F.max(place(last)).alias("last"))
+    later = stores.join(texts.select("hash", "first"), "hash").where(place("s") != place("first"))
+    more = later.select("hash", F.explode(F.from_json("s.attrs", "map<string,string>")).alias("key", "value"), F.col("s.at").alias("at")).where("key <> 'created_at'")
+    more = more.select("hash", "key", F.struct("at", "value").alias("c"))
+    more = more if pairs is None else more.unionByName(pairs)
+    return texts, more.groupBy("hash", "key").agg(F.max("c").alias("c"))
+
+
+def merge_states(a: State, b: State) -> State:
+    """The state of two logs together, whichever is the later."""
+    ids = a.ids.unionByName(b.ids)
+    ids = ids.groupBy("id").agg(*((F.sum if c in SUMS else F.max)(c).alias(c) for c in ids.columns if c != "id"))
+    changes = a.changes.unionByName(b.changes).groupBy("id", "key").agg(F.max("c").alias("c"))
+    stores = a.texts.unionByName(b.texts).select("hash", F.col("first").alias("s"), "last")
+    return State(ids, changes, *_texts(stores, a.pairs.unionByName(b.pairs), "last"))
+
+
+def state_rows(state: State, revive: bool = False) -> DataFrame:
+    """The snapshot (columns of MEMORIES but for agent and pushed state kept in attributes) that a state stands for.
+
+    The first store of a text (time, then id) makes its row; later ones touch it and change its attributes, and with ``revive`` clear its tombstone. What ops say of ids without a row has no effect.
+    """
+    stored = state.texts.select("hash", F.col("first.id").alias("id"), "first", F.when(F.col("last") != F.struct("first.at", "first.id"), F.col("last.at")).alias("touched_at"))
+    rows = stored.groupBy("id").agg(
+        F.max("first.layer").alias("layer"), F.max("first.content").alias("content"), F.min("first.at").alias("stored_at"), F.max("first.at").alias("stored_last"), F.min_by("first.attrs", F.struct("first.at", "first.attrs")).alias("_attrs"), F.max("touched_at").alias("touched_at"),
+    )
+    of_texts = state.pairs.join(stored.select("hash", "id"), "hash").select("id", "key", "c")
+    changes = state.changes.unionByName(of_texts).groupBy("id", "key").agg(F.max("c").alias("c"))
     changes = changes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("key", "c.at", "c.value"))).alias("_changes"))
-    wide = wide.join(changes, "id", "left")
-    early = backdate(F.col("_attrs"))
-    base = F.coalesce(F.from_json(F.col("_replaced.json"), "map<string,string>"), early["attrs"], F.create_map().cast("map<string,string>"))
-    own = F.filter(F.coalesce("_changes", F.array().cast("array<struct<key: string, at: timestamp, value: string>>")), lambda c: F.col("_replaced").isNull() | (c["at"] >= F.col("_replaced.at")))
+    wide = rows.join(state.ids, "id", "left").join(changes, "id", "left")
+    early = backdate(F.from_json("_attrs", "map<string,string>"))
+    base = F.coalesce(F.from_json(F.col("replaced.json"), "map<string,string>"), early["attrs"], F.create_map().cast("map<string,string>"))
+    own = F.filter(F.coalesce("_changes", F.array().cast("array<struct<key: string, at: timestamp, value: string>>")), lambda c: F.col("replaced").isNull() | (c["at"] >= F.col("replaced.at")))
     over = F.map_from_entries(F.transform(own, lambda c: F.struct(c["key"], c["value"])))
     attrs = F.map_filter(F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(over, k)), over), lambda k, v: v.isNotNull())
-    scored = F.col("valence").isNotNull() | (F.col("valence_attempts") >= MAX_ATTEMPTS)
+    gets, attempts = (F.coalesce(c, F.lit(0)) for c in ("gets", "valence_attempts"))
+    scored = F.col("valence").isNotNull() | (attempts >= MAX_ATTEMPTS)
+    alive = F.greatest("alive_at", "touched_at") if revive else F.col("alive_at")
     return wide.select(
-        "id", "layer", "content", content_hash(F.col("content")).alias("content_hash"), F.coalesce("importance", F.lit(DEFAULT_IMPORTANCE)).cast("float").alias("importance"),
-        F.col("access_count").cast("int").alias("access_count"), F.coalesce(early["created_at"], F.col("_stored")).alias("created_at"), "updated_at", "last_accessed_at",
-        F.when(F.col("layer") > 1, base_decay(F.col("layer")) / (1 + F.col("_gets"))).otherwise(base_decay(F.col("layer"))).cast("float").alias("decay_rate"),
-        (1.0 + F.col("_gets")).cast("float").alias("stability"), attrs["source"].alias("source"), attrs["agent"].alias("agent"),
-        F.when(F.col("_alive").isNull() | (F.col("_alive") < F.col("_dead")), F.col("_dead")).alias("compacted_at"),
-        F.coalesce(clamp_valence(F.col("valence")), F.lit(0.0)).cast("float").alias("valence"), scored.alias("valence_scored"), F.col("valence_attempts").cast("int").alias("valence_attempts"),
-        "embedding_model", "pushed_at", "embedding", attrs.alias("attrs"),
+        "id", "layer", "content", content_hash(F.col("content")).alias("content_hash"), F.coalesce("importance.v", F.lit(DEFAULT_IMPORTANCE)).cast("float").alias("importance"),
+        F.coalesce("access_count", F.lit(0)).cast("int").alias("access_count"), F.coalesce(early["created_at"], F.col("stored_at")).alias("created_at"),
+        F.greatest("updated_at", "stored_last", "touched_at").alias("updated_at"), F.greatest("accessed_at", "stored_last").alias("last_accessed_at"),
+        F.when(F.col("layer") > 1, base_decay(F.col("layer")) / (1 + gets)).otherwise(base_decay(F.col("layer"))).cast("float").alias("decay_rate"),
+        (1.0 + gets).cast("float").alias("stability"), attrs["source"].alias("source"), attrs["agent"].alias("agent"),
+        F.when(alive.isNull() | (alive < F.col("dead_at")), F.col("dead_at")).alias("compacted_at"),
+        F.coalesce(clamp_valence(F.col("valence.v")), F.lit(0.0)).cast("float").alias("valence"), scored.alias("valence_scored"), attempts.cast("int").alias("valence_attempts"),
+        F.col("embed.model").alias("embedding_model"), "pushed_at", F.col("embed.vector").alias("embedding"), attrs.alias("attrs"),
     )
 
 
+def fold_ops(ops: DataFrame, revive: bool = False) -> DataFrame:
+    """The current snapshot of a log of changes; see :func:`state_rows`."""
+    return state_rows(fold_state(ops), revive)
+
+
 def usable_vectors(rows: DataFrame, model: str, dim: int) -> DataFrame:
     """Vectors of the current model and length; others count as missing until they are made again."""
     return rows.where((F.col("embedding_model") == model) & (F.size("embedding") == dim)).select("id", "embedding", F.col("embedding_model").alias("model"))

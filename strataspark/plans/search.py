@@ -15,6 +15,7 @@ from strataspark.functions.vectors import cosine
 from strataspark.operators.aggregates import last_turns
 from strataspark.operators.filters import matches_attrs
 from strataspark.operators.retrieval import bm25_search, knn_join, merge_candidates, rank_topk
+from strataspark.operators.text_index import TextIndex, indexed_search
 from strataspark.scratch import materialise
 
 TOP_K, DEPTH = 10, 3
@@ -51,8 +52,8 @@ def expand_queries(queries: DataFrame, completer: Completer) -> DataFrame:
     return asked.select("query_id", F.posexplode(F.concat(F.array("query"), more)).alias("variant", "query"))
 
 
-def candidates(rows: DataFrame, queries: DataFrame, how: Search) -> DataFrame:
-    """``(query_id, id, distance, bm25)`` from both sides, ``3 * top_k`` deep each; of several variants of a query all count, the best of each side."""
+def candidates(rows: DataFrame, queries: DataFrame, how: Search, index: TextIndex | None = None) -> DataFrame:
+    """``(query_id, id, distance, bm25)`` from both sides (the texts' from a stored index, if there is one), ``3 * top_k`` deep each; of several variants of a query all count, the best of each side."""
     variant = F.struct("query_id", F.col("variant") if "variant" in queries.columns else F.lit(0).alias("variant"))
     each = queries.select(F.to_json(variant).alias("_q"), "query_id", "query", "embedding")
     depth = DEPTH * how.top_k
@@ -60,16 +61,23 @@ def candidates(rows: DataFrame, queries: DataFrame, how: Search) -> DataFrame:
     alive = alive.where(F.col("layer").isin(list(how.layers))) if how.layers else alive
     pool = (alive if how.prefilter else rows).where("embedding is not null").select("id", "embedding")
     near = knn_join(pool, each.select(F.col("_q").alias("query_id"), "embedding"), depth).join(alive.select("id"), "id", "left_semi")
-    text = bm25_search(rows, each.select(F.col("_q").alias("query_id"), "query"), depth, list(how.layers) or None, each_layer=how.each_layer)
+    asked = each.select(F.col("_q").alias("query_id"), "query")
+    if index is None:
+        text = bm25_search(rows, asked, depth, list(how.layers) or None, each_layer=how.each_layer)
+    else:
+        text = indexed_search(index, asked, depth, rows, list(how.layers) or None, how.each_layer)[0]
     of = each.select("_q", "query_id")
     return merge_candidates(*(side.withColumnRenamed("query_id", "_q").join(of, "_q") for side in (near, text)))
 
 
-def hybrid_search(rows: DataFrame, queries: DataFrame, now, how: Search = Search(), embedder: Embedder | None = None, completer: Completer | None = None) -> DataFrame:
+def hybrid_search(
+    rows: DataFrame, queries: DataFrame, now, how: Search = Search(), embedder: Embedder | None = None, completer: Completer | None = None, index: TextIndex | None = None
+) -> DataFrame:
     """``(query_id, rank, id, score, parts, ...columns of rows)``: the ``top_k`` best rows for each query.
 
     ``queries(query_id, query)`` may carry vectors in ``embedding``; else ``embedder`` makes them. Candidates are the nearest vectors and the best texts; they are scored by age, importance, cosine with the query (the original, also where a completer adds
     variants) and valence; matching attributes multiply the total by 1.5; the valence range is applied after ranking, before the cut. Ties go to the smaller id.
+    An ``index`` of all rows' texts saves the pass over them.
     """
     asked = queries if "embedding" in queries.columns else embedded_queries(queries, embedder)
     wide = asked.select("query_id", "query", "embedding")
@@ -80,7 +88,7 @@ def hybrid_search(rows: DataFrame, queries: DataFrame, now, how: Search = Search
         else:
             variants = variants.withColumn("embedding", F.lit(None).cast("array<float>"))
         wide = variants.where("variant > 0").unionByName(wide.withColumn("variant", F.lit(0)))
-    found = materialise(candidates(rows, wide, how).select("query_id", "id"), "candidates")
+    found = materialise(candidates(rows, wide, how, index).select("query_id", "id"), "candidates")
     alpha, beta, gamma = default_weights(how.alpha, how.beta, how.gamma)
     both = rows.join(found, "id").join(asked.select("query_id", F.col("embedding").alias("_q")), "query_id")
     at = F.lit(now).cast("timestamp") if not isinstance(now, Column) else now
@@ -95,15 +103,15 @@ def hybrid_search(rows: DataFrame, queries: DataFrame, now, how: Search = Search
     return rank_topk(scored, how.top_k, keys=("query_id", "layer") if how.each_layer else ("query_id",))
 
 
-def per_layer_search(rows: DataFrame, queries: DataFrame, now, k: int = 8, embedder: Embedder | None = None) -> DataFrame:
+def per_layer_search(rows: DataFrame, queries: DataFrame, now, k: int = 8, embedder: Embedder | None = None, index: TextIndex | None = None) -> DataFrame:
     """The best ``k`` of each layer for each query, as a search of its own per layer would give them, from one pass: candidates and ranks are kept by layer."""
     asked = queries if "embedding" in queries.columns else embedded_queries(queries, embedder)
-    return hybrid_search(rows.where(F.col("layer").between(1, 5)), asked, now, Search(top_k=k, each_layer=True))
+    return hybrid_search(rows.where(F.col("layer").between(1, 5)), asked, now, Search(top_k=k, each_layer=True), index=index)
 
 
-def merged_search(rows: DataFrame, queries: DataFrame, now, k: int = 20, embedder: Embedder | None = None) -> DataFrame:
+def merged_search(rows: DataFrame, queries: DataFrame, now, k: int = 20, embedder: Embedder | None = None, index: TextIndex | None = None) -> DataFrame:
     """What is shown beside :func:`per_layer_search`: the best ``k`` of all layers together."""
-    return hybrid_search(rows, queries, now, Search(top_k=k), embedder)
+    return hybrid_search(rows, queries, now, Search(top_k=k), embedder, index=index)
 
 
 def file_context(rows: DataFrame, paths: DataFrame, now, k: int = 5, embedder: Embedder | None = None) -> DataFrame:

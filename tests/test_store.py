@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,58 @@ def test_restoring_a_dead_text(spark):
     assert state.fold_ops(ops(spark, log), revive=True).first().compacted_at is None
 
 
+def some_log(r, n):
+    ids, texts, rows = [f"i{k}" for k in range(12)], [f"text {k}" for k in range(7)], []
+    for _ in range(n):
+        row = {"id": r.choice(ids), "op": r.choice(["store", "store", "get", "access", "attr", "replace_attrs", "valence", "importance", "embed", "tombstone", "revive", "pushed", "touch"]), "at": T(2024, 1, 1, r.randrange(24), r.randrange(6))}
+        if row["op"] == "store":
+            row |= {"content": r.choice([*texts, "", None]), "layer": r.randint(0, 6), "attrs": r.choice([None, {}, {"k": "a"}, {"k": "b", "source": "s"}, {"created_at": "2023-05-01T00:00:00Z"}, {"created_at": "bad"}])}
+        elif row["op"] in ("attr", "embed"):
+            row |= {"key": r.choice("kl"), "value": r.choice(["x", "y", None]), "vector": [r.random()]}
+        elif row["op"] == "replace_attrs":
+            row |= {"attrs": {"k": r.choice("uv")}}
+        elif row["op"] in ("valence", "importance"):
+            row |= {"number": r.choice([None, 0.25, 3.0]) if row["op"] == "valence" else 4.0}
+        rows.append(row)
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_logs_cut_anywhere_give_the_same_rows(spark, seed):
+    r = random.Random(seed)
+    log = some_log(r, 160)
+    for revive in (False, True):
+        want = sorted(map(str, state.fold_ops(ops(spark, log), revive).collect()))
+        shuffled = r.sample(log, len(log))
+        cuts = sorted(r.sample(range(len(log)), 2))
+        parts = [state.fold_state(ops(spark, part)) for part in (shuffled[: cuts[0]], shuffled[cuts[0] : cuts[1]], shuffled[cuts[1] :])]
+        merged = state.merge_states(parts[2], state.merge_states(parts[0], parts[1]))
+        assert sorted(map(str, state.state_rows(merged, revive).collect())) == want and len(want) > 2
+
+
+def test_many_gets_keep_the_plan(spark, tmp_path):
+    t = MemoryTable(spark, path=str(tmp_path / "m"), fold_every=4)
+    t.store(spark.createDataFrame([("a1", 5, "red", {}), ("b2", 4, "green", {})], "id string, layer int, content string, attrs map<string,string>"), "2024-01-01")
+    sizes = set()
+    for k in range(9):
+        assert t.get("a", f"2024-01-02 00:{k:02d}:00").first().access_count == k
+        plan = t.snapshot()._jdf.queryExecution().optimizedPlan().toString()
+        sizes.add((t.segments[-1] - t.folded > 0, len([x for x in plan.split("\n") if "Relation" in x])))
+    assert len(sizes) <= 3 and max(n for _, n in sizes) <= 16
+    again = MemoryTable(spark, path=str(tmp_path / "m"), fold_every=4)
+    got = {x.id: x for x in again.snapshot().collect()}
+    assert got["a1"].access_count == 9 and got["a1"].stability == 10 and got["b2"].access_count == 0
+    again.tag(spark.createDataFrame([("b2",)], "id string"), {"k": "v"}, "2024-01-03")
+    assert again.list(4).first().attrs == {"k": "v"} and again.list(5).first().id == "a1"
+    assert again.folded == max(again._done("state", "pairs")) and len(again.segments) == 11
+    # a state that a crash left without its last table doesn't count
+    import shutil
+
+    shutil.rmtree(tmp_path / f"m/state/{again.folded:012d}/pairs")
+    crashed = MemoryTable(spark, path=str(tmp_path / "m"), fold_every=4)
+    assert crashed.folded < again.folded and {x.id: x.access_count for x in crashed.snapshot().collect()} == {"a1": 9, "b2": 0}
+
+
 def test_memory_table(spark):
     t = MemoryTable(spark)
     t.store(spark.createDataFrame([("a1", 5, "red apple pie", {"p": "x"}), ("a2", 4, "green pear", {}), ("a3", 5, "red apple pie", {})], "id string, layer int, content string, attrs map<string,string>"), "2024-01-01")
