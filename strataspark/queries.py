@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataspark.functions import replies, scores, text
-from strataspark.operators import aggregates, cluster, filters, graph, joins, retrieval, state
+from strataspark.operators import aggregates, cluster, filters, graph, joins, knn_cells, retrieval, state, text_index
 from strataspark.plans import search as plans
 from strataspark.plans.compact import compaction_trigger, dry_run
 from strataspark.schema import layer_name
@@ -540,6 +540,11 @@ def knn_join(spark, sf_dir):
     return retrieval.knn_join(vector_table(spark, sf_dir), query_table(spark, sf_dir), 12).drop("rank")
 
 
+@query(f"WITH {QRY}, {_KNN.replace('30', '12')} SELECT query_id, id, distance FROM near")
+def knn_cells_join(spark, sf_dir):
+    return knn_cells.knn_join_cells(vector_table(spark, sf_dir), query_table(spark, sf_dir), 12)[0].drop("rank")
+
+
 @query(f"WITH {MEM}, {QRY}, {_KNN} SELECT query_id, id, distance FROM near JOIN live USING (id) WHERE layer IN (3, 4)")
 def knn_postfilter(spark, sf_dir):
     return retrieval.vector_search(memories(spark, sf_dir), vector_table(spark, sf_dir), query_table(spark, sf_dir), 30, [3, 4])
@@ -555,6 +560,12 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25_search(memories(spark, sf_dir), query_table(spark, sf_dir), 20).drop("rank")
 
 
+@query(f"WITH {MEM}, {QRY}, {_BM25.replace('30', '20')} SELECT query_id, id, bm25 FROM texts")
+def bm25_indexed(spark, sf_dir):
+    rows = memories(spark, sf_dir)
+    return text_index.indexed_search(text_index.build_text_index(rows), query_table(spark, sf_dir), 20, rows)[0].select("query_id", "id", "bm25")
+
+
 _HYBRID = f"""
 WITH {MEM}, {QRY}, {_KNN}, {_BM25}, cand AS (SELECT query_id, id FROM near JOIN live USING (id) UNION SELECT query_id, id FROM texts),
 scored AS (SELECT query_id, id, layer, valence, round((0.333 * exp(-0.9995 * (epoch(TIMESTAMP '{NOW}') - epoch(created_at)) / 3600.0) + 0.333 * importance / 10.0
