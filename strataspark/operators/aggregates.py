@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from strataspark.functions.text import file_list_text
 from strataspark.functions.vectors import unit
 from strataspark.operators.filters import active
+from strataspark.operators.scan import number_rows
 from strataspark.schema import LAYERS
 from strataspark.scratch import materialise
 
+#: Line numbers to a block of a file.
+BLOCK_LINES = 1 << 16
 #: Upper bounds in seconds of the duration histograms.
 SEARCH_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
 SYNC_BUCKETS = (1.0, 5.0, 15.0, 30.0, 60.0, 120.0, 300.0)
@@ -134,9 +137,17 @@ def replace_attrs(ops: DataFrame, replaced: DataFrame) -> DataFrame:
 
 
 def carry_forward(lines: DataFrame, columns: list[str], key: str = "file", order: str = "line_no") -> DataFrame:
-    """Empty values take the last that is not empty of the lines before, within a file."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumns({c: F.last(F.nullif(F.col(c), F.lit("")), True).over(before) for c in columns})
+    """Empty values take the last that is not empty of the lines before, within a file.
+
+    Files of any length: a file is cut in blocks of :data:`BLOCK_LINES` numbers of ``order`` (whole numbers), what each block hands on is combined, a row a block, and then applied within blocks.
+    """
+    rows = lines.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in columns}).withColumn("_block", F.floor(F.col(order) / BLOCK_LINES))
+    held = rows.groupBy(F.col(key).alias("_of"), F.col("_block").alias("_at")).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_last_{c}") for c in columns))
+    before = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_of", "_at", *(F.last(f"_last_{c}", True).over(before).alias(f"_last_{c}") for c in columns))
+    within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.join(held, F.col(key).eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at")))
+    return both.withColumns({c: F.coalesce(F.last(c, True).over(within), F.col(f"_last_{c}")) for c in columns}).select(*lines.columns)
 
 
 def chrono_windows(rows: DataFrame, size: int = 20) -> DataFrame:
@@ -156,16 +167,18 @@ def chrono_windows(rows: DataFrame, size: int = 20) -> DataFrame:
 
 
 def even_sample(members: DataFrame, budget: int = 80_000, key: str = "cluster", text: str = "content") -> DataFrame:
-    """Of each group whose texts exceed ``budget`` bytes, evenly spaced rows with both ends: ``max(2, budget * N / total)`` of N; a budget of 0 or less keeps all."""
-    order = Window.partitionBy(key).orderBy("created_at", "id")
-    sums = members.groupBy(key).agg(F.count("*").alias("_N"), F.sum(F.octet_length(text)).alias("_total"))
-    rows = members.withColumn("_i", F.row_number().over(order).cast("long") - 1).join(sums, key)
+    """Of each group whose texts exceed ``budget`` bytes, evenly spaced rows with both ends: ``max(2, budget * N / total)`` of N; a budget of 0 or less keeps all. An id occurs once in a group."""
+    sizes = members.select(key, "created_at", "id", F.octet_length(text).alias("_bytes"))
+    sums = sizes.groupBy(F.col(key).alias("_of")).agg(F.count("*").alias("_N"), F.sum("_bytes").alias("_total"))
+    # numbers are dealt by ranges, without the texts, so a large group takes many tasks
+    rows = number_rows(sizes, [key], ["created_at", "id"], "_i").withColumn("_i", F.col("_i") - 1).join(sums, F.col(key).eqNullSafe(F.col("_of")))
     n = F.least(F.col("_N"), F.greatest(F.lit(2), F.floor(F.lit(budget) * F.col("_N") / F.col("_total"))))
     # row i is taken if some j has floor(j * (N - 1) / (n - 1)) = i: the least j that reaches i is a candidate
     j = F.ceil(F.col("_i") * (n - 1) / (F.col("_N") - 1))
     taken = F.floor(j * (F.col("_N") - 1) / (n - 1)) == F.col("_i")
     keep = (F.lit(budget) <= 0) | (F.col("_total") <= budget) | (F.col("_N") <= 2) | F.coalesce(taken, F.lit(True))
-    return rows.where(keep).drop("_i", "_N", "_total")
+    kept = rows.where(keep).select(F.col(key).alias("_key"), F.col("id").alias("_id"))
+    return members.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("id") == F.col("_id")), "left_semi")
 
 
 def latest_n(rows: DataFrame, n: int, key: str | None = None) -> DataFrame:

@@ -109,8 +109,8 @@ def resolve_prs(commits: DataFrame, refs: DataFrame) -> DataFrame:
 def discover_new_prs(commits: DataFrame, seen: DataFrame, decided: DataFrame, budget: int) -> DataFrame:
     """``(repo, number, shas, pos)``: the first ``budget`` undecided pull requests of a repo's unseen commits, oldest first.
 
-    ``commits(repo, sha, pos, number)`` come in order of ``pos``; a null number is a direct push. Each request has its commits up to where the budget ends. Direct pushes up to there come as rows with a
-    null number: they are to be marked as seen.
+    ``commits(repo, sha, pos, number)`` come in order of ``pos``; a null number is a direct push. Each request has its commits up to where the budget ends. Direct pushes up to there come as a row each,
+    with a null number: they are to be marked as seen.
     """
     fresh = commits.join(seen.select("repo", "sha"), ["repo", "sha"], "left_anti")
     fresh = fresh.join(decided.select("repo", "number"), ["repo", "number"], "left_anti")
@@ -120,9 +120,8 @@ def discover_new_prs(commits: DataFrame, seen: DataFrame, decided: DataFrame, bu
     taken = ranked.where(F.col("rank") <= budget).select("repo", "number")
     reached = fresh.join(cut, "repo", "left").where(F.col("cut").isNull() | (F.col("pos") < F.col("cut"))).drop("cut")
     of_requests = reached.join(taken, ["repo", "number"])
-    direct = reached.where("number is null").select("repo", "number", "sha", "pos")
-    out = of_requests.select("repo", "number", "sha", "pos").unionByName(direct)
-    return out.groupBy("repo", "number").agg(F.min("pos").alias("pos"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "sha"))), lambda x: x["sha"]).alias("shas"))
+    direct = reached.where("number is null").select("repo", "number", "pos", F.array("sha").alias("shas"))
+    return of_requests.groupBy("repo", "number").agg(F.min("pos").alias("pos"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "sha"))), lambda x: x["sha"]).alias("shas")).unionByName(direct)
 
 
 def shared_budget(found: DataFrame, budget: int) -> DataFrame:

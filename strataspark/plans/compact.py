@@ -15,7 +15,7 @@ from strataspark.operators.aggregates import centroid, chrono_windows, cluster_s
 from strataspark.operators.cluster import greedy_clusters
 from strataspark.operators.filters import active
 from strataspark.operators.graph import lineage_edges
-from strataspark.operators.joins import delete_edges_from, promotion_guard, seed_exclusion
+from strataspark.operators.joins import delete_edges_from, edge_insert_ignore, promotion_guard, seed_exclusion
 from strataspark.scratch import materialise
 
 #: Fixed values.
@@ -141,15 +141,25 @@ def seed_upper_layers(rows: DataFrame, edges: DataFrame, completer: Completer, n
 
 
 def apply_rollup(rows: DataFrame, edges: DataFrame, rollup: Rollup, now) -> tuple[DataFrame, DataFrame]:
-    """The snapshot and the edges after a path: members are tombstoned, new rows with new texts come in."""
+    """The snapshot and the edges after a path: members are tombstoned, new rows with new texts come in.
+
+    A text that is stored already, or made more than once, is one row: the stored one (of smallest id), or the made one of smallest id. Lineage starts at that row, once an edge; no edge starts or ends at an id that doesn't exist,
+    and none leads from a row to itself.
+    """
     at = F.lit(now).cast("timestamp")
     dead = rollup.dead.distinct().withColumn("_dead", F.lit(True))
+    stored = rows.groupBy("content_hash").agg(F.min("id").alias("_stored"))
+    first = rollup.made.groupBy("content_hash").agg(F.min("id").alias("_first"))
+    kept = rollup.made.select("id", "content_hash").join(first, "content_hash").join(stored, "content_hash", "left").select(F.col("id").alias("from_id"), F.coalesce("_stored", "_first").alias("_kept"))
+    kept = materialise(kept, "surviving")
     rows = rows.join(dead, "id", "left").withColumn("compacted_at", F.when(F.col("_dead"), at).otherwise(F.col("compacted_at"))).drop("_dead")
-    fresh = rollup.made.join(rows.select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash"])
+    fresh = rollup.made.join(kept.where("from_id = _kept").select(F.col("from_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     given = {"id", "layer", "content", "content_hash", "attrs", "embedding", "created_at"}
     defaults = {"importance": F.lit(5.0), "access_count": F.lit(0), "updated_at": at, "last_accessed_at": at, "stability": F.lit(1.0), "valence": F.lit(0.0), "valence_scored": F.lit(False), "valence_attempts": F.lit(0), "source": F.lit("compactor")}
     new = fresh.select(*(F.col(f.name) if f.name in given else defaults.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
-    return rows.unionByName(new), edges.unionByName(rollup.edges.select(*edges.columns))
+    rows = rows.unionByName(new)
+    lineage = rollup.edges.join(kept, "from_id").withColumn("from_id", F.col("_kept")).where("from_id <> to_id").select(*edges.columns)
+    return rows, edge_insert_ignore(edges, lineage, rows)
 
 
 def run_compaction(rows: DataFrame, edges: DataFrame, completer: Completer, now) -> tuple[DataFrame, DataFrame, DataFrame]:

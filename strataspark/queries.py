@@ -310,7 +310,7 @@ WITH commits AS (SELECT 'r' || o_custkey % 3 AS repo, o_orderkey AS pos, 'c' ||
 fresh AS (SELECT * FROM commits WHERE pos % 10 <> 0 AND (number IS NULL OR number % 7 <> 0)),
 firsts AS (SELECT repo, number, min(pos) AS f FROM fresh WHERE number IS NOT NULL GROUP BY 1, 2), ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY f, number) AS k FROM firsts),
 cut AS (SELECT repo, f AS c FROM ranked WHERE k = 26), reached AS (SELECT fresh.* FROM fresh LEFT JOIN cut USING (repo) WHERE c IS NULL OR pos < c)
-SELECT repo, number, min(pos) AS pos, list(sha ORDER BY pos) AS shas FROM reached WHERE number IS NULL OR (repo, number) IN (SELECT (repo, number) FROM ranked WHERE k <= 25) GROUP BY repo, number""")
+SELECT repo, number, min(pos) AS pos, list(sha ORDER BY pos) AS shas FROM reached WHERE number IS NULL OR (repo, number) IN (SELECT (repo, number) FROM ranked WHERE k <= 25) GROUP BY repo, number, CASE WHEN number IS NULL THEN sha END""")
 def discover_new_prs(spark, sf_dir):
     c = _table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), (F.col("o_custkey") % 3).cast("string")).alias("repo"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("sha"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey")).alias("number"))
     return joins.discover_new_prs(c, c.where("pos % 10 = 0"), c.where("number % 7 = 0").select("repo", "number").distinct(), 25)

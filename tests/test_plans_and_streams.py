@@ -32,6 +32,12 @@ def test_compaction(spark):
     assert {r.path: (r.made, r.sources) for r in report.collect()} == {"l5-l4": (4, 60)}
     live = {r.layer: r.live for r in after.where("compacted_at is null").groupBy("layer").agg(F.count("*").alias("live")).collect()}
     assert live == {4: 1} and linked.count() == 60
+    # four clusters got one summary: its row is one, and all lineage starts there
+    ids = {r.id for r in after.collect()}
+    assert {r.from_id for r in linked.collect()} == {r.id for r in after.where("layer = 4").collect()} and {r.to_id for r in linked.collect()} == {f"m{i:03d}" for i in range(60)} < ids
+    known = rows.unionByName(spark.createDataFrame([memory("old", 4, content="summary", content_hash=made[0].content_hash)], MEMORIES))
+    again, lineage = compact.apply_rollup(known, edges, out, now)
+    assert {r.from_id for r in lineage.collect()} == {"old"} and again.count() == 61
     l3 = spark.createDataFrame([memory("k", 3, access_count=12, importance=8.0), memory("l", 3, access_count=2, importance=8.0)], MEMORIES)
     wise = compact.promote_l3_l2(l3, edges, const_completer('{"rule":"r","tags":"t","domain":"d"}'), now)
     assert [(m.content, m.source_ids) for m in wise.made.collect()] == [("r", ["k"])] and wise.edges.first().edge_type == "derived_from"
