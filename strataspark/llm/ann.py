@@ -3,8 +3,8 @@
 Vectors that are equal are one node, with as many of their smallest ids as a result can hold. Nodes are dealt to shards by a hash of the vector; shards grow with the root of the number of nodes, so that the lists that are merged (queries times
 shards) grow less than with its square; each shard builds its graph in one task: a greedy search from
 the centre proposes neighbours for every new node, and relaxed distance pruning keeps those that no kept neighbour is much closer to, so that edges stay few and diverse. The largest inner product becomes the least
-distance by one more coordinate that gives all nodes of a shard the same length. Queries go to every shard in blocks; a beam search visits the graph, the nodes found are scored in double precision on the original vectors,
-and the shards' lists are merged.
+distance by one more coordinate that gives all nodes of a shard the same length. Queries go to every shard, whose task opens it once and lets them stream past: the index is moved once, however many queries there are. A beam search
+visits the graph, the nodes found are scored in double precision on the original vectors, and the shards' lists are merged.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from strataspark.scratch import materialise
 
-#: Nodes of a shard at least and at most (about: between them 17 times the root of all), edges of a node, beam when building and when searching, pruning slack, queries of a block (about).
-SHARD_NODES, MAX_SHARD_NODES, DEGREE, BUILD_BEAM, SEARCH_BEAM, SLACK, QUERY_BLOCK = 4096, 1 << 20, 32, 64, 128, 1.2, 2048
+#: Nodes of a shard at least and at most (about: between them 17 times the root of all) and bytes of its vectors at most, edges of a node, beam when building and when searching, pruning slack.
+SHARD_NODES, MAX_SHARD_NODES, MAX_SHARD_BYTES, DEGREE, BUILD_BEAM, SEARCH_BEAM, SLACK = 4096, 1 << 20, 64 << 20, 32, 64, 128, 1.2
 _ROOTS = 17
 _STEP = 4
 
@@ -182,59 +182,70 @@ def build_index(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_
     rows = _nodes(vectors, id_col, vector_col)
     ranked = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("place") <= k + 1)
     nodes = materialise(ranked.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_set("vec_id")).alias("ids")), "nodes")
-    count = nodes.count()
-    size = shard_nodes or min(MAX_SHARD_NODES, max(SHARD_NODES, round(_ROOTS * count**0.5)))
+    count, longest = nodes.agg(F.count("*"), F.max(F.size("v"))).first()
+    size = shard_nodes or min(MAX_SHARD_NODES, max(1, MAX_SHARD_BYTES // (8 * (longest or 1))), max(SHARD_NODES, round(_ROOTS * count**0.5)))
     shards = max(1, -(-count // size))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.size("v"), F.pmod("h1", F.lit(shards))), F.lit(2**62)))
     return materialise(dealt.groupBy("shard").applyInArrow(_index, _INDEX), "ann-index")
 
 
+def _opened(batch: pa.RecordBatch) -> tuple:
+    """The arrays of a shard's row."""
+    row = {c: batch.column(c)[0].as_py() for c in ("nodes", "dim", "x", "graph", "ids", "ends")}
+    n, dim = row["nodes"], row["dim"]
+    full = np.frombuffer(row["x"], np.float32 if len(row["x"]) == 4 * n * dim else np.float64).reshape(n, dim)
+    graph = np.frombuffer(row["graph"], np.int32).reshape(n, -1)
+    graph = np.concatenate([np.where(graph < 0, n, graph), np.full((1, graph.shape[1]), n, np.int32)])
+    return full, (full / np.abs(full).max()).astype(np.float32), graph, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
+
+
+def _searched(shard: tuple, batch: pa.RecordBatch, k: int, beam: int) -> pa.RecordBatch:
+    """The ``k + 1`` best of a shard for each query of a batch."""
+    full, x, graph, ids, ends = shard
+    n, dim = x.shape
+    asked = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    q = (asked / np.abs(asked).max(1, keepdims=True)).astype(np.float32)
+    starts = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(np.int64))
+    found, _ = _beam(x, np.zeros(n, np.float32), graph, q, starts, max(beam, k + 1), lengths=False)
+    r, c = np.nonzero(found < n)
+    node = found[r, c]
+    score = np.einsum("nd,nd->n", full[node].astype(np.float64), asked[r].astype(np.float64))
+    many = np.diff(ends, prepend=0)[node]
+    at = np.repeat(ends[node] - np.cumsum(many), many) + np.arange(many.sum())
+    r, score, own = np.repeat(r, many), np.repeat(score, many), ids[at]
+    order = np.lexsort((own, -score, r))
+    r, score, own = r[order], score[order], own[order]
+    top = np.arange(len(r)) - np.searchsorted(r, r) <= k
+    h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
+    return pa.RecordBatch.from_arrays([pa.array(a) for a in (h1[r[top]], h2[r[top]], own[top], score[top])], schema=_FOUND_ARROW)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: of each query its ``k`` nearest found, without the row of its own id.
 
     Nearest means the largest inner product, in double precision, ties to the smaller id. Equal queries are searched once. Queries that are null, zero or not finite have no rows; fewer candidates give fewer rows.
     """
-    spark = index.sparkSession
     asked = _nodes(queries, id_col, vector_col)
     once = materialise(asked.groupBy("h1", "h2").agg(F.first("v").alias("v")).withColumn("dim", F.size("v")), "queries")
-    blocks = max(1, -(-once.count() // QUERY_BLOCK))
-    pairs = index.select("shard", "dim").join(spark.range(blocks).select(F.col("id").alias("block")), F.lit(True))
-    placed = once.withColumn("block", F.pmod("h1", F.lit(blocks))).join(pairs, ["block", "dim"])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({c: [] for c in _FOUND_ARROW.names}, schema=_FOUND_ARROW)
-        row = {c: left.column(c)[0].as_py() for c in left.column_names}
-        n, dim = row["nodes"], row["dim"]
-        kind = np.float32 if len(row["x"]) == 4 * n * dim else np.float64
-        full = np.frombuffer(row["x"], kind).reshape(n, dim)
-        x = (full / np.abs(full).max()).astype(np.float32)
-        graph = np.frombuffer(row["graph"], np.int32).reshape(n, -1)
-        graph = np.concatenate([np.where(graph < 0, n, graph), np.full((1, graph.shape[1]), n)])
-        ids, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
-        asked = right.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        q = (asked / np.abs(asked).max(1, keepdims=True)).astype(np.float32)
-        h1, h2 = right.column("h1").to_numpy(), right.column("h2").to_numpy()
-        starts = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(np.int64))
-        out = []
-        for i in range(0, len(q), 256):
-            found, _ = _beam(x, np.zeros(n, np.float32), graph, q[i : i + 256], starts, max(beam, k + 1), lengths=False)
-            r, c = np.nonzero(found < n)
-            node = found[r, c]
-            score = np.einsum("nd,nd->n", full[node].astype(np.float64), asked[i : i + 256][r].astype(np.float64))
-            many = np.diff(ends, prepend=0)[node]
-            at = np.repeat(ends[node] - np.cumsum(many), many) + np.arange(many.sum())
-            r, score, own = np.repeat(r, many), np.repeat(score, many), ids[at]
-            order = np.lexsort((own, -score, r))
-            r, score, own = r[order], score[order], own[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            top = place <= k
-            out.append((h1[i + r[top]], h2[i + r[top]], own[top], score[top]))
-        return pa.table([pa.array(np.concatenate(a)) for a in zip(*out, strict=True)], schema=_FOUND_ARROW)
-
-    left = index.join(pairs.select(F.col("shard").alias("_shard"), "block"), F.col("shard") == F.col("_shard")).drop("_shard")
-    placed = placed.select(F.col("shard").alias("q_shard"), F.col("block").alias("q_block"), "h1", "h2", "v")
-    found = left.groupBy("shard", "block").cogroup(placed.groupBy("q_shard", "q_block")).applyInArrow(run, _FOUND)
+    kind = once.schema["v"].dataType
+
+    def run(batches):
+        row = shard = None
+        for batch in batches:
+            opens = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False))
+            for lo, hi in zip([0, *opens.tolist()], [*opens.tolist(), len(batch)], strict=True):
+                if lo in opens and hi > lo:
+                    row, shard, lo = batch.slice(lo, 1), None, lo + 1
+                for i in range(lo, hi, 256):
+                    shard = shard or _opened(row)
+                    yield _searched(shard, batch.slice(i, min(256, hi - i)), k, beam)
+
+    # of each shard the index comes first, then all queries of its length
+    own = index.select("shard", F.lit(True).alias("first"), "dim", "nodes", "x", "graph", "ids", "ends", *(F.lit(None).cast("long").alias(c) for c in ("h1", "h2")), F.lit(None).cast(kind).alias("v"))
+    binary = lambda c: F.lit(None).cast("binary").alias(c)
+    asks = once.join(index.select("shard", "dim"), "dim").select("shard", F.lit(False).alias("first"), "dim", F.lit(None).cast("int").alias("nodes"), *map(binary, ("x", "graph", "ids", "ends")), "h1", "h2", "v")
+    placed = own.unionByName(asks).repartition("shard").sortWithinPartitions("shard", F.col("first").desc())
+    found = placed.mapInArrow(run, _FOUND)
     nearest = Window.partitionBy("h1", "h2").orderBy(F.col("score").desc(), "vec_id")
     merged = found.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k + 1).drop("place")
     each = asked.select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct().join(merged, ["h1", "h2"]).where("query_id <> vec_id")

@@ -111,6 +111,23 @@ def test_ann_recall_ties_and_odd_vectors(spark):
     assert ann.search(ann.build_index(few), few).count() == 6 and ann.search(ann.build_index(df.limit(0)), df.limit(0)).count() == 0
 
 
+def test_ann_recall_in_several_shards(spark):
+    r = np.random.default_rng(12)
+    centres = r.normal(size=(60, 24))
+    x = (centres[r.integers(0, 60, 20_000)] + 0.6 * r.normal(size=(20_000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    index = ann.build_index(df)
+    assert index.count() >= 4
+    q = np.arange(0, 20_000, 50)
+    score = x[q].astype(np.float64) @ x.T.astype(np.float64)
+    score[np.arange(len(q)), q] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    got = {}
+    for row in ann.search(index, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    assert np.mean([len(got[i] & set(b.tolist())) / 20 for i, b in zip(q.tolist(), best, strict=True)]) >= 0.95
+
+
 def test_ann_double_precision_and_repeated_ids(spark):
     rows = [(1, [0.1, 0.2, 1.0]), (2, [1 / 3, 1e300, 0.0]), (3, [1e-300, 0.5, 2.0]), (4, [0.3, -0.1, 0.2]), (4, [0.3, -0.1, 0.2]), (5, [9.0, 9.0, 9.0]), (5, [0.1, 0.1, 0.1]), *[(6, [0.2, 0.2, 0.2])] * 40, (7, [0.2, 0.2, 0.2])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
