@@ -2,8 +2,8 @@
 
 Words are lower-cased runs of letters and digits, shingles are runs of five. A window is nine words, five shingles; windows of a document follow every five words, so that every shingle lies in one and neighbours share four words. Each window has MINIMA minima, each a
 band of its own: a window that shares a fifth of the union with a template's window (the least that a notice of five words can share) meets it with probability ``1 - 0.8**48 > 0.9999``, one of equal
-shingles always. A retrieved template is verified on the shingles around the window: the share of the template's that occur there. Of the templates that verify at a window only the best stay, so that a license isn't taken for
-its sibling of another version.
+shingles always. A retrieved template is verified on the shingles around the window: the share of the template's that occur there. A notice's numbers tell versions apart: of a template of up to NOTICE_WORDS words, every shingle with a number must occur, whatever the share. Of the templates that
+verify at a window only the best stay, and all of those with equal shares, so that a license isn't taken for its sibling.
 
 A window's minimum can only equal a template's if the window holds the very shingle, so documents without any shingle that is a template's minimum have no bands in common with any
 and their minima are not worked out. Everything is built-in functions.
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from strataspark.scratch import materialise
 
 WORDS, WINDOW, MINIMA, THRESHOLD = 5, 5, 48, 0.8
+#: Words of a template up to which its numbers must be the document's; in longer ones they are years and sections too.
+NOTICE_WORDS = 100
 #: Words of templates whose bands (48 for each word) are broadcast at once; more of them are scanned for in as many passes as it takes.
 BLOCK_WORDS = 20_000
 _SEEDS = [int(x) for x in np.random.Generator(np.random.PCG64(11)).integers(-(2**62), 2**62, MINIMA)]
@@ -61,6 +63,14 @@ def _shingles(text: str) -> str:
     return f"transform(array({words}), w -> if(size(w) < {WORDS}, array(), transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({run}))))[0]"
 
 
+def _numbered(text: str) -> str:
+    """SQL for the shingle hashes of a notice that hold a number; empty for longer texts."""
+    words = f"filter(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> w <> '')"
+    run = ", ".join(f"w[i + {j}]" for j in range(WORDS))
+    some = f"filter(sequence(0, size(w) - {WORDS}), i -> exists(slice(w, i + 1, {WORDS}), x -> x rlike '^[0-9]+$'))"
+    return f"transform(array({words}), w -> if(size(w) < {WORDS} or size(w) > {NOTICE_WORDS}, array(), transform({some}, i -> xxhash64({run}))))[0]"
+
+
 def _least(window: str) -> str:
     """SQL for the array of a window's minima, each with the shingle that has it."""
     seeds = ", ".join(f"{s}L" for s in _SEEDS)
@@ -72,7 +82,8 @@ def scan_licenses(
 ) -> DataFrame:
     """``(id_col, license_id, containment, first_word)`` for every document and license found in it.
 
-    ``containment`` is the largest share of a template's distinct shingles found around one window (its length in words to either side), ``threshold`` or more; a license is found where no other has more; ``first_word`` is the first
+    ``containment`` is the largest share of a template's distinct shingles found around one window (its length in words to either side), ``threshold`` or more, with all of a notice's numbers; a license is found where no other has more, and licenses of equal shares at a place are all found; a document that holds a license twice has it once, at its best
+    place. ``first_word`` is the first
     word (from 0) of the first window with that share. A license may have several templates; the best counts. Null and empty texts and those of fewer than five words have no rows; templates that are null or of fewer than five words
     match nothing. Null ids are left out; rows that repeat an id count as one document. Other columns are ignored, whatever they are called. Templates may be of any length and number: they are dealt to blocks of about
     ``block_words`` words, each a pass over the documents.
@@ -99,7 +110,7 @@ def scan_licenses(
 
 def _places(rows: DataFrame, templates: DataFrame, threshold: float) -> DataFrame | None:
     """``(id, at, license_id, containment)``: the windows of documents ``(id, text)`` that have a band of a template and whose surroundings hold enough of it; None if no template has a band."""
-    made = templates.select("license_id", F.expr(_shingles("text")).alias("sh")).where("size(sh) > 0").withColumns({"no": F.xxhash64("license_id", "sh"), "set": F.array_distinct("sh")})
+    made = templates.select("license_id", "text", F.expr(_shingles("text")).alias("sh")).where("size(sh) > 0").withColumns({"no": F.xxhash64("license_id", "sh"), "set": F.array_distinct("sh"), "numbers": F.array_distinct(F.expr(_numbered("text")))})
     made = materialise(made.dropDuplicates(["no"]), "templates")
     windows = made.select("no", F.explode(F.expr(f"transform(sequence(0, greatest(0, size(sh) - {WINDOW})), s -> slice(sh, s + 1, {WINDOW}))")).alias("w"))
     bands = windows.select("no", F.explode(F.expr(_least("w"))).alias("m")).select("no", F.col("m.x").alias("x"), F.xxhash64("m.k", "m.h").alias("band")).distinct()
@@ -121,7 +132,8 @@ def _places(rows: DataFrame, templates: DataFrame, threshold: float) -> DataFram
     met = materialise(met, "license-candidates")
     # the few texts that met a template are read again, so that no text travels with its windows
     few = text.join(met.select("id", "th").distinct(), ["id", "th"], "left_semi").select("id", "th", F.expr(_shingles("text")).alias("sh"))
-    found = few.join(met, ["id", "th"]).join(made.select("no", "license_id", "set"), "no").withColumn("around", F.size("set") + WORDS + WINDOW)
-    share = f"size(array_intersect(set, slice(sh, greatest(0, s - around) + 1, s - greatest(0, s - around) + {WINDOW} + around))) / size(set)"
+    found = few.join(met, ["id", "th"]).join(made.select("no", "license_id", "set", "numbers"), "no").withColumn("around", F.size("set") + WORDS + WINDOW)
+    near = f"slice(sh, greatest(0, s - around) + 1, s - greatest(0, s - around) + {WINDOW} + around)"
+    share = f"if(size(array_except(numbers, {near})) > 0, 0D, size(array_intersect(set, {near})) / size(set))"
     found = found.select("id", "license_id", F.explode(F.expr(f"transform(ats, s -> struct(s as at, {share} as containment))")).alias("w"))
     return found.select("id", "w.at", "license_id", "w.containment").where(F.col("containment") >= threshold)
