@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataspark.functions.models import Embedder
 from strataspark.functions.text import condense, detect_intents
 from strataspark.operators.filters import cwd_filter, domain_filter
-from strataspark.operators.graph import follow_edges, related_via_graph
+from strataspark.operators.graph import related_of_queries
 from strataspark.operators.retrieval import project_boost, rank_topk
 from strataspark.plans.search import Search, embedded_queries, hybrid_search
+from strataspark.scratch import materialise
 
 #: Rows for principles, techniques and workspace by intent, and the layers of these sections.
 SIZES = {"research": (2, 7, 5), "build": (5, 5, 5), "review": (4, 3, 7)}
@@ -25,7 +26,7 @@ def resolved_intents(queries: DataFrame, intent: str = "auto") -> DataFrame:
 
 
 def context_block(rows: DataFrame, edges: DataFrame, queries: DataFrame, now, intent: str = "auto", domain: str = "", project: str = "", cwd: str = "", embedder: Embedder | None = None) -> DataFrame:
-    """``(query_id, intent, section, rank, id, layer, content, attrs, score)``: the sections of every intent, then ``related`` and ``observations`` for a single query.
+    """``(query_id, intent, section, rank, id, layer, content, attrs, score)``: the sections of every intent, then ``related`` and ``observations`` by the graph, if it has edges.
 
     Every section is one search for all queries; sizes differ by intent, so the largest is searched and each intent cut to its own.
     """
@@ -41,23 +42,27 @@ def context_block(rows: DataFrame, edges: DataFrame, queries: DataFrame, now, in
         part = hits.join(intents, "query_id").where(F.col("rank") <= size[F.col("intent")])
         part = part.select("query_id", "intent", F.lit(section).alias("section"), "rank", "id", "layer", "content", "attrs", "score")
         out = part if out is None else out.unionByName(part)
-    return out
+    if edges.isEmpty():
+        return out
+    out = materialise(out, "sections")
+    more = graph_sections(rows, edges, out, project=project).join(rows.select("id", "layer", "content", "attrs"), "id").join(intents, "query_id")
+    return out.unionByName(more.select(*out.columns))
 
 
 def graph_sections(rows: DataFrame, edges: DataFrame, block: DataFrame, attrs: dict[str, str] | None = None, project: str = "") -> DataFrame:
-    """``(section, rank, id, content)`` of one query: rows related through the graph, and observations that its workspace rows point to."""
-    found = block.select("id", "layer").distinct()
-    near = related_via_graph(edges, rows, found, attrs, project).join(rows.select("id", "content"), "id")
-    seen = follow_edges(edges, found, rows).select("id", "content")
-    near = near.select(F.lit("related").alias("section"), F.col("score").alias("weight"), "id", "content")
-    seen = seen.select(F.lit("observations").alias("section"), F.lit(0.0).alias("weight"), "id", "content")
-    return near.union(seen)
+    """``(query_id, section, rank, id, score)``: rows ``related`` to what a block shows for a query through the graph, and ``observations`` (layer 5) that its workspace rows point to."""
+    found = materialise(block.select("query_id", "id", "layer").distinct(), "block")
+    near = related_of_queries(edges, rows, found, attrs, project).select("query_id", F.lit("related").alias("section"), "rank", "id", "score")
+    points = edges.select(F.col("from_id").alias("id"), "to_id").join(found.where("layer = 4").select("query_id", "id"), "id").select("query_id", F.col("to_id").alias("id")).distinct()
+    seen = points.join(rows.where("layer = 5 and compacted_at is null").select("id", "created_at"), "id").join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    newest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("created_at").desc(), "id"))
+    return near.unionByName(seen.select("query_id", F.lit("observations").alias("section"), newest.alias("rank"), "id", F.lit(0.0).alias("score")))
 
 
 def render_context(block: DataFrame, nested: bool = True) -> DataFrame:
     """``(query_id, text, ids, projects)``: the block as markdown, with headings of one level or by intent and section."""
     groups = block.groupBy("query_id", "intent", "section").agg(F.array_sort(F.collect_list(F.struct("rank", "id", condense(F.col("content")).alias("text")))).alias("items"))
-    place = F.when(F.col("section") == "principles", 0).when(F.col("section") == "techniques", 1).otherwise(2)
+    place = F.when(F.col("section") == "principles", 0).when(F.col("section") == "techniques", 1).when(F.col("section") == "workspace", 2).when(F.col("section") == "related", 3).otherwise(4)
     head = F.concat(F.lit("### " if nested else "## "), F.initcap("section"))
     body = F.array_join(F.transform("items", lambda x: F.concat(F.lit("- "), x["text"])), "\n")
     parts = groups.withColumns({"_p": place, "_t": F.concat(head, F.lit("\n"), body)})

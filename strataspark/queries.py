@@ -661,6 +661,12 @@ def pagerank_20(spark, sf_dir):
     return graph.personalized_pagerank(edge_table(spark, sf_dir), seeds).select("id", F.round("rank", 9).alias("rank"))
 
 
+@query(_ppr_sql(20).replace("round(rank, 9) AS rank FROM r20", "round(rank, 9) AS rank FROM r20 WHERE rank > 0").replace("SELECT id,", "SELECT 1 AS query_id, id,"))
+def pagerank_pushed(spark, sf_dir):
+    seeds = _table(spark, sf_dir, "part").where("p_partkey % 50 = 1").select(F.lit(1).alias("query_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id")).distinct()
+    return graph.pagerank_of_queries(edge_table(spark, sf_dir), seeds)[0].select("query_id", "id", F.round("rank", 9).alias("rank"))
+
+
 @query()
 def greedy_clusters(spark, sf_dir):
     v = vector_table(spark, sf_dir).withColumn("created_at", F.timestamp_seconds(F.col("id").cast("long")))
