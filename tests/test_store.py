@@ -215,8 +215,8 @@ def test_greedy_clusters_of_copies(spark, monkeypatch, min_size, group_nodes):
     r = random.Random(min_size)
     base = [[float(x) for x in np.eye(5)[r.randrange(3)] + 0.5 * np.array([r.gauss(0, 1) for _ in range(5)])] for _ in range(60)]
     rows = [(i, T(2024, 1, 1, r.randrange(20)), base[0] if i % 3 == 0 else r.choice(base)) for i in range(240)]
-    paired, plain = [], cluster.cosine_pairs
-    monkeypatch.setattr(cluster, "cosine_pairs", lambda v, *more: (paired.append(v.count()), plain(v, *more))[1])
+    paired, plain = [], cluster.cosine_links
+    monkeypatch.setattr(cluster, "cosine_links", lambda v, *more: (paired.append(v.count()), plain(v, *more))[1])
     df = spark.createDataFrame(rows, "id long, created_at timestamp, embedding array<float>")
     got = {(x.id, x.cluster, x.pos) for x in cluster.greedy_clusters(df, 0.75, min_size, group_nodes=group_nodes).collect()}
     assert got == greedy_by_hand(rows, 0.75, min_size) and len({x[1] for x in got}) > 3
