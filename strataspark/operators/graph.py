@@ -9,6 +9,8 @@ from strataspark.operators.aggregates import affinity, seed_attr_counts
 from strataspark.operators.filters import matches_attrs
 from strataspark.scratch import materialise
 
+#: Links of a node that lie together; a node with more is cut into pieces.
+PIECE_LINKS = 1 << 16
 #: Fixed values.
 DAMPING, ITERATIONS, DEPTH, SHARED_BOOST, FILTER_BOOST, PROJECT_BOOST, RELATED = 0.85, 20, 3, 1.5, 1.5, 3.0, 5
 
@@ -47,31 +49,46 @@ def bfs(edges: DataFrame, root, depth: int = DEPTH) -> DataFrame:
     return out
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def dealt_links(links: DataFrame, piece_links: int = PIECE_LINKS) -> tuple[DataFrame, DataFrame]:
+    """``links(from_id, ...)`` dealt by source, those of a node with more than ``piece_links`` in ``piece`` s of about as many, which lie in different partitions; and ``(from_id, pieces)`` of the sources.
+
+    What a source hands to its links is copied to its pieces, so a hub is no partition's load alone, and what is sent is a row a piece instead of a row a link.
+    """
+    pieces = materialise(links.groupBy("from_id").agg(F.ceil(F.count("*") / piece_links).cast("int").alias("pieces")), "pieces")
+    piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("to_id"), F.col("pieces")).cast("int")).otherwise(0)
+    heavy = pieces.where("pieces > 1")
+    cut = links.join(heavy, "from_id", "left").withColumn("piece", F.coalesce(piece, F.lit(0))).drop("pieces")
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut.repartition(parts, "from_id", "piece").sortWithinPartitions("from_id", "piece"), pieces
+
+
+def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, piece_links: int = PIECE_LINKS) -> DataFrame:
     """``(id, rank)`` of all nodes and seeds: weighted out-edges normalised by node, teleport and the mass of nodes without any go to the seeds.
 
-    The teleport share is one over the number of seed rows, so a repeated seed loses mass, as in the definition this follows. Ranks are summed by key, combined before each shuffle. Links are dealt by source once and stay so; a round shuffles ranks and sums alone. Where there are dead ends every round is written, which tells their mass on the way; else every fifth, to cut the lineage.
+    The teleport share is one over the number of seed rows, so a repeated seed loses mass, as in the definition this follows. Ranks are summed by key, combined before each shuffle. Links are dealt once and stay so, those of a hub in pieces (see :func:`dealt_links`); a round shuffles ranks and sums alone. Where there are dead ends every round is written, which tells their mass on the way; else every fifth, to cut the lineage.
     """
     edges = materialise(edges.select("from_id", "to_id", F.col("weight").cast("double").alias("w")), "edges")
     links = edges
     sums = links.groupBy("from_id").agg(F.sum("w").alias("s"))
     links = links.join(sums, "from_id").where("s > 0").select("from_id", "to_id", (F.col("w") / F.col("s")).alias("p"))
     links = materialise(links.groupBy("from_id", "to_id").agg(F.sum("p").alias("p")), "links")
-    dealt = links.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "from_id").sortWithinPartitions("from_id").persist()
+    dealt, pieces = dealt_links(links, piece_links)
+    dealt = dealt.persist()
     count = seeds.count()
     nodes = edges.select(F.col("from_id").alias("id")).union(edges.select(F.col("to_id").alias("id"))).union(seeds.select("id")).distinct()
     if not count:
         return nodes.select("id", F.lit(0.0).alias("rank"))
     start = seeds.select("id").distinct().withColumn("t", F.lit(1.0 / count))
-    dangling = nodes.join(links.select(F.col("from_id").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left")
-    base = materialise(dangling.join(start, "id", "left").select("id", F.coalesce("t", F.lit(0.0)).alias("t"), F.col("out").isNull().alias("dead")), "nodes")
-    ranks = base.select("id", "t", "dead", F.col("t").alias("rank"))
+    dangling = nodes.join(pieces.withColumnRenamed("from_id", "id"), "id", "left")
+    base = materialise(dangling.join(start, "id", "left").select("id", F.coalesce("t", F.lit(0.0)).alias("t"), F.col("pieces").isNull().alias("dead"), "pieces"), "nodes")
+    ranks = base.select("id", "t", "dead", "pieces", F.col("t").alias("rank"))
+    each_piece = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
     ends = not base.where("dead").isEmpty()
     lost = (ranks.where("dead").agg(F.sum("rank")).first()[0] or 0.0) if ends else 0.0
     for i in range(iterations):
-        moved = dealt.join(ranks.select(F.col("id").alias("from_id"), "rank"), "from_id").groupBy("to_id").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
+        moved = dealt.join(ranks.where("pieces is not null").select(F.col("id").alias("from_id"), each_piece, "rank"), ["from_id", "piece"]).groupBy("to_id").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         rank = (1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("t"))
-        ranks = base.join(moved.withColumnRenamed("to_id", "id"), "id", "left").select("id", "t", "dead", rank.alias("rank"))
+        ranks = base.join(moved.withColumnRenamed("to_id", "id"), "id", "left").select("id", "t", "dead", "pieces", rank.alias("rank"))
         if ends:
             seen = Observation()
             ranks = materialise(ranks.observe(seen, F.sum(F.when(F.col("dead"), F.col("rank"))).alias("lost")), "ranks")
