@@ -10,6 +10,7 @@ from strataspark.operators.state import OPS, State, fold_state, mark_accessed, m
 from strataspark.plans.search import Search, hybrid_search
 from strataspark.schema import EDGES
 from strataspark.scratch import materialise, new_path
+from strataspark.sources.sinks import write_backup
 
 
 class MemoryTable:
@@ -85,6 +86,10 @@ class MemoryTable:
     def stats(self) -> DataFrame:
         return aggregates.stats(self.snapshot(), self.edges)
 
+    def backup(self, path: str, ts: str) -> None:
+        """Rows of all segments so far and their edges as one snapshot; later ops don't reach it, and it reads the log once."""
+        write_backup(self.snapshot(), self.edges, path, ts)
+
     def soft_delete(self, ids: DataFrame, now) -> None:
         self._append(soft_delete(ids, now))
 

@@ -14,7 +14,8 @@ from strataspark.plans import search as plans
 from strataspark.plans.compact import compaction_trigger, dry_run
 from strataspark.schema import layer_name
 from strataspark.sources import readers
-from strataspark.sources.sinks import scope_of
+from strataspark.scratch import new_path
+from strataspark.sources.sinks import read_backup, scope_of, write_backup
 
 NOW = "2024-01-02 00:00:00"
 QUERIES, ORACLES = {}, {}
@@ -672,6 +673,19 @@ def pagerank_pushed(spark, sf_dir):
     return graph.pagerank_of_queries(edge_table(spark, sf_dir), seeds)[0].select("query_id", "id", F.round("rank", 9).alias("rank"))
 
 
+@query(f"""
+WITH {MEM}, kept AS (SELECT n, layer FROM mem WHERE n % 11 <> 0), links AS (SELECT n AS a, n // 2 AS b FROM mem)
+SELECT layer, count(*) AS n_rows, count(b) AS n_edges FROM kept LEFT JOIN (SELECT a, b FROM links WHERE b IN (SELECT n FROM kept)) ON n = a GROUP BY 1""")
+def backup_of_rows_and_edges(spark, sf_dir):
+    rows, path = memories(spark, sf_dir), new_path(spark, "backup")
+    half = F.floor(F.col("id").cast("long") / 2).cast("string")
+    edges = rows.select(F.col("id").alias("from_id"), half.alias("to_id"), F.lit("derived_from").alias("edge_type"), F.lit(1.0).cast("float").alias("weight"), "created_at")
+    kept = rows.where("compacted_at is null")
+    write_backup(kept, edges, path, "20240102-000000")
+    rows, edges = read_backup(spark, path, "20240102-000000", kept.schema, edges.schema)
+    return rows.join(edges.select(F.col("from_id").alias("id"), "to_id"), "id", "left").groupBy("layer").agg(F.count("*").alias("n_rows"), F.count("to_id").alias("n_edges"))
+
+
 @query()
 def greedy_clusters(spark, sf_dir):
     v = vector_table(spark, sf_dir).withColumn("created_at", F.timestamp_seconds(F.col("id").cast("long")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataspark.operators.filters import active, exclude_source
 from strataspark.operators.state import newest_snapshots
-from strataspark.schema import MEMORIES
+from strataspark.schema import EDGES, MEMORIES
 
 
 def scope_of(layer: Column, user: Column, team: Column) -> Column:
@@ -71,3 +71,41 @@ def restore_snapshot(spark: SparkSession, path: str, ts: str, current: DataFrame
     """The rows of a snapshot, after the current rows have been kept as the snapshot ``now_ts``."""
     write_snapshot(current, path, now_ts)
     return spark.read.schema(MEMORIES).parquet(f"{path}/ts={ts}")
+
+
+def _mark(spark: SparkSession, path: str):
+    """The file system and the success mark of a folder."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()), mark
+
+
+def write_backup(rows: DataFrame, edges: DataFrame, path: str, ts: str) -> None:
+    """Rows and edges as one snapshot ``ts``: the edges are those whose both ends are among the rows as written, so what is read back fits together whatever is stored meanwhile.
+
+    The mark that :func:`list_snapshots` looks for comes last. Until then the backup doesn't count, and one that a crash left unfinished is written over; a whole one is never.
+    """
+    spark, to = rows.sparkSession, f"{path.rstrip('/')}/ts={ts}"
+    system, mark = _mark(spark, to)
+    if system.exists(mark):
+        raise FileExistsError(to)
+    rows.write.option("compression", "zstd").mode("overwrite").parquet(f"{to}/memories")
+    have = spark.read.schema(rows.schema).parquet(f"{to}/memories").select("id").distinct()
+    whole = edges.join(have.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(have.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    whole.select(*edges.columns).write.option("compression", "zstd").mode("overwrite").parquet(f"{to}/edges")
+    system.create(mark, True).close()
+
+
+def read_backup(spark: SparkSession, path: str, ts: str, rows_schema=MEMORIES, edges_schema=EDGES) -> tuple[DataFrame, DataFrame]:
+    """(rows, edges) of a backup that is whole."""
+    of = f"{path.rstrip('/')}/ts={ts}"
+    system, mark = _mark(spark, of)
+    if not system.exists(mark):
+        raise FileNotFoundError(f"no whole backup at {of}")
+    return spark.read.schema(rows_schema).parquet(f"{of}/memories"), spark.read.schema(edges_schema).parquet(f"{of}/edges")
+
+
+def restore_backup(spark: SparkSession, path: str, ts: str, rows: DataFrame, edges: DataFrame, now_ts: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, edges) of a backup, after the current ones have been kept as the backup ``now_ts``."""
+    found = read_backup(spark, path, ts, rows.schema, edges.schema)
+    write_backup(rows, edges, path, now_ts)
+    return found
