@@ -24,7 +24,7 @@ from strataspark.scratch import materialise
 
 #: Vectors that pivots are picked from, pivots at most, rows of a chunk, chunks that are compared in one task.
 SAMPLE, PIVOTS, CHUNK_ROWS, COMPARED = 1024, 128, 2048, 512
-#: Cosines count as floats; bounds leave this much room for them and for rounding of angles.
+#: Cosines count as floats, unless doubles are asked for; bounds leave this much room for either and for rounding of angles.
 _MARGIN = 1e-6
 
 
@@ -154,17 +154,17 @@ def _chunked(rows: DataFrame, threshold: float, chunk_rows: int, pivots: int | N
     return _Chunks(dealt, pairs, known.agg(F.floor(n * (n - 1) / 2).cast("long").alias("pairs")), id_kind)
 
 
-def _multiplied(chunks: _Chunks, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, cosine) of the rows of these pairs of chunks at or over the threshold."""
+def _multiplied(chunks: _Chunks, pairs: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(a, b, cosine) of the rows of these pairs of chunks at or over the threshold, both as ``kind``."""
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk")).join(chunks.rows, "chunk")
-    kind = to_arrow_type(chunks.id_kind)
+    ids_kind = to_arrow_type(chunks.id_kind)
 
     def meet(part: pa.Table) -> pa.Table:
         chunk, size = part["chunk"].to_numpy(), part["a"][0].as_py() >> 40
         x, ids = _units(part["embedding"], size), part["id"].to_numpy()
         first, last = part["a"][0].as_py(), part["b"][0].as_py()
         lo, hi = np.flatnonzero(chunk == first), np.flatnonzero(chunk == last)
-        out = [pa.table([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], ["a", "b", "cosine"])]
+        out = [pa.table([pa.array([], ids_kind), pa.array([], ids_kind), pa.array([], pa.float64())], ["a", "b", "cosine"])]
         for k in range(0, len(lo), 512):
             s = x[lo[k : k + 512]] @ x[hi].T
             i, j = np.nonzero(s >= threshold - _MARGIN)
@@ -172,23 +172,23 @@ def _multiplied(chunks: _Chunks, pairs: DataFrame, threshold: float) -> DataFram
             if first == last:
                 keep = a < b
                 a, b, v = a[keep], b[keep], v[keep]
-            out.append(pa.table([pa.array(np.where(a < b, a, b), kind), pa.array(np.where(a < b, b, a), kind), pa.array(v)], ["a", "b", "cosine"]))
+            out.append(pa.table([pa.array(np.where(a < b, a, b), ids_kind), pa.array(np.where(a < b, b, a), ids_kind), pa.array(v)], ["a", "b", "cosine"]))
         return pa.concat_tables(out)
 
     found = sides.groupBy("a", "b").applyInArrow(meet, f"a {chunks.id_kind.simpleString()}, b {chunks.id_kind.simpleString()}, cosine double")
-    return found.where(F.col("cosine").cast("float") >= F.lit(threshold).cast("float"))
+    return found.where(F.col("cosine").cast(kind) >= F.lit(threshold).cast(kind))
 
 
-def cosine_pairs(rows: DataFrame, threshold: float, chunk_rows: int = CHUNK_ROWS, pivots: int | None = None) -> DataFrame:
-    """``(a, b, cosine)`` with a < b for all pairs of ``rows(id, embedding)`` whose cosine is ``threshold`` or more. Ids are unique.
+def cosine_pairs(rows: DataFrame, threshold: float, chunk_rows: int = CHUNK_ROWS, pivots: int | None = None, kind: str = "float") -> DataFrame:
+    """``(a, b, cosine)`` with a < b for all pairs of ``rows(id, embedding)`` whose cosine is ``threshold`` or more, compared as ``kind`` (``float`` or ``double``). Ids are unique.
 
     Null, empty and zero vectors, those with non-finite numbers, and vectors of different lengths have no pairs. The result is as large as the pairs are many; :func:`cosine_links` writes dense groups shorter.
     """
     chunks = _chunked(rows, threshold, chunk_rows, pivots)
-    return _multiplied(chunks, chunks.pairs, threshold)
+    return _multiplied(chunks, chunks.pairs, threshold, kind)
 
 
-def cosine_links(rows: DataFrame, threshold: float, chunk_rows: int = CHUNK_ROWS, pivots: int | None = None) -> Links:
+def cosine_links(rows: DataFrame, threshold: float, chunk_rows: int = CHUNK_ROWS, pivots: int | None = None, kind: str = "float") -> Links:
     """The pairs of :func:`cosine_pairs`, with those of chunks near enough throughout as one row for each two chunks (see :class:`Links`).
 
     A group of n rows within a fourth of the threshold's angle around a pivot takes at most ``(n / chunk_rows)^2`` rows instead of ``n^2 / 2``.
@@ -199,7 +199,7 @@ def cosine_links(rows: DataFrame, threshold: float, chunk_rows: int = CHUNK_ROWS
     members = chunks.rows.select("id", "chunk").join(named, "chunk", "left_semi")
     load = lambda c: F.coalesce(F.sum(F.when(c, F.col("load"))), F.lit(0))
     report = chunks.total.crossJoin(chunks.pairs.agg(load(~F.col("full")).alias("computed"), load(F.col("full")).alias("given")))  # one row each
-    return Links(_multiplied(chunks, chunks.pairs.where("not full"), threshold), members, full, report)
+    return Links(_multiplied(chunks, chunks.pairs.where("not full"), threshold, kind), members, full, report)
 
 
 def link_counts(links: Links) -> DataFrame:

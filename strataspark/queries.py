@@ -553,12 +553,12 @@ def knn_postfilter(spark, sf_dir):
 
 @query("SELECT CAST(x.vec_id AS VARCHAR) AS a, CAST(y.vec_id AS VARCHAR) AS b, CAST(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS DOUBLE) AS cosine FROM embeddings x JOIN embeddings y ON CAST(x.vec_id AS VARCHAR) < CAST(y.vec_id AS VARCHAR) WHERE list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) >= 0.35")
 def cosine_pairs(spark, sf_dir):
-    return angles.cosine_pairs(vector_table(spark, sf_dir), 0.35)
+    return angles.cosine_pairs(vector_table(spark, sf_dir), 0.35, kind="double")
 
 
 @query("WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT x.id, count(*) AS links FROM v x JOIN v y ON x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.2 GROUP BY 1")
 def cosine_link_counts(spark, sf_dir):
-    return angles.link_counts(angles.cosine_links(vector_table(spark, sf_dir), 0.2))
+    return angles.link_counts(angles.cosine_links(vector_table(spark, sf_dir), 0.2, kind="double"))
 
 
 @query(f"WITH {MEM}, {QRY}, {_BM25.replace('30', '20')} SELECT query_id, id, bm25 FROM texts")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from strataspark import queries
 from strataspark.operators import angles, cluster
 from tests.test_store import T, greedy_by_hand
 
@@ -81,3 +82,13 @@ def test_greedy_clusters_with_full_chunks(spark):
     assert links.full.count() > 5 and links.pairs.count() > 5
     got = {(x.id, x.cluster, x.pos) for x in cluster.greedy_clusters(df, 0.75, 2, group_nodes=12, chunk_rows=6, pivots=12).collect()}
     assert got == greedy_by_hand(rows, 0.75, 2) and len({x[1] for x in got}) > 3
+
+
+def test_queries_compare_cosines_as_doubles(spark, tmp_path):
+    vectors = [[1.0, 0.0], [980.0, 4801.0], [0.0, 2.0]]  # the first two: 0.19999999583, as a float 0.2
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {(r.id, r.links) for r in queries.cosine_link_counts(spark, str(tmp_path)).collect()} == {("1", 1), ("2", 1)}
+    rows = df.withColumnRenamed("vec_id", "id")
+    assert {(r.a, r.b) for r in angles.cosine_pairs(rows, 0.2).collect()} == {(0, 1), (1, 2)}
+    assert {(r.a, r.b) for r in angles.cosine_pairs(rows, 0.2, kind="double").collect()} == {(1, 2)}
