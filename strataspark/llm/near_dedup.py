@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Plan. One pass over the texts makes, per document, the count of its distinct word shingles, a 128-bit fingerprint of the set, ``BANDS * ROWS`` band values and a packed signature of the low bits of all minima. Documents of equal
-sets form a class, and only its smallest id goes on. Classes that share a band meet in a bucket. Within buckets nothing is compared pair by pair: members are compared with a pivot, then those outside the largest component with
+sets form a class, and only its smallest id goes on. Classes that share a band meet in a bucket. Within buckets nothing is compared pair by pair: members are compared with a pivot (first the smallest of all their buckets, then those that it has left apart), then those outside the largest component with
 a few of its members. A candidate pair first needs an estimate near the threshold (from counted equal bits, corrected for chance collisions), then the exact similarity on full sets. Buckets whose members are all one
 component are closed. Documents in buckets that are still open are joined on the rare ends of their sets, which every similar pair shares, so that no link is lost to the choice of pivots.
 """
@@ -117,10 +117,10 @@ class _Confirm:
         return materialise(sure.where(shared * 100 >= (F.size("ia") + F.size("ib") - shared) * self.percent).select("a", "b"), "links")
 
 
-def _open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(key, id, c)`` of the buckets whose members are of several components; buckets of two were compared in full with their pivot."""
+def _open_rows(rows: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """``(key, id, c)`` of the buckets of ``least`` members or more that are of several components."""
     named = rows.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-    ends = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
+    ends = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where(f"lo < hi and m >= {least}")
     return materialise(named.join(ends.select("key"), "key"), "open")
 
 
@@ -144,6 +144,16 @@ def _all_pairs(left: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return prefix.join(there, "item").where((F.col("c") < F.col("oc")) & enough).select("id", "other")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` once these links are added: only components that a new link touches are worked on."""
+    of = labels.select(F.col("id").alias("x"), F.col("component_id").alias("cx"))
+    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("x")).join(of, "x", "left").select("a", "b", "x", F.coalesce("cx", "x").alias("c"))
+    ends = materialise(ends, "ends")
+    roots = connected_components(ends.groupBy("a", "b").agg(F.max("c").alias("hi"), F.min("c").alias("lo")).select(F.col("hi").alias("a"), F.col("lo").alias("b"))).select(F.col("id").alias("component_id"), F.col("component_id").alias("root"))
+    ids = labels.select("id", "component_id").union(ends.where("x = c").select("x", "c")).distinct()
+    return materialise(ids.join(roots, "component_id", "left").select("id", F.coalesce("root", "component_id").alias("component_id")), "labels")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8
 ) -> DataFrame:
@@ -167,19 +177,22 @@ def near_duplicates(
     rows = materialise(rows.join(buckets, "key").select("key", "id", "pivot"), "buckets")
     packed = materialise(full.join(rows.select("id").distinct(), "id", "left_semi").select("id", "packed", "n"), "packed")
     confirm = _Confirm(texts, packed, words, threshold)
-    links = confirm(rows.where("pivot < id").select("id", F.col("pivot").alias("other")))
+    # buckets of one group differ in their pivots: a member meets the smallest of its pivots, and others only where that hasn't linked them
+    links = confirm(rows.where("pivot < id").groupBy("id").agg(F.min("pivot").alias("other")))
     labels = materialise(connected_components(links), "labels")
+    left = _open_rows(rows, labels, 2)
+    pivots = left.groupBy("key").agg(F.min(F.struct("id", "c")).alias("p"))
+    labels = _merged(labels, confirm(left.join(pivots, "key").where("c <> p.c").select("id", F.col("p.id").alias("other"))))
 
-    left = _open_rows(rows, labels)
+    # buckets of two were compared in full with their pivot
+    left = _open_rows(rows, labels, 3)
     sizes = left.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
     left = left.join(sizes, "key")
     slot = left.where("c = main").withColumn("h", F.xxhash64("id")).groupBy("key", F.pmod("h", F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("h", "id")).alias("p"))
     fresh = left.where("c <> main").join(slot.select("key", F.col("p.id").alias("other")), "key").select("id", "other")
-    links = links.union(confirm(fresh))
-    labels = materialise(connected_components(links), "labels")
+    labels = _merged(labels, confirm(fresh))
 
-    links = links.union(confirm(_all_pairs(_open_rows(rows, labels), texts, words, percent)))
-    labels = materialise(connected_components(links), "labels")
+    labels = _merged(labels, confirm(_all_pairs(_open_rows(rows, labels, 3), texts, words, percent)))
     named = made.select("id", "n", "k1", "k2").join(classes.drop("n"), ["k1", "k2"], "left")
     named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     # an id met twice: its rows are one document with the smallest component of them

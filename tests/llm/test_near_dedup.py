@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from strataspark.llm import near_dedup
 from strataspark.llm.components import connected_components
 from strataspark.llm.near_dedup import keep_one_of_each, near_duplicates
 
@@ -64,3 +65,25 @@ def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (5, 5), (200, 7)]
     got = {r.id: r.component_id for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 200: 0}
+
+
+def test_members_of_one_group_meet_one_pivot_first(spark, monkeypatch):
+    r = random.Random(7)
+    base, vocab = [f"w{i}" for i in range(150)], [f"v{i}" for i in range(400)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(r.randint(1, 6)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        rows.append((i, " ".join(w)))
+    compared, call = [], near_dedup._Confirm.__call__
+
+    def counted(self, pairs):
+        pairs = pairs.select("id", "other").distinct()
+        compared.append(pairs.count())
+        return call(self, pairs)
+
+    monkeypatch.setattr(near_dedup._Confirm, "__call__", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == brute(rows, 2, 0.8)
+    assert compared[0] < len(rows) and sum(compared) < 2 * len(rows)
