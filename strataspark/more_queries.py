@@ -10,6 +10,7 @@ from strataspark.operators import aggregates, filters, graph, joins, retrieval,
 from strataspark.plans import search
 from strataspark.queries import EDG, MEM, NOW, _ppr_sql, _table, edge_table, memories, query
 from strataspark.schema import valid_memories
+from strataspark.scratch import materialise
 from strataspark.sources import readers
 
 # rows by key and by attribute
@@ -165,7 +166,7 @@ fresh AS (SELECT from_id, to_id, edge_type, weight FROM edges WHERE weight >= 0.
 SELECT from_id, to_id, edge_type, weight FROM own UNION ALL SELECT from_id, to_id, edge_type, max(weight) FROM fresh WHERE (from_id, to_id, edge_type) NOT IN (SELECT (from_id, to_id, edge_type) FROM own)
   AND from_id IN (SELECT id FROM ids) AND to_id IN (SELECT id FROM ids) GROUP BY ALL""")
 def edge_insert_ignore(spark, sf_dir):
-    edges = edge_table(spark, sf_dir)
+    edges = materialise(edge_table(spark, sf_dir), "edges")  # read six times
     rows = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).where("id <> 'p1'")
     back = edges.where("edge_type = 'relates_to'").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.lit("supports").alias("edge_type"), F.lit(0.125).cast("float").alias("weight"), "created_at")
     new = edges.where("weight >= 0.25").unionByName(back)
