@@ -4,7 +4,7 @@ The angle between vectors is a metric. Some vectors, far apart from each other,
 A chunk knows its least and greatest angle to every pivot, so by the triangle inequality two chunks have bounds of the angles between their members: a pair of chunks whose least is too wide is skipped, one whose
 greatest is narrow enough is full (all its pairs are links, without a look at them), and only what is between is multiplied out.
 
-Only pivots travel with the tasks, at most ``PIVOTS`` of them. Chunks are compared in blocks, pairs of chunks are one group each of at most twice the rows of a chunk, so no task depends on how many rows are near each other.
+Only pivots travel with the tasks, at most ``PIVOTS`` of them. Chunks are compared in blocks, pairs of tiles of a few chunks are one group each, of bounded numbers, so no task depends on how many rows are near each other.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -24,6 +24,8 @@ from strataspark.scratch import materialise
 
 #: Vectors that pivots are picked from, pivots at most, rows of a chunk, chunks that are compared in one task.
 SAMPLE, PIVOTS, CHUNK_ROWS, COMPARED = 1024, 128, 2048, 512
+#: Chunks to a tile, and numbers of their vectors; pairs of tiles are one task's group, to which a vector is copied once for all pairs of chunks.
+TILE_CHUNKS, TILE_NUMBERS = 8, 1 << 20
 #: Cosines count as floats, unless doubles are asked for; bounds leave this much room for either and for rounding of angles.
 _MARGIN = 1e-6
 
@@ -83,6 +85,7 @@ class _Chunks(NamedTuple):
     pairs: DataFrame  #: (a, b, full, load) of the pairs of chunks that aren't skipped
     total: DataFrame  #: (pairs) one row
     id_kind: object
+    chunk_rows: int
 
 
 def _chunked(rows: DataFrame, threshold: float, chunk_rows: int, pivots: int | None) -> _Chunks:
@@ -151,31 +154,59 @@ def _chunked(rows: DataFrame, threshold: float, chunk_rows: int, pivots: int | N
 
     pairs = materialise(each.groupBy("lo", "hi").applyInPandas(compare, "a long, b long, full boolean, load long"), "chunk-pairs")
     n = F.coalesce(F.sum("n"), F.lit(0))
-    return _Chunks(dealt, pairs, known.agg(F.floor(n * (n - 1) / 2).cast("long").alias("pairs")), id_kind)
+    return _Chunks(dealt, pairs, known.agg(F.floor(n * (n - 1) / 2).cast("long").alias("pairs")), id_kind, chunk_rows)
 
 
 def _multiplied(chunks: _Chunks, pairs: DataFrame, threshold: float, kind: str) -> DataFrame:
     """(a, b, cosine) of the rows of these pairs of chunks at or over the threshold, both as ``kind``."""
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk")).join(chunks.rows, "chunk")
     ids_kind = to_arrow_type(chunks.id_kind)
-
-    def meet(part: pa.Table) -> pa.Table:
-        chunk, size = part["chunk"].to_numpy(), part["a"][0].as_py() >> 40
-        x, ids = _units(part["embedding"], size), part["id"].to_numpy()
-        first, last = part["a"][0].as_py(), part["b"][0].as_py()
-        lo, hi = np.flatnonzero(chunk == first), np.flatnonzero(chunk == last)
-        out = [pa.table([pa.array([], ids_kind), pa.array([], ids_kind), pa.array([], pa.float64())], ["a", "b", "cosine"])]
-        for k in range(0, len(lo), 512):
-            s = x[lo[k : k + 512]] @ x[hi].T
-            i, j = np.nonzero(s >= threshold - _MARGIN)
-            a, b, v = ids[lo[k + i]], ids[hi[j]], s[i, j]
-            if first == last:
-                keep = a < b
-                a, b, v = a[keep], b[keep], v[keep]
-            out.append(pa.table([pa.array(np.where(a < b, a, b), ids_kind), pa.array(np.where(a < b, b, a), ids_kind), pa.array(v)], ["a", "b", "cosine"]))
-        return pa.concat_tables(out)
-
-    found = sides.groupBy("a", "b").applyInArrow(meet, f"a {chunks.id_kind.simpleString()}, b {chunks.id_kind.simpleString()}, cosine double")
+    most = pairs.agg(F.max("b")).first()[0] or 0
+    together = max(1, min(TILE_CHUNKS, TILE_NUMBERS // (chunks.chunk_rows * max(1, most >> 40))))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("chunk")).distinct()
+    tile = F.floor((F.row_number().over(Window.orderBy("chunk")) - 1) / together)  # a row for each chunk
+    tiles = materialise(named.select("chunk", tile.alias("tile")), "tiles")
+    tiled = pairs.join(tiles.select(F.col("chunk").alias("a"), F.col("tile").alias("ta")), "a").join(tiles.select(F.col("chunk").alias("b"), F.col("tile").alias("tb")), "b")
+    sides = tiled.select("ta", "tb", F.col("a").alias("chunk"), F.col("b").alias("other")).union(tiled.select("ta", "tb", "b", F.lit(None)))
+    sides = sides.groupBy("ta", "tb", "chunk").agg(F.collect_set("other").alias("others")).join(chunks.rows, "chunk")
+
+    def meet(held):
+        part = pa.Table.from_batches(held)
+        chunk, all_ids = part["chunk"].to_numpy(), part["id"].to_numpy()
+        names, begins = np.unique(chunk, return_index=True)
+        ends = [*begins[1:], len(chunk)]
+        x, ids, others = {}, {}, {}
+        for c, begin, end in zip(names.tolist(), begins, ends, strict=True):
+            x[c], ids[c] = _units(part["embedding"].slice(begin, end - begin).combine_chunks(), c >> 40), all_ids[begin:end]
+            others[c] = part["others"][int(begin)].as_py()
+        for first in x:
+            for last in others[first]:
+                for k in range(0, len(x[first]), 512):
+                    s = x[first][k : k + 512] @ x[last].T
+                    i, j = np.nonzero(s >= threshold - _MARGIN)
+                    a, b, v = ids[first][k + i], ids[last][j], s[i, j]
+                    if first == last:
+                        keep = a < b
+                        a, b, v = a[keep], b[keep], v[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(a < b, a, b), ids_kind), pa.array(np.where(a < b, b, a), ids_kind), pa.array(v)], ["a", "b", "cosine"])
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            ta, tb = batch.column("ta").to_numpy(), batch.column("tb").to_numpy()
+            cuts = (np.flatnonzero((np.diff(ta) != 0) | (np.diff(tb) != 0)) + 1).tolist()
+            for begin, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if begin == end:
+                    continue
+                if (ta[begin], tb[begin]) != key:
+                    if held:
+                        yield from meet(held)
+                    key, held = (ta[begin], tb[begin]), []
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from meet(held)
+
+    dealt = sides.select("ta", "tb", "chunk", "others", "id", "embedding").repartition("ta", "tb").sortWithinPartitions("ta", "tb", "chunk")
+    found = dealt.mapInArrow(run, f"a {chunks.id_kind.simpleString()}, b {chunks.id_kind.simpleString()}, cosine double")
     return found.where(F.col("cosine").cast(kind) >= F.lit(threshold).cast(kind))
 
 

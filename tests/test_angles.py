@@ -92,3 +92,14 @@ def test_queries_compare_cosines_as_doubles(spark, tmp_path):
     rows = df.withColumnRenamed("vec_id", "id")
     assert {(r.a, r.b) for r in angles.cosine_pairs(rows, 0.2).collect()} == {(0, 1), (1, 2)}
     assert {(r.a, r.b) for r in angles.cosine_pairs(rows, 0.2, kind="double").collect()} == {(1, 2)}
+
+
+@pytest.mark.parametrize("chunks", [1, 3])
+def test_tiles_of_chunks(spark, monkeypatch, chunks):
+    monkeypatch.setattr(angles, "TILE_CHUNKS", chunks)
+    r = random.Random(6)
+    vectors = [[r.gauss(0, 1) for _ in range(4 + i % 2)] for i in range(160)]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, embedding array<float>")
+    got = {(x.a, x.b) for x in angles.cosine_pairs(df, 0.6, 8, 6, kind="double").collect()}
+    unit = [np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) for v in vectors]
+    assert got == {(i, j) for i in range(160) for j in range(i + 1, 160) if len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.6} != set()
